@@ -1,11 +1,17 @@
 """The corpus queries that the driver runs, and the SQL of those that SQL can express."""
 
 from .dedup import OP2_SQL, op2_exact_dedup
+from .license_scan import op4_license_scan
 from .ngram_join import op1_ngram_jaccard
+from .packing import op5_packing
+from .secret_scan import op3_secret_scan
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_license_scan": op4_license_scan,
+    "op5_packing": op5_packing,
 }
 
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
