@@ -1,7 +1,9 @@
 """The corpus queries that the driver runs, and the SQL of those that SQL can express."""
 
 from .dedup import OP2_SQL, op2_exact_dedup
+from .embedding_dedup import op7_embedding_dedup
 from .license_scan import op4_license_scan
+from .mixing import op6_mixing
 from .ngram_join import op1_ngram_jaccard
 from .packing import op5_packing
 from .secret_scan import op3_secret_scan
@@ -12,6 +14,8 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_license_scan": op4_license_scan,
     "op5_packing": op5_packing,
+    "op6_mixing": op6_mixing,
+    "op7_embedding_dedup": op7_embedding_dedup,
 }
 
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
