@@ -2,8 +2,8 @@
 
 Plan
 ----
-1. One pass reduces each text to (doc_id, number of distinct shingles, set fingerprint); equal sets
-   meet in one row (partial aggregation), so copies never meet as pairs.
+1. One pass reduces each text to (doc_id, number of distinct shingles, set fingerprint) and to the
+   keys of step 2; equal sets meet in one row (partial aggregation), so copies never meet as pairs.
 2. *Dealing.*  A pair with Jaccard >= t and larger size s differs in at most D(s) shingles.  The hash
    space is cut into more than D parts, so some part holds the very same shingles in both sets
    (pigeonhole; Arasu, Ganti, Kaushik 2006).  Each set emits a 64-bit key per part; sets that share a
@@ -34,6 +34,8 @@ GROUPS, LEAF, CHUNK_MEMBERS, CHUNK_SHINGLES, PIVOTS = 64, 8, 64, 2_000_000, 8
 SPARE = 2
 #: Bits of the fixed-size bitmap that keeps sets outside clusters from being shuffled.
 BITMAP = 1 << 25
+#: Largest placement table (a few numbers a row) that is sent to every task; beyond it the join is shuffled.
+SEND_ROWS = 300_000
 
 _U = np.uint64
 _BASE, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -243,84 +245,98 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     prepare(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    def features(batches):
-        for b in batches:
-            sets = shingle_sets(b.column(1).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_fingerprint(s) for s in sets], pa.int64())], names=["id", "n", "fp"])
-
-    feats = src.mapInArrow(features, "id long, n long, fp long").checkpoint()
-    reps = feats.where("n > 0 AND id IS NOT NULL").groupBy("fp", "n").agg(F.min("id").alias("rep")).checkpoint()
-
     def keys(batches):
+        """A row of features for each document (n is set), and a row for each key of its set (n is null)."""
         low = _levels(percent, 1 << 40)
         for b in batches:
-            ids = b.column(0)
-            fps, out = [], []
-            for known, s in zip(ids.is_valid(), shingle_sets(b.column(1).to_pylist(), words)):
-                if len(s) and known.as_py():
-                    k = set_keys(s, percent, low)
-                    out.append(k)
-                    fps.append(np.full(len(k), _fingerprint(s), dtype=np.int64))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(fps))], names=["key", "fp"])
+            ids = b.column(0).to_pylist()
+            sets = shingle_sets(b.column(1).to_pylist(), words)
+            fps = np.array([_fingerprint(s) for s in sets], dtype=np.int64)
+            have = [i for i, s in enumerate(sets) if len(s) and ids[i] is not None]
+            found = [set_keys(sets[i], percent, low) for i in have]
+            many = [len(k) for k in found]
+            key = np.concatenate([_mix(np.arange(len(ids), dtype=np.uint64) ^ fps.view(np.uint64)), *found]).view(np.int64)
+            fp = np.concatenate([fps, np.repeat(fps[have], many)])
+            rest = [None] * sum(many)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.array([len(s) for s in sets] + rest, pa.int64()), pa.array(ids + rest, pa.int64())], names=["key", "fp", "n", "id"])
 
     def chains(groups):
+        """Features pass through; sets that share a key become pairs (a, b), one after the other."""
         for table, _ in groups:
-            key, fp = table.column("key").to_numpy(), table.column("fp").to_numpy()
+            n = table.column("n").combine_chunks()
+            own = np.asarray(n.is_valid())
+            if own.any():
+                f = table.filter(pa.array(own))
+                none = pa.nulls(f.num_rows, pa.int64())
+                yield from pa.table([f.column("id"), f.column("n"), f.column("fp"), none, none], names=["id", "n", "fp", "a", "b"]).to_batches()
+            key, fp = table.column("key").to_numpy()[~own], table.column("fp").to_numpy()[~own]
             at = np.flatnonzero((key[1:] == key[:-1]) & (fp[1:] != fp[:-1]))
             if len(at):
                 pairs = np.unique(np.stack([fp[at], fp[at + 1]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                none = pa.nulls(len(pairs), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id", "n", "fp", "a", "b"])
 
-    dealt = src.mapInArrow(keys, "key long, fp long")
-    near = by_runs(dealt, ["key"], ["fp"], chains, "a long, b long").distinct().checkpoint()
-    found = connected_components(near)
+    dealt = src.mapInArrow(keys, "key long, fp long, n long, id long")
+    first = by_runs(dealt, ["key"], ["fp"], chains, "id long, n long, fp long, a long, b long").checkpoint()
+    feats = first.where("n IS NOT NULL").select("id", "n", "fp")
+    reps = feats.where("n > 0 AND id IS NOT NULL").groupBy("fp", "n").agg(F.min("id").alias("rep")).checkpoint()
+    found = connected_components(first.where("n IS NULL").select("a", "b").distinct())
     cluster = found.union(found.select(F.col("component").alias("node"), "component").distinct())
     cluster = cluster.join(reps, F.col("node") == F.col("fp")).select("component", "fp", "rep", "n").checkpoint()
-    weight = cluster.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     chunks = F.greatest(F.ceil(F.col("members") / CHUNK_MEMBERS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
+    weight = cluster.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     weight = weight.select("component", "members", chunks.alias("chunks")).checkpoint()
     placed = cluster.join(weight, "component").select("component", "fp", "rep", "members", "chunks", F.pmod(F.xxhash64("fp"), "chunks").cast("int").alias("own")).checkpoint()
 
-    bits = cluster.select((F.pmod("fp", F.lit(BITMAP)) + 1).alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("at")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
-    held = spark.sparkContext.broadcast({int(r["at"]): bytes(r["bits"]) for r in bits.collect()})  # at most BITMAP bits
-
-    def sets(batches):
-        have = held.value
-        for b in batches:
-            ids, fps, out = b.column(0).to_pylist(), [], []
-            keep = []
-            for i, s in zip(ids, shingle_sets(b.column(1).to_pylist(), words)):
-                fp = _fingerprint(s)
-                bit = fp % BITMAP
-                part = have.get(bit // 32768 + 1)  # bucket numbers count from 1
-                if part is not None and len(s) and i is not None and part[bit % 32768 // 8] >> (bit % 8) & 1:
-                    keep.append(i)
-                    fps.append(fp)
-                    out.append(s.tobytes())
-            if keep:
-                yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(fps, pa.int64()), pa.array(out, pa.binary())], names=["id", "fp", "grams"])
-
-    member = src.mapInArrow(sets, "id long, fp long, grams binary").withColumnRenamed("fp", "set_fp")
-    member = member.join(placed, (F.col("set_fp") == F.col("fp")) & (F.col("id") == F.col("rep"))).drop("set_fp", "id").checkpoint()
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    def with_sets(rows: DataFrame) -> DataFrame:
+        """Add the shingle sets to rows (fp, rep, ...).  A bitmap of fixed size keeps the sets of most
+        other documents where they are; what it lets through in error, the join drops."""
+        bit = F.pmod("fp", F.lit(BITMAP)) + 1  # bucket numbers count from 1
+        bits = rows.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("at")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
+        held = spark.sparkContext.broadcast({int(r["at"]): bytes(r["bits"]) for r in bits.collect()})  # BITMAP bits at most
+
+        def sets(batches):
+            have = held.value
+            for b in batches:
+                keep, fps, out = [], [], []
+                for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), words)):
+                    fp = _fingerprint(s)
+                    bit = fp % BITMAP
+                    part = have.get(bit // 32768 + 1)
+                    if part is not None and i is not None and len(s) and part[bit % 32768 // 8] >> (bit % 8) & 1:
+                        keep.append(i)
+                        fps.append(fp)
+                        out.append(s.tobytes())
+                if keep:
+                    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(fps, pa.int64()), pa.array(out, pa.binary())], names=["set_id", "set_fp", "grams"])
+
+        rows = F.broadcast(rows) if rows.count() <= SEND_ROWS else rows
+        texts = src.mapInArrow(sets, "set_id long, set_fp long, grams binary")
+        return texts.join(rows, (F.col("set_fp") == F.col("fp")) & (F.col("set_id") == F.col("rep"))).drop("set_fp", "set_id")
+
+    def join_chunks(rows: DataFrame, seat) -> DataFrame:
+        """Deal rows to their seats (chunk, probe) and join each chunk with itself and its probes."""
+        rows = with_sets(rows).select("component", F.explode(seat).alias("seat"), F.col("rep").alias("node"), "comp", "grams")
+        rows = rows.select("component", "seat.chunk", "seat.probe", "node", "comp", "grams")
+        return by_runs(rows, ["component", "chunk"], ["probe", "node"], lambda g: _join_runs(g, percent), "a long, b long")
+
+    at = lambda chunk, probe: F.struct(chunk.cast("int").alias("chunk"), F.lit(probe).alias("probe"))
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
     pivot = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("fp", F.lit(7)), "members") < PIVOTS)
-    rows = member.select("component", F.col("own").alias("chunk"), F.col("rep").alias("node"), F.col("rep").alias("comp"), F.lit(False).alias("probe"), "grams")
-    pivots = member.where(pivot).select("component", every.alias("chunk"), F.col("rep").alias("node"), F.col("rep").alias("comp"), F.lit(False).alias("probe"), "grams", "own").where("chunk <> own").drop("own")
-    join = lambda groups: _join_runs(groups, percent)
-    links = by_runs(rows.union(pivots), ["component", "chunk"], ["node"], join, "a long, b long").checkpoint()
+    links = join_chunks(placed.withColumn("comp", F.col("rep")), F.when(pivot, F.transform(every, lambda c: at(c, False))).otherwise(F.array(at(F.col("own"), False)))).checkpoint()
 
     # clusters of several chunks: what isn't in the largest component so far probes every chunk
-    comps = connected_components(links)
-    split = member.where("chunks > 1")
-    split = split.join(comps.withColumnRenamed("component", "comp_"), F.col("rep") == F.col("node"), "left")
+    comps = connected_components(links).withColumnRenamed("component", "comp_")
+    split = placed.where("chunks > 1").join(comps, F.col("rep") == F.col("node"), "left")
     split = split.withColumn("comp", F.coalesce("comp_", "rep")).drop("comp_", "node").checkpoint()
-    largest = split.groupBy("component", "comp").count().groupBy("component").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1").checkpoint()
-    open_ = split.join(largest, "component")
-    members = open_.select("component", F.col("own").alias("chunk"), F.col("rep").alias("node"), "comp", F.lit(False).alias("probe"), "grams")
-    probes = open_.where("comp <> main").select("component", every.alias("chunk"), F.col("rep").alias("node"), "comp", F.lit(True).alias("probe"), "grams")
-    more = by_runs(members.union(probes), ["component", "chunk"], ["probe", "node"], join, "a long, b long")
-    final = connected_components(links.union(more)).withColumnRenamed("component", "comp_")
+    largest = split.groupBy("component", "comp").count().groupBy("component").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count("*").alias("kinds"))
+    open_ = split.join(largest.where("kinds > 1").checkpoint(), "component").checkpoint()
+    if not open_.isEmpty():
+        others = F.transform(F.filter(every, lambda c: c != F.col("own")), lambda c: at(c, True))
+        own = F.array(at(F.col("own"), False))
+        more = join_chunks(open_, F.when(F.col("comp") == F.col("main"), own).otherwise(F.concat(own, others)))
+        links = links.union(more)
+    final = connected_components(links).withColumnRenamed("component", "comp_")
     answer = reps.join(final, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("of"), F.col("n").alias("of_n"), F.coalesce("comp_", "rep").alias("component_id")).checkpoint()
     out = feats.join(answer, (F.col("fp") == F.col("of")) & (F.col("n") == F.col("of_n")), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
