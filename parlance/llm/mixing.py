@@ -87,11 +87,12 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], repeat
     return [{k: repeats * words - a[1] for k, a in out.items()} for (_, words), out in zip(patterns, sent)]
 
 
-def mix(docs: DataFrame, memberships, size, id_col: str = "doc_id", weights: list[float] | None = None, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
-    """Per row: id, size, pattern, source_size, target, taken.
+def mix(docs: DataFrame, memberships, size, id_col: str = "doc_id", weights: list[float] | None = None, repeats: int = REPEATS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, size, pattern, source_size, target, taken, and the columns of ``docs`` in ``keep``.
 
     ``memberships`` is a column of array<string> (null stands for a source of its own, after the
-    others), ``size`` a long column.  ``weights`` go to the sources in code-point order, repeating
+    others), ``size`` a long column.  Kept columns stay with their rows: only rows of the one slice of a
+    pattern where its words run out are dealt anew.  ``weights`` go to the sources in code-point order, repeating
     (default 1, 2, 3).  The sources share the summed size of all of them; a target stops at ``repeats``
     times its source's size.  ``taken`` counts words, repeats included, at most ``repeats`` times the
     row's size.  Of each pattern, whole repetitions go to every row; the remainder goes to its rows in
@@ -101,9 +102,13 @@ def mix(docs: DataFrame, memberships, size, id_col: str = "doc_id", weights: lis
     spark = docs.sparkSession
     prepare(spark)
     label = F.transform(memberships, lambda s: F.struct(s.isNull().alias("missing"), F.coalesce(s, F.lit("")).alias("name")))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.array_sort(F.array_distinct(label)).alias("pattern"), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("size"))
+    kept = [F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)]
+    names = [f"kept_{k}" for k in range(len(keep))]
+    base = docs.select(*kept, F.col(id_col).cast("long").alias("id"), F.array_sort(F.array_distinct(label)).alias("pattern"), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("size"))
     order = F.xxhash64("id", "size", F.lit(seed))
-    base = base.select("*", order.alias("place"), F.pmod(F.shiftright(order, 20), F.lit(SLICES)).alias("slice")).checkpoint()
+    base = base.select("*", order.alias("place"), F.pmod(F.shiftright(order, 20), F.lit(SLICES)).alias("slice"))
+    if not keep:
+        base = base.checkpoint()
     # a row a pattern and slice, whatever the number of documents
     slices = base.groupBy("pattern", "slice").agg(F.sum("size").alias("words")).checkpoint()
     totals = slices.groupBy("pattern").agg(F.sum("words").alias("words")).collect()
@@ -140,9 +145,10 @@ def mix(docs: DataFrame, memberships, size, id_col: str = "doc_id", weights: lis
     inner = Window.partitionBy("pattern").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     within = rows.where("slice = edge").withColumn("ahead", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("ahead")))
-    within = within.select("id", "size", "pattern", "source_size", "target", (F.col("fixed") + part).alias("taken"))
-    rest = rows.where("slice <> edge").select("id", "size", "pattern", "source_size", "target", F.col("fixed").alias("taken"))
-    return rest.union(within).withColumnRenamed("id", id_col)
+    cols = [*names, "id", "size", "pattern", "source_size", "target"]
+    within = within.select(*cols, (F.col("fixed") + part).alias("taken"))
+    out = rows.where("slice <> edge").select(*cols, F.col("fixed").alias("taken")).union(within)
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep)), *([] if id_col in keep else [F.col("id").alias(id_col)]), "size", "pattern", "source_size", "target", "taken")
 
 
 def word_count(text):
