@@ -1,12 +1,73 @@
-"""The corpus pipeline: language ID, exact dedup, n-gram Jaccard join, source mixing, packing."""
+"""The corpus pipeline: language ID, exact dedup, n-gram Jaccard join, source mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parlance.llm import common, dedup, language_id, mixing, ngram_join, packing
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Largest list of dropped documents that is sent to every task; a longer one meets them in a shuffled join.
+SEND_ROWS = 500_000
+
+
+def _without(docs: DataFrame, dropped: DataFrame, on: Column) -> DataFrame:
+    dropped = dropped.checkpoint()
+    return docs.join(F.broadcast(dropped) if dropped.count() <= SEND_ROWS else dropped, on, "left_anti")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in which no language can be told (null, or without a letter) go."""
+    docs = docs.select(*COLUMNS)
+    return language_id.identify(docs, language_id.fit(docs)).where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text stays, that of the largest doc_id."""
+    docs = docs.select(*COLUMNS)
+    span = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    old = F.coalesce(F.col("doc_id") <= ((span.low or 0) + (span.high or 0)) // 2, F.lit(True))
+    found = dedup.exact_dedup(docs.where(old), docs.where(~old)).select(F.col("doc_id").alias("of_id"), F.col("text_sha256").alias("of_text"), "kept")
+    on = docs.doc_id.eqNullSafe(F.col("of_id")) & (F.sha2(F.coalesce(docs.text, F.lit("")).cast("binary"), 256) == F.col("of_text"))
+    out = _without(docs, found.where("NOT kept").select("of_id", "of_text").distinct(), on)
+    again = found.where("kept").groupBy("of_id", "of_text").count().where("count > 1").select("of_id", "of_text").checkpoint()
+    if again.isEmpty():
+        return out
+    once = out.join(again, on, "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(again, on, "left_anti").union(once)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays, that of the smallest doc_id."""
+    docs = docs.select(*COLUMNS)
+    found = ngram_join.ngram_jaccard_components(docs)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("of_id")).distinct()
+    return _without(docs, gone, docs.doc_id == F.col("of_id"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for every time a document is taken; a document that is taken in part is taken whole."""
+    out = mixing.mix(docs, F.array("source"), mixing.word_count(F.col("text")), keep=COLUMNS)
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    return out.where("taken > 0").withColumn("time", F.explode(F.sequence(F.lit(1), times))).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
 
-STAGES: list = []
+STAGES = [("language_id", language), ("exact_dedup", exact), ("ngram_jaccard_join", near), ("mixing", mixed), ("packing", packed)]
+#: Language models and flow routing are beyond SQL; the tests compare run() with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    common.prepare(spark)
+    docs = common.read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
