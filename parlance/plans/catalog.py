@@ -1,4 +1,4 @@
 """The registered queries and their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import conversation_queries, graph_queries  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
