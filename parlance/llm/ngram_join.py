@@ -30,8 +30,10 @@ from .common import Forest, by_runs, connected_components, prepare, read_table
 WORDS, PERCENT = 4, 85
 #: Coordinates of a count vector, points of a leaf, members and summed set sizes of a chunk, pivots.
 GROUPS, LEAF, CHUNK_MEMBERS, CHUNK_SHINGLES, PIVOTS = 64, 8, 64, 2_000_000, 8
-#: Parts that may be empty in a set before its empty parts count as keys too.
-SPARE = 2
+#: There are 1 + D / SPARE parts more than needed.  Equal parts are equal in size and hash, so both sets
+#: of a pair rank their common parts alike, and each may leave out its weakest ones: of D + 1 + x parts
+#: in all, at least 1 + x are common, and the strongest of those is not among the x weakest of either.
+SPARE = 3
 #: Bits of the fixed-size bitmap that keeps sets outside clusters from being shuffled.
 BITMAP = 1 << 25
 #: Largest placement table (a few numbers a row) that is sent to every task; beyond it the join is shuffled.
@@ -127,17 +129,17 @@ def _part_keys(s: np.ndarray, level: int, low: np.ndarray, percent: int) -> np.n
     differ = (100 - percent) * 2 * most // (100 + percent)
     if differ == 0:
         return np.zeros(0, dtype=np.uint64)  # only equal sets can link, and those are one row already
-    parts = differ + 1 + SPARE
+    spare = 1 + differ // SPARE
+    parts = differ + 1 + spare
     part = ((s >> _U(32)) * _U(parts)) >> _U(32)
-    at = np.flatnonzero(np.diff(part)) + 1
-    start = np.concatenate(([0], at))
-    sums = np.add.reduceat(_mix(s), start)
+    start = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1))
     salt = np.full(1, level, dtype=np.uint64) * _M1
-    key = _mix(sums ^ _mix(part[start] + salt))
-    if parts - len(start) > SPARE:
+    key = _mix(np.add.reduceat(_mix(s), start) ^ _mix(part[start] + salt))
+    many = np.diff(np.append(start, len(s)))
+    if parts - len(start) > spare:  # so few shingles that empty parts must count
         empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[start], assume_unique=True)
-        key = np.concatenate([key, _mix(_mix(empty + salt) ^ _M2)])
-    return key
+        key, many = np.concatenate([_mix(_mix(empty + salt) ^ _M2), key]), np.concatenate([np.zeros(len(empty), dtype=np.int64), many])
+    return key[np.lexsort((key, many))[len(key) - differ - 1 :]]
 
 
 def set_keys(s: np.ndarray, percent: int = PERCENT, low: np.ndarray | None = None) -> np.ndarray:
