@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, read_table
+from .common import map_arrow, prepare, read_table
 
 #: Generated training pages, trees, their depth, shrinkage, bins of a feature, and the seed.
-PAGES, TREES, DEPTH, SHRINK, BINS, SEED = 400, 60, 4, 0.25, 32, 20
+PAGES, TREES, DEPTH, SHRINK, BINS, SEED = 900, 60, 5, 0.25, 16, 20
 
 # fixed values: HTML's void, raw-text, block and implied-end elements
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -206,7 +206,7 @@ class Boosted:
         self.trees, self.depth, self.shrink, self.bins = trees, depth, shrink, bins
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
+        self.cuts = [self._cuts(c) for c in x.T]
         b = np.stack([np.searchsorted(cut, c, "right") for cut, c in zip(self.cuts, x.T)], 1)
         self.base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
         margin, self.forest = np.full(len(y), self.base), []
@@ -218,24 +218,32 @@ class Boosted:
             margin += leaf
         return self
 
+    def _cuts(self, c: np.ndarray) -> np.ndarray:
+        """Between all values where they are few, else at quantiles."""
+        values = np.unique(c)
+        if len(values) <= self.bins:
+            return (values[1:] + values[:-1]) / 2
+        return np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1]))
+
     def _grow(self, b: np.ndarray, g: np.ndarray, h: np.ndarray):
         """A complete binary tree: arrays of feature and bin for the inner nodes, values for the leaves."""
         inner = (1 << self.depth) - 1
         feature, cut, value = np.zeros(inner, dtype=int), np.full(inner, self.bins, dtype=int), np.zeros(inner + 1)
         place = np.zeros(len(g), dtype=int)
+        width = b.shape[1]
+        cells = b + self.bins * np.arange(width)
         for node in range(inner):
             rows = np.flatnonzero(place == node)
             best = (1e-9, 0, self.bins)
             if len(rows) >= 10:
                 gs, hs = g[rows], h[rows]
                 whole = gs.sum() ** 2 / (hs.sum() + 1)
-                for f in range(b.shape[1]):
-                    v = b[rows, f]
-                    left_g, left_h = np.cumsum(np.bincount(v, gs, self.bins))[:-1], np.cumsum(np.bincount(v, hs, self.bins))[:-1]
-                    gain = left_g**2 / (left_h + 1) + (gs.sum() - left_g) ** 2 / (hs.sum() - left_h + 1) - whole
-                    k = int(gain.argmax())
-                    if gain[k] > best[0]:
-                        best = (float(gain[k]), f, k)
+                at = cells[rows].ravel()
+                left_g, left_h = (np.bincount(at, np.repeat(v, width), self.bins * width).reshape(width, self.bins).cumsum(1)[:, :-1] for v in (gs, hs))
+                gain = left_g**2 / (left_h + 1) + (gs.sum() - left_g) ** 2 / (hs.sum() - left_h + 1) - whole
+                f, k = np.unravel_index(gain.argmax(), gain.shape)
+                if gain[f, k] > best[0]:
+                    best = (float(gain[f, k]), int(f), int(k))
             feature[node], cut[node] = best[1], best[2]
             place[rows] = 2 * node + 1 + (b[rows, best[1]] > best[2])
         for leaf in range(inner + 1):
@@ -275,14 +283,17 @@ class Generator:
             return self.words(1, 6)
         if r.random() < 0.1:
             return " ".join([self.words(1, 2)] * r.randint(3, 30))
-        return " ".join(self.sentence() for _ in range(r.randint(1, 8)))
+        text = " ".join(self.sentence() for _ in range(r.randint(1, 8)))
+        if r.random() < 0.15:  # odd texts: separators, shouting, trailing signs
+            text = r.choice([" | ", "!! ", "%%% ", " » ", ", "]).join(text.split())
+        return text.upper() if r.random() < 0.03 else text
 
     def article(self) -> str:
         r, out = self.r, []
         kept = ' data-kept="1"'
         if r.random() < 0.7:
             out.append(f"<h1{kept}>{self.words(2, 12)}</h1>")
-        for _ in range(r.randint(1, 9)):
+        for _ in range(r.choice([1, 1, 2, 3, 4, 5, 6, 8])):
             k = r.random()
             text = self.prose()
             if r.random() < 0.2:
@@ -297,8 +308,8 @@ class Generator:
                 out.append(f"<blockquote{kept}><p{kept}>{text}</p></blockquote>")
             else:
                 out.append(f"<div{kept}>{text}</div>")
-            if r.random() < 0.08:
-                out.append(self.junk(r.choice(["ad", "notice", "share", "related"])))
+            if r.random() < 0.2:
+                out.append(self.junk(r.choice(["ad", "ad", "notice", "share", "related", "form", "comment", "nav"])))
         return "".join(out)
 
     def junk(self, kind: str) -> str:
@@ -432,7 +443,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    out = src.mapInArrow(work, "page_id long, url string, text string, n_chars long")
+    out = map_arrow(src, work, "page_id long, url string, text string, n_chars long")
     return out.withColumnRenamed("page_id", id_col).withColumnRenamed("url", url_col)
 
 
