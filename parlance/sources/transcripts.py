@@ -158,7 +158,7 @@ def parse_dialogue_pairs(files: DataFrame, limit: int | None = None, drop_unansw
     """Pairs of a JSON array of ``[lines, annotations]``; the id names the source position."""
     rows = files.select("stem", F.posexplode(F.from_json("content", "array<array<string>>")).alias("i", "unit"))
     kind = "array<struct<x: string, x_type: string, y: string, y_type: string, r: array<string>, t: array<string>>>"
-    rows = rows.where("size(unit) = 2").select(F.format_string("%s_%04d", "stem", "i").alias("dialogue_id"), "i", F.from_json(F.element_at("unit", 1), "array<string>").alias("lines"), F.from_json(F.element_at("unit", 2), kind).alias("pairs"))
+    rows = rows.where("size(unit) = 2").select(F.format_string("%s_%04d", "stem", "i").alias("dialogue_id"), "i", F.from_json(F.try_element_at("unit", F.lit(1)), "array<string>").alias("lines"), F.from_json(F.try_element_at("unit", F.lit(2)), kind).alias("pairs"))
     rows = rows.where("size(lines) > 0 AND size(pairs) > 0")
     if drop_unanswerable:
         rows = rows.where("exists(pairs, p -> size(p.r) > 0 AND NOT forall(p.r, r -> r = 'unanswerable'))")
