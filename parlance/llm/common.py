@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -24,6 +26,23 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, so that idle Python workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, work: Callable, schema) -> DataFrame:
+    """mapInArrow whose workers give memory back at the end of a task."""
+
+    def run(batches):
+        yield from work(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared checkpoint folder as Parquet and read it back.
 
@@ -69,6 +88,7 @@ def by_runs(df: DataFrame, key: list[str], order: list[str], work: Callable, sch
 
     def run(batches):
         yield from work(runs(batches, key))
+        _give_back()
 
     return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
 
@@ -136,10 +156,10 @@ def connected_components(edges: DataFrame, rounds: int = 60, small: int = TASK_E
     Spark's skew-join handling can split a hub's edges."""
     prepare(edges.sparkSession)
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    e = e.mapInArrow(_contract, "a long, b long").distinct().checkpoint()
+    e = map_arrow(e, _contract, "a long, b long").distinct().checkpoint()
     seen = _mark(e)
     if seen[0] <= small:
-        e = e.repartition(1).mapInArrow(_contract, "a long, b long").checkpoint()
+        e = map_arrow(e.repartition(1), _contract, "a long, b long").checkpoint()
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

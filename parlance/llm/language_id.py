@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import prepare, read_table
+from .common import map_arrow, prepare, read_table
 
 #: Hash buckets of trigrams; expected training documents of a language; pseudo-count of a bucket.
 BUCKETS, PER_LANGUAGE, SMOOTH = 1 << 15, 2000, 0.5
@@ -109,7 +109,7 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_la
                 at = np.flatnonzero(v)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(v[at])], names=["lang", "bucket", "n"])
 
-    rows = sample.select("text", "lang").mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = map_arrow(sample.select("text", "lang"), count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros((len(languages), BUCKETS))
     for r in rows.collect():  # at most BUCKETS rows a language
         counts[languages.index(r["lang"]), r["bucket"]] = r["n"]
@@ -143,7 +143,7 @@ def identify(docs: DataFrame, model: Mixture, text_col: str = "text") -> DataFra
             extra = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.string())]
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "lang_pred", "score", "lang_set"])
 
-    return docs.mapInArrow(work, schema)
+    return map_arrow(docs, work, schema)
 
 
 def fit(docs: DataFrame) -> Mixture:

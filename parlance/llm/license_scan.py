@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, read_table
+from .common import map_arrow, prepare, read_table
 
 # fixed values: phrases and labels of the base
 PHRASES = {("under", "the", "mit", "license"): "mit", ("apache", "license", "version", "2"): "apache-2", ("cc", "by", "nc"): "cc-by-nc"}
@@ -155,7 +155,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = src.mapInArrow(work, "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    out = map_arrow(src, work, "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
     return out.withColumnRenamed("id", id_col)
 
 

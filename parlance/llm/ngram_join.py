@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, by_runs, connected_components, prepare, read_table
+from .common import Forest, by_runs, connected_components, map_arrow, prepare, read_table
 
 #: 100 * intersection >= PERCENT * union
 WORDS, PERCENT = 4, 85
@@ -278,7 +278,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
                 none = pa.nulls(len(pairs), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id", "n", "fp", "a", "b"])
 
-    dealt = src.mapInArrow(keys, "key long, fp long, n long, id long")
+    dealt = map_arrow(src, keys, "key long, fp long, n long, id long")
     first = by_runs(dealt, ["key"], ["fp"], chains, "id long, n long, fp long, a long, b long").checkpoint()
     feats = first.where("n IS NOT NULL").select("id", "n", "fp")
     reps = feats.where("n > 0 AND id IS NOT NULL").groupBy("fp", "n").agg(F.min("id").alias("rep")).checkpoint()
@@ -313,7 +313,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
                     yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(fps, pa.int64()), pa.array(out, pa.binary())], names=["set_id", "set_fp", "grams"])
 
         rows = F.broadcast(rows) if rows.count() <= SEND_ROWS else rows
-        texts = src.mapInArrow(sets, "set_id long, set_fp long, grams binary")
+        texts = map_arrow(src, sets, "set_id long, set_fp long, grams binary")
         return texts.join(rows, (F.col("set_fp") == F.col("fp")) & (F.col("set_id") == F.col("rep"))).drop("set_fp", "set_id")
 
     def join_chunks(rows: DataFrame, seat) -> DataFrame:

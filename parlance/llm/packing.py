@@ -11,7 +11,9 @@ run dry leaves its share to the rest.
 
 from __future__ import annotations
 
+import json
 import zlib
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, read_table, stored
+from .common import map_arrow, prepare, read_table, stored
 
 WINDOW = 2048
 VOCABULARY, END_ID = "byte_bpe_50k", 1
@@ -43,8 +45,19 @@ class Encoder:
         with open(place(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(place(f"{name}.json"))
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self._load = lambda: Tokenizer.from_file(place(f"{name}.json"))
+        self.special = self._specials(place(f"{name}.json"))
+
+    @staticmethod
+    @lru_cache
+    def _specials(path: str) -> tuple[str, ...]:
+        with open(path, encoding="utf-8") as f:
+            return tuple(t["content"] for t in json.load(f)["added_tokens"])
+
+    @cached_property
+    def exact(self):
+        """The JSON tokenizer; it is loaded when a text needs it."""
+        return self._load()
 
     def ids(self, text: str) -> list[int]:
         if any(s in text for s in self.special):
@@ -164,7 +177,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["id", "source", "part", "before", "n", "ids"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
-    rows = stored(src.mapInArrow(encode, "id long, source string, part int, before long, n long, ids binary"))
+    rows = stored(map_arrow(src, encode, "id long, source string, part int, before long, n long, ids binary"))
     parts = rows.groupBy("source", "part").agg(F.sum("n").alias("tokens")).checkpoint()
     order = [F.col("source").asc_nulls_last()]
     totals = parts.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy(*order).collect()  # a row a source
@@ -192,7 +205,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
             cols = list(zip(*out)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    out = rows.mapInArrow(place, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    out = map_arrow(rows, place, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
 
 
