@@ -18,15 +18,15 @@ from functools import cached_property, lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, prepare, read_table, stored
 
 WINDOW = 2048
 VOCABULARY, END_ID = "byte_bpe_50k", 1
-#: Longest text that is encoded in one call of the fast encoder.
-LONG_TEXT = 4_000_000
+#: Longest list of task totals that is sent to every task; a longer one is joined in a shuffle.
+SEND_ROWS = 300_000
 
 
 class Encoder:
@@ -184,21 +184,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     names = [r["source"] for r in totals]
     schedule = Schedule([int(r["tokens"]) for r in totals], [float((rates or {}).get(n, 1)) for n in names] if rates else None, window)
     where = {n: k for k, n in enumerate(names)}
-    # a row a source and task: tokens of the source in earlier tasks
-    ahead = {(r["source"], r["part"]): r["tokens"] for r in parts.collect()}
-    base, reached = {}, {}
-    for s, p in sorted(ahead, key=lambda x: x[1]):
-        base[s, p] = reached.get(s, 0)
-        reached[s] = base[s, p] + int(ahead[s, p])
+    # a row a source and task: tokens of the source in earlier tasks.  The list grows with the tasks, so
+    # it is sent to all of them only while it is short
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select(F.col("source").alias("of"), F.col("part").alias("at"), F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"))
+    on = rows.source.eqNullSafe(F.col("of")) & (rows.part == F.col("at"))
+    rows = rows.join(F.broadcast(base) if parts.count() <= SEND_ROWS else base, on).select("id", "source", (F.col("base") + F.col("before")).alias("start"), "n", "ids")
 
     def place(batches):
         known: dict[int, np.ndarray] = {}
         for b in batches:
             out = []
-            cols = (b.column(k).to_pylist() for k in range(6))
-            for doc, source, part, before, n, raw in zip(*cols):
+            cols = (b.column(k).to_pylist() for k in range(5))
+            for doc, source, start, n, raw in zip(*cols):
                 ids = np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
-                for lo, hi, w, offset in schedule.pieces(where[source], base[source, part] + before, n, known):
+                for lo, hi, w, offset in schedule.pieces(where[source], start, n, known):
                     out.append((doc, lo, hi - lo, zlib.crc32(ids[lo:hi].tobytes()), n, w, offset))
             if len(known) > 20_000:
                 known.clear()
