@@ -81,7 +81,7 @@ def softmax_entropy(spark, sf_dir):
     return e.select("vec_id", F.round(F.col("p")[0], 6).alias("p0"), fx.argmax(F.col("x")).alias("top"), F.round(fx.entropy_fraction(F.col("p")), 6).alias("entropy"))
 
 
-@query("SELECT vec_id, CASE WHEN label <= 4 THEN 0.0 ELSE 1.0 END AS p_masked, CAST(CASE WHEN label <= 4 THEN 1 ELSE 0 END AS INT) AS best FROM embeddings WHERE label IS NOT NULL")
+@query("SELECT vec_id, CASE WHEN label <= 4 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS p_masked, CAST(CASE WHEN label <= 4 THEN 1 ELSE 0 END AS INT) AS best FROM embeddings WHERE label IS NOT NULL")
 def masked_argmax(spark, sf_dir):
     mask = F.array(F.col("label") > 4, F.col("label") <= 4)
     z = fx.masked(F.array(F.lit(3.0), F.lit(1.0)), mask)
