@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -28,6 +29,7 @@ def prepare(spark: SparkSession) -> None:
 
 def _give_back() -> None:
     """Return freed memory to the system, so that idle Python workers stay small."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library can trim
         ctypes.CDLL(None).malloc_trim(0)

@@ -45,7 +45,7 @@ _BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 256, dtype=n
 _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _powers = {base: np.ones(1, dtype=np.uint64) for base in (int(_BASE), pow(int(_BASE), -1, 1 << 64))}
 
 
