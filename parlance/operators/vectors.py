@@ -83,25 +83,23 @@ def kmeans_memory(rows: DataFrame, m: int, seed: int, pool: int = 20_000) -> Dat
     """label, row_id: per class all rows if there are at most ``m``; else the member nearest to each of
     min(m, distinct vectors) cluster centres.
 
-    A class is one task.  So that its memory is bounded, a class of more than ``pool`` rows is
-    clustered on the ``pool`` rows of smallest digest."""
-    key = F.xxhash64("row_id", F.lit(seed))
+    The centres are fitted on all rows of a class, or on about ``pool`` of a larger one (chosen by
+    digest); every row is then assigned to its nearest centre in place, and the nearest member of each
+    cluster is an aggregation over all rows."""
     sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
-    share = F.pmod(key, F.lit(1 << 30)) < F.lit(float(pool)) / F.col("n") * (1 << 30)
-    held = rows.join(F.broadcast(sizes), "label").where((F.col("n") <= pool) | share).select("label", "row_id", "x")
-
-    def choose(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("row_id")
-        if len(g) <= m:
-            return g[["label", "row_id"]]
-        x = np.stack(g["x"]).astype(float)
-        k = min(m, len(np.unique(x, axis=0)))
-        at, picked = kmeans(x, k, seed), []
-        for j in range(k):
-            rows_ = np.flatnonzero(at == j)
-            if len(rows_):
-                d = ((x[rows_] - x[rows_].mean(0)) ** 2).sum(1)
-                picked.append(g["row_id"].iloc[rows_[d.argmin()]])
-        return pd.DataFrame({"label": g["label"].iloc[0], "row_id": sorted(picked)})
+    sized = rows.join(F.broadcast(sizes), "label")  # a row a class
+    share = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(1 << 30)) < F.lit(float(pool)) / F.col("n") * (1 << 30)
+    fitted = sized.where((F.col("n") > m) & ((F.col("n") <= pool) | share)).select("label", "row_id", "x")
+
+    def centres(g: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(g.sort_values("row_id")["x"]).astype(float)
+        at = kmeans(x, min(m, len(np.unique(x, axis=0))), seed)
+        found = [x[at == j].mean(0).tolist() for j in np.unique(at)]
+        return pd.DataFrame({"label": [g["label"].iloc[0]], "centres": [found]})
 
-    return held.groupBy("label").applyInPandas(choose, "label int, row_id long")
+    c = fitted.groupBy("label").applyInPandas(centres, "label int, centres array<array<double>>")
+    x = F.col("x").cast("array<double>")
+    distance = F.transform("centres", lambda p, i: F.struct(fx.total(F.zip_with(x, p, lambda a, b: (a - b) * (a - b))).alias("d"), i.alias("i")))
+    placed = sized.where(F.col("n") > m).join(F.broadcast(c), "label").select("label", "row_id", F.array_min(distance).alias("to"))
+    picked = placed.groupBy("label", "to.i").agg(F.min_by("row_id", F.struct("to.d", "row_id")).alias("row_id"))
+    return sized.where(F.col("n") <= m).select("label", "row_id").union(picked.select("label", "row_id"))
