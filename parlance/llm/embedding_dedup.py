@@ -3,8 +3,9 @@
 Codes are signs of rotated vectors; the rotation is learnt on a bounded sample (Gong & Lazebnik,
 2011), several times from different starts when more bits are needed.  Each table indexes one piece
 of the code.  The pieces grow with the logarithm of the number of vectors, so that a bucket of
-unrelated vectors keeps its size.  Vectors of one bucket are compared in blocks by their original
-coordinates in double precision; a pair counts in the first table where it meets.
+unrelated vectors keeps its size; the number of tables grows with them, until pairs at the threshold
+meet in some table with probability RECALL.  Vectors of one bucket are compared in blocks by their
+original coordinates in double precision; a pair counts in the first table where it meets.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from .common import Forest, by_runs, connected_components, map_arrow, prepare, r
 COSINE, TABLES = 0.93, 14
 #: Vectors that the rotation is learnt on, its rounds, and the vectors of one block of a bucket.
 SAMPLE, ROUNDS, BLOCK = 4096, 40, 512
+#: Expected share of the pairs at the threshold that meet; made pairs it is measured on; most tables, beyond
+#: which pieces get shorter instead.
+RECALL, MADE, MOST_TABLES = 0.95, 2048, 192
 
 
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -35,6 +39,57 @@ def learn_rotation(x: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.ndarray
     return r
 
 
+def piece_bits(n: int) -> int:
+    """Bits of a code piece for ``n`` vectors."""
+    return min(24, max(8, math.ceil(math.log2(max(2, n))) - 4))
+
+
+def tables_for(bits: int, cosine: float, recall: float = RECALL) -> int:
+    """Tables in which a pair at the threshold meets with probability ``recall``, if hyperplanes are random."""
+    meets = (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** bits
+    return 1 if meets >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-meets))
+
+
+def made_pairs(x: np.ndarray, cosine: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors and partners at exactly ``cosine``: away in any direction, and in directions of the data."""
+    r = np.random.default_rng(9)
+    x = x[r.integers(len(x), size=MADE)]
+    out = []
+    for away in (r.standard_normal(x.shape), x[r.permutation(len(x))] - x):
+        away = away - (away * x).sum(1, keepdims=True) * x
+        length = np.linalg.norm(away, axis=1)
+        good = length > 1e-9
+        if good.sum() >= MADE // 4:
+            a, u = x[good], away[good] / length[good, None]
+            out.append((a, cosine * a + math.sqrt(max(0.0, 1 - cosine * cosine)) * u))
+    return out
+
+
+def fit_tables(learnt: np.ndarray, d: int, mean: np.ndarray, bits: int, tables: int, cosine: float) -> tuple[np.ndarray, int, int]:
+    """(hyperplanes as columns, bits, tables): so many tables, of at least ``tables``, that RECALL is met on made pairs.
+
+    Hyperplanes that do not tell the made pairs apart well enough in MOST_TABLES get shorter pieces."""
+    base = learnt if len(learnt) else np.random.default_rng(8).standard_normal((MADE, d))
+    pairs = made_pairs(base / np.linalg.norm(base, axis=1, keepdims=True), cosine)
+    parts: list[np.ndarray] = []
+    while True:
+        need = max(tables, tables_for(bits, cosine))
+        most = max(need, MOST_TABLES)
+        met = [np.zeros(len(a), dtype=bool) for a, _ in pairs]
+        done = 0
+        while done < need or (done < most and any(m.mean() < RECALL for m in met)):
+            while len(parts) * d < (done + 1) * bits:
+                parts.append(learn_rotation(learnt - mean, 100 + len(parts)))
+            planes = np.concatenate(parts[done * bits // d : -(-(done + 1) * bits // d)], axis=1)
+            at = done * bits % d
+            for m, (a, b) in zip(met, pairs):
+                m |= (((a - mean) @ planes[:, at : at + bits] >= 0) == ((b - mean) @ planes[:, at : at + bits] >= 0)).all(1)
+            done += 1
+        if bits == 1 or all(m.mean() >= RECALL for m in met):
+            return np.concatenate(parts, axis=1)[:, : done * bits], bits, done
+        bits = max(1, bits - 2)
+
+
 def _unit(v: list | None) -> np.ndarray | None:
     if v is None or not len(v) or any(c is None for c in v):
         return None
@@ -99,7 +154,8 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     those with null or non-finite components link with nothing.  Copies of a vector meet as one row
     with a weight, and count as links of each other.  Rows with a null id take no part: 0 links and
     null component.  Rows that repeat an id are one vector if their vectors are the same; the other
-    columns are not read.  An empty table gives no rows."""
+    columns are not read.  An empty table gives no rows.  There are at least ``tables`` tables, and as
+    many more as RECALL takes at the length of code pieces that the number of vectors asks for."""
     spark = vectors.sparkSession
     prepare(spark)
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("long").alias("label"))
@@ -122,35 +178,36 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     reps = rows.where("fp IS NOT NULL").withColumnRenamed("fp", "own").join(groups, (F.col("own") == F.col("fp")) & (F.col("id") == F.col("node")))
     reps = reps.select("node", "label", "weight", "dim", "vector").dropDuplicates(["node"]).checkpoint()
     total = max(2, reps.count())
-    bits = min(24, max(8, math.ceil(math.log2(total)) - 4))
+    bits = piece_bits(total)
     sample = reps.orderBy(F.xxhash64("node", F.lit(7))).limit(SAMPLE).select("dim", "vector").collect()
     dims = [r["dim"] for r in sample]
     main = max(set(dims), key=lambda d: (dims.count(d), d)) if dims else 1
     learnt = np.array([np.frombuffer(r["vector"], dtype=np.float64) for r in sample if r["dim"] == main]).reshape(-1, main)
     mean = learnt.mean(0) if len(learnt) else np.zeros(main)
 
-    def rotations(d: int) -> list[np.ndarray]:
-        need = -(-tables * bits // d)
-        return [learn_rotation(learnt - mean if d == main else np.zeros((0, d)), 100 + k) for k in range(need)]
+    def fit(d: int) -> tuple[np.ndarray, int, int]:
+        return fit_tables(learnt if d == main else np.zeros((0, d)), d, mean if d == main else np.zeros(d), bits, tables, cosine)
 
-    fitted = rotations(main)
+    fitted = fit(main)
 
     def index(batches):
         known = {main: fitted}
-        power = 1 << np.arange(bits, dtype=np.int64)
         for b in batches:
             raw, dim = b.column(4), b.column(3).to_pylist()
             codes = []
             for r, d in zip(raw, dim):
                 if d not in known:
-                    known[d] = rotations(d)
+                    known[d] = fit(d)
+                planes, width, count = known[d]
                 x = np.frombuffer(r.as_buffer(), dtype=np.float64)
-                x = x - mean if d == main else x
-                sign = np.concatenate([x @ k for k in known[d]])[: tables * bits] >= 0
-                codes.append((sign.reshape(tables, bits) @ power).astype(np.int32))
-            every = np.array(codes, dtype=np.int32).reshape(-1, tables)
-            for t in range(tables):
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(codes), pa.int32()), b.column(1), b.column(3), pa.array(every[:, t]), b.column(0), b.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), raw], names=["t", "label", "dim", "key", "node", "weight", "codes", "vector"])
+                sign = (x - mean if d == main else x) @ planes >= 0
+                codes.append((sign.reshape(count, width) @ (1 << np.arange(width, dtype=np.int64))).astype(np.int32))
+            packed = pa.array([c.tobytes() for c in codes], pa.binary())
+            for t in range(max((len(c) for c in codes), default=0)):
+                at = pa.array([k for k, c in enumerate(codes) if len(c) > t], pa.int64())
+                key = pa.array([int(c[t]) for c in codes if len(c) > t], pa.int32())
+                label, size, node, weight, vector = (b.column(k).take(at) for k in (1, 3, 0, 2, 4))
+                yield pa.RecordBatch.from_arrays([pa.array([t] * len(at), pa.int32()), label, size, key, node, weight, packed.take(at), vector], names=["t", "label", "dim", "key", "node", "weight", "codes", "vector"])
 
     indexed = map_arrow(reps, index, "t int, label long, dim int, key int, node long, weight long, codes binary, vector binary")
     # buckets of more than one block are compared block by block, each pair of blocks a seat of its own

@@ -67,6 +67,31 @@ def test_embedding_dedup(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [16, 20])
+def test_embedding_recall_with_long_code_pieces(spark, monkeypatch, bits):
+    """Pairs just above the threshold meet as often with the pieces of millions of vectors."""
+    monkeypatch.setattr(embedding_dedup, "piece_bits", lambda n: bits)
+    r = np.random.default_rng(6)
+    x, away = r.standard_normal((2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away -= (away * x).sum(1, keepdims=True) * x
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    y = 0.931 * x + np.sqrt(1 - 0.931**2) * away
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>, label int")
+    got = {q.vec_id: q.n_links for q in embedding_dedup.near_duplicate_vectors(df).collect()}
+    assert max(got.values()) == 1
+    found = sum(got[i] for i in range(1500)) / 1500
+    print(f"recall with {bits} bits: {found:.4f}")
+    assert found >= 0.94
+
+
+def test_tables_keep_recall_at_every_size():
+    p = 1 - np.arccos(0.93) / np.pi
+    for n in (2, 10_000, 10**6, 10**7, 10**9):
+        bits = embedding_dedup.piece_bits(n)
+        assert 1 - (1 - p**bits) ** embedding_dedup.tables_for(bits, 0.93) >= 0.95
+
+
 def test_rotation_is_orthogonal():
     x = np.random.default_rng(1).standard_normal((500, 16))
     r = embedding_dedup.learn_rotation(x, 3)
