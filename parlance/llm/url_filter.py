@@ -18,8 +18,8 @@ from .common import map_arrow, prepare, read_table
 
 # fixed values: the rules (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Words of the segmenter, expected pages it is learnt from, expected labelled URLs, tokens of the model.
-VOCABULARY, WORD_PAGES, LABELLED, TOKENS = 50_000, 5_000, 50_000, 100_000
+#: Expected labelled URLs that the verdict model is learnt from.
+LABELLED = 50_000
 LONGEST_WORD, ALPHA = 20, 1.0
 
 _TOKEN = re.compile(r"[a-z]+|[0-9]+")
@@ -46,8 +46,9 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 class Segmenter:
     """Unigram Viterbi: the split of a name into words with the highest probability."""
 
-    def __init__(self, counts: dict[str, float]):
-        total = sum(counts.values()) + 1.0
+    def __init__(self, counts: dict[str, float], total: float | None = None):
+        """Counts of words; ``total`` is the count of all words where ``counts`` leaves some out."""
+        total = (sum(counts.values()) if total is None else total) + 1.0
         self.log = {w: math.log(n / total) for w, n in counts.items()}
         self.unknown = math.log(1 / total)
         self.split = lru_cache(100_000)(self._split)
@@ -102,13 +103,19 @@ class NaiveBayes:
 
 
 def learn_words(texts: Column, pages: DataFrame) -> Segmenter:
-    """Word counts of about WORD_PAGES pages, the VOCABULARY most frequent; those of 2 letters or more."""
-    total = pages.count()
-    share = int(min(1.0, WORD_PAGES / max(1, total)) * (1 << 30))
+    """Word counts of all pages (words of 2 to LONGEST_WORD letters); only words that some host of ``url`` holds are kept.
+
+    No other word can be looked up, so hosts split as with the counts of every word."""
     text = F.regexp_replace(F.lower(F.coalesce(texts, F.lit(""))), r"(?s)<[^>]*>", " ")
-    words = pages.where(F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 30)) < share).select(F.explode(F.regexp_extract_all(text, F.lit(r"\b[a-z]{2,20}\b"), 0)).alias("word"))
-    rows = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    return Segmenter({r["word"]: float(r["n"]) for r in rows})
+    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(rf"\b[a-z]{{2,{LONGEST_WORD}}}\b"), 0)).alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).checkpoint()
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
+    runs = hosts.select(F.explode(F.regexp_extract_all("host", F.lit("[a-z]{2,}"), 0)).alias("run")).distinct().withColumn("size", F.length("run"))
+    starts = runs.select("run", "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("start"))
+    sizes = F.sequence(F.lit(2), F.least(F.lit(LONGEST_WORD), F.col("size") - F.col("start") + 1))
+    held = starts.select(F.explode(F.transform(sizes, lambda k: F.substring("run", F.col("start"), k))).alias("word")).distinct()
+    return Segmenter({r["word"]: float(r["n"]) for r in counts.join(held, "word", "left_semi").collect()}, float(total))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -139,8 +146,8 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
             yield pa.RecordBatch.from_arrays([pa.array(what, pa.string()), pa.array(token, pa.string())], names=["verdict", "token"])
 
     counts = map_arrow(sample.select("ruled", "host", "path"), tokens, "verdict string, token string").groupBy("verdict", "token").agg(F.count("*").alias("n"))
-    counts = counts.orderBy(F.desc("n"), "token", "verdict").limit(TOKENS).collect()
-    model = NaiveBayes({(r["verdict"], r["token"]): r["n"] for r in counts}, decided)
+    # every token of the sample: a token may not lose the row of one class
+    model = NaiveBayes({(r["verdict"], r["token"]): r["n"] for r in counts.collect()}, decided)
 
     def judge(batches):
         for b in batches:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.llm import common, embedding_dedup, html_extract, url_filter
 
@@ -165,6 +166,23 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_words_of_all_pages_are_counted(spark):
+    name = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05d}") + "zq"
+    rows = [(i, f"http://{name(i)}shop.com/", f"<p>{name(i)} shop, shop</p>") for i in range(6000)]
+    s = url_filter.learn_words(F.col("html"), spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sum(name(i) in s.log for i in range(6000)) == 6000
+    assert s.log["shop"] == pytest.approx(np.log(12_000 / 18_001))
+    assert s.log[name(7)] == pytest.approx(np.log(1 / 18_001))
+    assert s.split(f"{name(7)}shop") == (name(7), "shop")
+
+
+def test_url_tokens_keep_both_classes(spark, monkeypatch):
+    df = spark.createDataFrame([(i, u, "<p>free bets words</p>") for i, u in enumerate(URLS * 3)], "page_id long, url string, html string")
+    whole = {r.page_id: r.odds for r in url_filter.filter_urls(df).collect()}
+    monkeypatch.setattr(url_filter, "TOKENS", 2, raising=False)
+    assert {r.page_id: r.odds for r in url_filter.filter_urls(df).collect()} == whole
+
+
 def test_segmenter():
     s = url_filter.Segmenter({"free": 50, "bets": 30, "be": 40, "online": 20, "casino": 10})
     assert s.split("freebetsonline") == ("free", "bets", "online")
