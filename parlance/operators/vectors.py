@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,26 +80,145 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 50) -> np.ndarray:
     return at
 
 
-def kmeans_memory(rows: DataFrame, m: int, seed: int, pool: int = 20_000) -> DataFrame:
+#: Starts of k-means and most rounds of each, as in the reference; a start ends when its centres move by
+#: less than this share of the mean variance.
+STARTS, ROUNDS, STILL = 10, 300, 1e-4
+
+
+def _uniform(ids: np.ndarray, *salt: int) -> np.ndarray:
+    """A number in (0, 1) for each id, by splitmix64."""
+    z = ids.astype(np.int64).view(np.uint64)
+    for k in salt:
+        z = z + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = z ^ (z >> np.uint64(31))
+    return ((z >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+
+
+def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances; those near zero are exact."""
+    d = np.maximum(0.0, (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None])
+    i, j = np.nonzero(d <= 1e-9 * (1 + (x * x).sum(1))[:, None])
+    d[i, j] = ((x[i] - c[j]) ** 2).sum(1)
+    return d
+
+
+def _next_centre(ids: np.ndarray, x: np.ndarray, c: np.ndarray, seed: int, start: int) -> np.ndarray:
+    """Race value and vector of the row drawn by squared distance to the centres so far (k-means++)."""
+    d = _squares(x, c).min(1) if len(c) else np.ones(len(x))
+    with np.errstate(divide="ignore"):
+        race = np.where(d > 0, -np.log(_uniform(ids, seed, start, len(c))) / d, np.inf)
+    k = race.argmin()
+    return np.concatenate([[race[k]], x[k]])
+
+
+def _moved(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Sums and counts of each cluster, inertia, sum of squares, and the farthest row after its distance."""
+    d = _squares(x, c)
+    at, near = d.argmin(1), d.min(1)
+    member = (at[:, None] == np.arange(len(c))).astype(float)
+    far = near.argmax()
+    return np.concatenate([(member.T @ x).ravel(), member.sum(0), [near.sum(), (x * x).sum(), near[far]], x[far]])
+
+
+def _merge(a: np.ndarray | None, b: np.ndarray, dims: int, first: bool) -> np.ndarray:
+    if a is None:
+        return b
+    if first:
+        return a if a[0] <= b[0] else b
+    cut = len(a) - dims - 1
+    return np.concatenate([a[:cut] + b[:cut], a[cut:] if a[cut] >= b[cut] else b[cut:]])
+
+
+def _pass(rows: DataFrame, held: dict, first: bool, seed: int) -> dict:
+    """One pass over all rows: (label, start) -> drawn row (``first``) or moments of the clusters.
+
+    A partition sends one row for each label and start; ``held`` has the centres of each."""
+    shared = rows.sparkSession.sparkContext.broadcast(held)
+
+    def partial(batches):
+        held, got = shared.value, {}
+        by_label: dict = {}
+        for label, start in held:
+            by_label.setdefault(label, []).append(start)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            labels, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            for label in np.unique(labels):
+                mine = labels == label
+                for start in by_label.get(int(label), ()):
+                    at = int(label), start
+                    new = _next_centre(ids[mine], x[mine], held[at], seed, start) if first else _moved(x[mine], held[at])
+                    got[at] = _merge(got.get(at), new, x.shape[1], first)
+            dims = x.shape[1]
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.int32()), pa.array([k[1] for k in got], pa.int32()), pa.array([dims] * len(got), pa.int32()), pa.array([v.tobytes() for v in got.values()], pa.binary())], names=["label", "start", "dims", "v"])
+
+    def whole(g: pd.DataFrame) -> pd.DataFrame:
+        out = None
+        for v in sorted(g["v"]):
+            out = _merge(out, np.frombuffer(v), int(g["dims"].iloc[0]), first)
+        return pd.DataFrame({"label": g["label"].iloc[:1], "start": g["start"].iloc[:1], "v": [out.tobytes()]})
+
+    parts = rows.select("label", "row_id", "x").mapInArrow(partial, "label int, start int, dims int, v binary")
+    out = parts.groupBy("label", "start").applyInPandas(whole, "label int, start int, v binary").collect()
+    return {(r["label"], r["start"]): np.frombuffer(bytes(r["v"])) for r in out}
+
+
+def kmeans_centres(rows: DataFrame, labels: list[int], m: int, seed: int, starts: int = STARTS, rounds: int = ROUNDS) -> dict[int, np.ndarray]:
+    """label -> min(m, distinct vectors) centres of the best of ``starts`` starts, fitted on all rows (label, row_id, x) of ``labels``.
+
+    Every draw and every round is one pass over the rows; only centres come to the driver."""
+    c = {(label, s): np.zeros((0, 0)) for label in labels for s in range(starts)}
+    growing = set(c)
+    for _ in range(m):
+        for at, v in _pass(rows, {k: c[k] for k in growing}, True, seed).items():
+            if np.isfinite(v[0]):
+                c[at] = np.concatenate([c[at].reshape(-1, len(v) - 1), v[None, 1:]])
+            else:  # every distinct vector is a centre
+                growing.discard(at)
+        if not growing:
+            break
+    cost: dict = {}
+    moving, still = set(c), set()
+    for turn in range(rounds + 1):
+        for at, v in _pass(rows, {k: c[k] for k in moving}, False, seed).items():
+            k, d = c[at].shape
+            sums, n, (inertia, squares) = v[: k * d].reshape(k, d), v[k * d : k * d + k], v[k * d + k : k * d + k + 2]
+            cost[at] = inertia
+            if at in still or turn == rounds:
+                moving.discard(at)
+                continue
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c[at])
+            empty = np.flatnonzero(n == 0)
+            if len(empty):
+                new[empty[0]] = v[-d:]
+            elif ((new - c[at]) ** 2).sum() <= STILL * (squares / n.sum() - ((sums.sum(0) / n.sum()) ** 2).sum()) / d:
+                still.add(at)
+            c[at] = new
+        if not moving:
+            break
+    return {label: c[min(((label, s) for s in range(starts)), key=lambda at: (cost[at], at))] for label in labels}
+
+
+def kmeans_memory(rows: DataFrame, m: int, seed: int, starts: int = STARTS) -> DataFrame:
     """label, row_id: per class all rows if there are at most ``m``; else the member nearest to each of
     min(m, distinct vectors) cluster centres.
 
-    The centres are fitted on all rows of a class, or on about ``pool`` of a larger one (chosen by
-    digest); every row is then assigned to its nearest centre in place, and the nearest member of each
-    cluster is an aggregation over all rows."""
+    The centres are fitted on all rows of a class at every size, from ``starts`` starts; every row is
+    then assigned to its nearest centre in place, and the nearest member of each cluster is an
+    aggregation over all rows."""
+    spark = rows.sparkSession
     sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
     sized = rows.join(F.broadcast(sizes), "label")  # a row a class
-    share = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(1 << 30)) < F.lit(float(pool)) / F.col("n") * (1 << 30)
-    fitted = sized.where((F.col("n") > m) & ((F.col("n") <= pool) | share)).select("label", "row_id", "x")
-
-    def centres(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(g.sort_values("row_id")["x"]).astype(float)
-        at = kmeans(x, min(m, len(np.unique(x, axis=0))), seed)
-        found = [x[at == j].mean(0).tolist() for j in np.unique(at)]
-        return pd.DataFrame({"label": [g["label"].iloc[0]], "centres": [found]})
-
-    c = fitted.groupBy("label").applyInPandas(centres, "label int, centres array<array<double>>")
     x = F.col("x").cast("array<double>")
+    large = [r["label"] for r in sizes.where(F.col("label").isNotNull() & (F.col("n") > m)).collect()]  # a row a class
+    fitted = rows.where(F.col("label").isin(large)).select(F.col("label").cast("int").alias("label"), F.col("row_id").cast("long").alias("row_id"), x.alias("x"))
+    found = kmeans_centres(fitted, large, m, seed, starts) if large else {}
+    c = spark.createDataFrame([(label, v.tolist()) for label, v in sorted(found.items())], "label int, centres array<array<double>>")
     distance = F.transform("centres", lambda p, i: F.struct(fx.total(F.zip_with(x, p, lambda a, b: (a - b) * (a - b))).alias("d"), i.alias("i")))
     placed = sized.where(F.col("n") > m).join(F.broadcast(c), "label").select("label", "row_id", F.array_min(distance).alias("to"))
     picked = placed.groupBy("label", "to.i").agg(F.min_by("row_id", F.struct("to.d", "row_id")).alias("row_id"))

@@ -184,6 +184,28 @@ def test_prototypes_and_memory(spark):
     assert n == {0: 8, 1: 10, 2: 3}
 
 
+def test_memory_centres_come_from_every_row(spark):
+    """Rows that are clusters of their own are found in a class far beyond any sample."""
+    lone = {11: [0.0, 900.0], 20_011: [900.0, 0.0], 40_011: [-900.0, 0.0], 59_011: [0.0, -900.0]}
+    place = F.array((F.col("id") % 6) * 40.0 + F.rand(3), F.rand(4))
+    for i, v in lone.items():
+        place = F.when(F.col("id") == i, F.array(*map(F.lit, v))).otherwise(place)
+    rows = spark.range(60_000).select(F.col("id").alias("row_id"), F.lit(0).alias("label"), place.alias("x"))
+    got = {x.row_id for x in vectors.kmeans_memory(rows, 10, 1).collect()}
+    assert len(got) == 10 and set(lone) <= got
+    assert {i % 6 for i in got - set(lone)} == set(range(6))
+
+
+def test_best_of_several_starts(spark):
+    r = np.random.default_rng(2)
+    x = r.standard_normal((12, 2))[r.integers(12, size=400)] * 10 + r.standard_normal((400, 2))
+    rows = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "row_id long, label int, x array<double>")
+    cost = lambda c: ((x[:, None] - c[None]) ** 2).sum(2).min(1).sum()
+    one, ten = (cost(vectors.kmeans_centres(rows, [0], 10, 1, n)[0]) for n in (1, 10))
+    assert ten <= one
+    assert ten <= min(cost(np.array([x[at == j].mean(0) for j in np.unique(at)])) for s in range(10) for at in [vectors.kmeans(x, 10, s)]) * 1.1
+
+
 def separable(seed=0, classes=6, per=30):
     r = np.random.default_rng(seed)
     means = r.standard_normal((classes, 12)) * 2
