@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions import scalar as fx
 from ..operators import labels, metrics, trainer, vectors, windows
 from . import base
@@ -349,16 +350,16 @@ def _training(spark, sf_dir):
 @query()
 def student_train(spark, sf_dir):
     """Joint training of the student on all classes at once; accuracy on the test part."""
-    grid = spark.createDataFrame([("joint-1", "naive", 1)], "run_id string, regime string, seed int")
-    pred = trainer.train_runs(_training(spark, sf_dir), grid, [list(range(10))], epochs=20)
+    grid = spark.createDataFrame([(f"joint-{s}", "naive", s) for s in schema.TRAINING["seeds"]], "run_id string, regime string, seed int")
+    pred = trainer.train_runs(_training(spark, sf_dir), grid, [list(range(10))])
     return metrics.accuracy(pred, ["run_id", "stage"])
 
 
 @query()
 def replay_regime(spark, sf_dir):
     """Naive, replay and distillation runs over three tasks; accuracy after each on the test part."""
-    grid = spark.createDataFrame([(f"{r}-1", r, 1) for r in ("naive", "replay", "fkd", "kd")], "run_id string, regime string, seed int")
-    pred = trainer.train_runs(_training(spark, sf_dir), grid, [[0, 1, 2], [3, 4, 5], [6, 7, 8, 9]], epochs=10)
+    grid = spark.createDataFrame([(f"{r}-{s}", r, s) for r in ("naive", "replay", "fkd", "kd") for s in schema.TRAINING["seeds"]], "run_id string, regime string, seed int")
+    pred = trainer.train_runs(_training(spark, sf_dir), grid, [[0, 1, 2], [3, 4, 5], [6, 7, 8, 9]])
     return metrics.accuracy(pred, ["run_id", "stage"])
 
 
@@ -367,5 +368,5 @@ def task_split_search(spark, sf_dir):
     """Hill climbing over class-to-task maps on the label counts of both tracks."""
     rows = base.labels(spark, sf_dir)
     counts = [{int(r[0]): int(r[1]) for r in rows.groupBy(c).count().collect()} for c in ("gold", "teacher")]  # a row a class
-    split = labels.search_split(counts, restarts=20)
+    split = labels.search_split(counts)
     return spark.createDataFrame(sorted(split.items()), "label int, task int")
