@@ -37,7 +37,7 @@ def parse_plain_transcript(spark, sf_dir):
 
 @query("SELECT CAST(meeting_id AS VARCHAR) AS meeting_id, seq, 'SPEAKER_0' || (seq % 3) AS speaker_id, trim(line) AS text, 3600.0::DOUBLE + seq AS start_time, 3601.5::DOUBLE + seq AS end_time FROM first", UTTERANCES + ", " + _FIRST)
 def parse_legacy_transcript(spark, sf_dir):
-    block = F.format_string("Speaker 0%d (1:00:%02d - 60:%02d.5): %s\nstray line", F.col("seq") % 3, F.col("seq"), F.col("seq") + 1, F.col("line"))
+    block = F.format_string("Speaker 0%d (1:00:%02d - 60:%02d.5): %s\nstray line", F.col("seq") % 3, F.col("seq"), F.col("seq") + 1, F.col("text"))
     return transcripts.parse_text(_files(spark, sf_dir, block), strict=False)
 
 
