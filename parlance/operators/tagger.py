@@ -11,7 +11,7 @@ from ..schema import TAGGER_TYPES
 def tag_words(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
     """key, pos, text, type: the words of a text that the dictionary (word, type) knows, cases aside."""
     words = texts.select(key, F.posexplode(F.split(F.col(text), r"\s+")).alias("pos", "raw"))
-    words = words.select(key, "pos", F.regexp_replace("raw", r"^\W+|\W+$", "").alias("text")).where("text <> ''")
+    words = words.select(key, "pos", F.regexp_replace("raw", r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "").alias("text")).where("text <> ''")
     known = dictionary.select(F.lower("word").alias("_w"), F.col("type"))
     return words.join(known, F.lower("text") == F.col("_w")).select(key, "pos", "text", "type")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance import schema
 from parlance.functions import scalar as fx
-from parlance.operators import graph, labels, metrics, resolve, speakers, stats, trainer, triples, vectors, windows
+from parlance.operators import graph, labels, metrics, resolve, speakers, stats, tagger, trainer, triples, vectors, windows
 from parlance.plans import reports
 
 
@@ -184,6 +184,13 @@ def test_prototypes_and_memory(spark):
     assert n == {0: 8, 1: 10, 2: 3}
 
 
+def test_tagger_trims_no_accented_letters(spark):
+    texts = spark.createDataFrame([(1, "«école», of éof (ofé) of! Ünder _of")], "doc_id long, text string")
+    known = spark.createDataFrame([("of", "LAW"), ("École", "ORG"), ("ünder", "X")], "word string, type string")
+    got = tagger.tag_words(texts, "doc_id", "text", known).orderBy("pos").collect()
+    assert [(r.pos, r.text, r.type) for r in got] == [(0, "école", "ORG"), (1, "of", "LAW"), (4, "of", "LAW"), (5, "Ünder", "X")]
+
+
 def test_memory_centres_come_from_every_row(spark):
     """Rows that are clusters of their own are found in a class far beyond any sample."""
     lone = {11: [0.0, 900.0], 20_011: [900.0, 0.0], 40_011: [-900.0, 0.0], 59_011: [0.0, -900.0]}
