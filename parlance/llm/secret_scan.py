@@ -30,11 +30,10 @@ KINDS = ("assign", "access", "hex", "named")
 WORD_SCORE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "credential": 0.9, "credentials": 0.9, "token": 0.9, "apikey": 1.0, "bearer": 0.8, "auth": 0.6, "passcode": 0.9}
 PAIR_SCORE = {("api", "key"): 1.0, ("access", "key"): 0.9, ("private", "key"): 0.9, ("signing", "key"): 0.8, ("encryption", "key"): 0.8, ("account", "key"): 0.8, ("shared", "key"): 0.8}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|changeme|example|placeholder|your.*|none|null|nil|true|false|todo|test|undefined|\$\{.*\}|\$\w+|<.*>|%\w+%)$")
-LEAST_SCORE, LEAST_LENGTH, MOST_HOPS = 0.5, 6, 8
+LEAST_SCORE, LEAST_LENGTH = 0.5, 6
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 _TERM = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9+/_.=\-]+)"""
-_LEFT = re.compile(rf"""(["']?)({_NAME})\1[ \t]*$""")
+_NAME_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_0123456789.-"
 _OPERATOR = re.compile(r"=>|:=|(?<![=!<>:+])[:=](?![=:/])")
 _RIGHT = re.compile(rf"[ \t]*({_TERM}(?:[ \t]*\+[ \t]*{_TERM})*)")
 _TERMS = re.compile(_TERM)
@@ -58,33 +57,55 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 2.5)
 
 
+def name_before(left: str) -> str | None:
+    """The whole name, quoted or not, that ``left`` ends with."""
+    left = left.removesuffix("\n").rstrip(" \t")
+    quote = left[-1:] if left[-1:] in ("'", '"') else ""
+    body = left[: len(left) - len(quote)]
+    stem = body.rstrip(_NAME_CHARACTERS)
+    name = body[len(stem) :]
+    if not quote:
+        name = name.lstrip("0123456789.-")
+    elif not stem.endswith(quote) or name[:1] in "0123456789.-":
+        return None
+    return name or None
+
+
 def named_literals(text: str) -> list[tuple[str, int, int, float]]:
     """(target name, start, end, score) of each literal that reaches a sensitive name."""
     if not _SENSITIVE.search(text):
         return []
-    constants: dict[str, list[tuple[int, int]]] = {}
+    # a constant: its literals, the constants joined in, and the highest weight that has reached it
+    constants: dict[str, list] = {}
     found: dict[tuple[int, int], tuple[str, float]] = {}
+    last = 0
     for op in _OPERATOR.finditer(text):
-        left = _LEFT.search(text, max(0, op.start() - 200), op.start())
-        right = _RIGHT.match(text, op.end())
-        if not left or not right:
+        # no name reaches over an operator
+        name, last = name_before(text[last : op.start()]), op.end()
+        right = _RIGHT.match(text, op.end()) if name else None
+        if not right:
             continue
-        name, spans = left[2], []
+        spans, parts = [], []
         for term in _TERMS.finditer(text, right.start(1), right.end(1)):
             if term[0][0] in "\"'":
                 spans.append((term.start() + 1, term.end() - 1))
             elif term[0] in constants:
-                spans += constants[term[0]][:MOST_HOPS]
+                parts.append(constants[term[0]])
             else:
                 spans.append(term.span())
-        constants[name] = spans
+        constants[name] = [spans, parts, 0.0]
         weight = name_score(name)
-        if not weight:
-            continue
-        for lo, hi in spans:
-            score = weight * literal_score(text[lo:hi])
-            if score >= LEAST_SCORE and score > found.get((lo, hi), ("", 0.0))[1]:
-                found[lo, hi] = (name, score)
+        reached = [constants[name]]
+        while reached:
+            constant = reached.pop()
+            if constant[2] >= weight:
+                continue
+            constant[2] = weight
+            reached += constant[1]
+            for lo, hi in constant[0]:
+                score = weight * literal_score(text[lo:hi])
+                if score >= LEAST_SCORE and score > found.get((lo, hi), ("", 0.0))[1]:
+                    found[lo, hi] = (name, score)
     return [(name, lo, hi, score) for (lo, hi), (name, score) in sorted(found.items())]
 
 

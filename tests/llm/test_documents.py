@@ -174,6 +174,18 @@ def test_lexer(text, names):
     assert [n for n, *_ in secret_scan.named_literals(text)] == names
 
 
+def test_constants_keep_all_pieces():
+    pieces = [f"aB3{k:02d}xYz9" for k in range(12)]
+    text = "joined = " + " + ".join(f"'{p}'" for p in pieces) + "\nagain = joined + joined\ndb_password = again"
+    assert [text[lo:hi] for name, lo, hi, _ in secret_scan.named_literals(text) if name == "db_password"] == pieces
+
+
+def test_long_names_are_read_from_their_start():
+    name = "secret_" + "x" * 300
+    for text in (f"{name} = 'abC123xyz'", f'"{name}": "abC123xyz"', f"a = 1; {name} := 'abC123xyz'"):
+        assert [n for n, *_ in secret_scan.named_literals(text)] == [name]
+
+
 def test_license_scan_on_hard_rows(spark):
     got = license_scan.scan_licenses(frame(spark)).collect()
     expected = Counter()
