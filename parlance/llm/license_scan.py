@@ -20,7 +20,7 @@ from .common import map_arrow, prepare, read_table
 PHRASES = {("under", "the", "mit", "license"): "mit", ("apache", "license", "version", "2"): "apache-2", ("cc", "by", "nc"): "cc-by-nc"}
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-# fixed values: license wording with its optional and replaceable regions
+# fixed values: license wording with its optional and replaceable regions; openings and notices, not whole licenses
 TEMPLATES: list[tuple[str, str]] = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<opt>> including the next paragraph <<end>> shall be included in all copies or substantial portions of the software"),
     ("isc", "permission to use copy modify and <<opt>> or <<end>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
@@ -32,7 +32,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or <<opt>> at your option <<end>> any later version"),
     ("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or <<opt>> at your option <<end>> any later version"),
     ("lgpl-3", "licensed under the gnu lesser general public license <<opt>> version <<end>> 3"),
+    ("lgpl-3", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or <<opt>> at your option <<end>> any later version"),
     ("agpl-3", "licensed under the gnu affero general public license <<opt>> version <<end>> 3"),
+    ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or <<opt>> at your option <<end>> any later version"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
     ("cc-by-nc", "licensed under <<opt>> a <<end>> cc by nc <<opt>> 4 0 <<end>>"),
     ("cc-by-nc", "licensed under <<opt>> a <<end>> creative commons attribution noncommercial <<any 3>> license"),

@@ -199,6 +199,13 @@ def test_license_scan_on_hard_rows(spark):
     assert license_scan.scan_licenses(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("kind,label", [("Lesser ", "lgpl-3"), ("Affero ", "agpl-3"), ("", "gpl-3")])
+def test_gnu_notices(spark, kind, label):
+    text = f"you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    got = license_scan.scan_licenses(frame(spark, [(1, text, "en", "a")])).first()
+    assert got.labels == label
+
+
 def test_license_templates():
     isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
     for text, labels in ((isc, {"isc"}), (isc.replace("and/or", "and"), {"isc"}), (isc.replace("without fee", "with fee"), set()), ("This work is licensed under the GNU General Public License, version 3.", {"gpl-3"}), ("Neither the name of Foo Bar Inc nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", {"bsd-3-clause"})):
