@@ -19,11 +19,17 @@ ARROW_BYTES = str(1 << 20)
 
 
 def prepare(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; where none is set, one under the (shared) warehouse."""
+    """Use the cluster's checkpoint folder; where none is set, one under the warehouse.
+
+    On a cluster that warehouse must be shared: a machine's own folder is refused."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        warehouse = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
-        spark.sparkContext.setCheckpointDir(configured or f"{warehouse}/_checkpoints")
+        if not configured:
+            warehouse = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local" and warehouse.startswith(("file:", "/", "spark-warehouse")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            configured = f"{warehouse}/_checkpoints"
+        spark.sparkContext.setCheckpointDir(configured)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
@@ -64,25 +70,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def runs(batches: Iterable[pa.RecordBatch], key: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Cut a stream sorted by ``key`` into tables of whole key runs, with the run bounds in each.
 
-    Only the rows of one unfinished run are held over between batches."""
-    held: pa.Table | None = None
+    Only the rows of one unfinished run are held over between batches, and they are put together once."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
-        change = np.zeros(table.num_rows - 1, dtype=bool)
+        change = np.zeros(batch.num_rows, dtype=bool)
         for c in key:
-            v = table.column(c).to_numpy()
-            change |= v[1:] != v[:-1]
-        starts = np.flatnonzero(change) + 1
+            v = batch.column(c).to_numpy(zero_copy_only=False)
+            change[1:] |= v[1:] != v[:-1]
+            change[0] |= bool(held) and v[0] != held[-1].column(c)[-1].as_py()
+        starts = np.flatnonzero(change)
         if not len(starts):
-            held = table
+            held.append(batch)
             continue
-        yield table.slice(0, starts[-1]), np.concatenate(([0], starts))
-        held = table.slice(starts[-1]).combine_chunks()
-    if held is not None:
-        yield held, np.array([0, held.num_rows])
+        size, cut = sum(h.num_rows for h in held), int(starts[-1])
+        yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks(), np.concatenate(([0], starts + size))
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks(), np.array([0, sum(h.num_rows for h in held)])
 
 
 def by_runs(df: DataFrame, key: list[str], order: list[str], work: Callable, schema: str) -> DataFrame:
@@ -155,7 +161,8 @@ def connected_components(edges: DataFrame, rounds: int = 60, small: int = TASK_E
     ``small`` are left, one executor task finishes the work; else alternating large-star and small-star rounds (Kiveris et al.,
     2014): logarithmic rounds, nothing goes to the driver but two totals.  The minimum of each
     neighbourhood is aggregated map-side and stored before the edges meet it in a plain join, so
-    Spark's skew-join handling can split a hub's edges."""
+    Spark's skew-join handling can split a hub's edges.  A graph that is not done after ``rounds`` rounds
+    is an error, never a partial answer."""
     prepare(edges.sparkSession)
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     e = map_arrow(e, _contract, "a long, b long").distinct().checkpoint()
@@ -174,4 +181,6 @@ def connected_components(edges: DataFrame, rounds: int = 60, small: int = TASK_E
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"connected components did not settle in {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -3,7 +3,8 @@
 Plan
 ----
 1. One pass reduces each text to (doc_id, number of distinct shingles, set fingerprint) and to the
-   keys of step 2; equal sets meet in one row (partial aggregation), so copies never meet as pairs.
+   keys of step 2.  A task gives the keys of equal sets once, and equal sets meet in one row (partial
+   aggregation), so copies never meet as pairs and a key's run has a row a task and set, not a copy.
 2. *Dealing.*  A pair with Jaccard >= t and larger size s differs in at most D(s) shingles.  The hash
    space is cut into more than D parts, so some part holds the very same shingles in both sets
    (pigeonhole; Arasu, Ganti, Kaushik 2006).  Each set emits a 64-bit key per part; sets that share a
@@ -13,8 +14,12 @@ Plan
    groups, takes the group counts as points of a packed R-tree, prunes nodes and points whose summed
    coordinate minima cannot reach the required overlap, and verifies the pairs that survive on the
    shingle sets.  Pairs already joined within the chunk need no test.
-4. Clusters of several chunks share pivots with every chunk; whatever is not joined to the cluster's
-   largest component afterwards probes every chunk, so no pair goes untested or unjoined.
+4. Clusters of several chunks share pivots with every chunk.  Where only a few sets are not joined to
+   the cluster's largest component afterwards, those probe every chunk.  Where many are not (texts that
+   share a passage chain into one cluster without being alike), the cluster is dealt again by the keys of
+   an independent partition: a linked pair shares one of those too, so the cluster falls apart into the
+   runs of the new keys, and so on; no pair goes untested or unjoined, and no run is quadratic but where
+   its sets agree in parts of every partition.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, by_runs, connected_components, map_arrow, prepare, read_table
+from .common import Forest, by_runs, connected_components, map_arrow, prepare, read_table, stored
 
 #: 100 * intersection >= PERCENT * union
 WORDS, PERCENT = 4, 85
@@ -34,19 +39,23 @@ GROUPS, LEAF, CHUNK_MEMBERS, CHUNK_SHINGLES, PIVOTS = 64, 8, 64, 2_000_000, 8
 #: of a pair rank their common parts alike, and each may leave out its weakest ones: of D + 1 + x parts
 #: in all, at least 1 + x are common, and the strongest of those is not among the x weakest of either.
 SPARE = 3
-#: Bits of the fixed-size bitmap that keeps sets outside clusters from being shuffled.
-BITMAP = 1 << 25
+#: Bits for each member, and most bits (64 MB), of the bitmap that keeps sets outside clusters from being shuffled.
+BITS_EACH, BITMAP = 32, 1 << 29
+#: So few sets outside the largest component probe all chunks; beyond it a cluster is dealt again, so often at most.
+PROBES, DEALS = 64, 4
+#: Sets that a task remembers so as to give the keys of copies once.
+REMEMBERED = 500_000
 #: Largest placement table (a few numbers a row) that is sent to every task; beyond it the join is shuffled.
 SEND_ROWS = 300_000
 
 _U = np.uint64
 _BASE, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
-_BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BLOCK = 1 << 18
-_powers = {base: np.ones(1, dtype=np.uint64) for base in (int(_BASE), pow(int(_BASE), -1, 1 << 64))}
+#: Bytes of text that are hashed at once, and the longest word (in 8-byte pieces) that goes with the others.
+_BLOCK, _LONG = 1 << 17, 32
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,41 +64,77 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power(n: int, sign: int = 1) -> np.ndarray:
-    base = pow(int(_BASE), sign, 1 << 64)
-    if len(_powers[base]) < n:
-        p = np.full(max(n, _BLOCK), base, dtype=np.uint64)
-        p[0] = 1
-        _powers[base] = np.multiply.accumulate(p)
-    return _powers[base][:n]
+def _pieces(n: int) -> np.ndarray:
+    """A salt for each 8-byte piece of a word."""
+    return _mix(np.arange(1, n + 1, dtype=np.uint64) * _BASE)
 
 
-def _shingles(raw: list[bytes], words: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text in a block."""
-    data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
+def _hash_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a block of bytes, and where they begin.
+
+    A hash is the mixed sum of mixed, salted 8-byte pieces: no polynomial, so no texts are known that
+    collide by their form."""
+    data = np.frombuffer(raw + bytes(8), dtype=np.uint8)
     space = _SPACE[data]
+    space[len(raw) :] = True
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
-    begin, end = edge[0::2], edge[1::2]
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _power(len(data)), out=total[1:])
-    word = _mix((total[end] - total[begin]) * _power(len(data), -1)[begin] + (end - begin).astype(np.uint64))
-    stop = np.cumsum([len(r) + 1 for r in raw])
-    first = np.searchsorted(begin, np.concatenate(([0], stop)))
-    grams = np.zeros(len(word), dtype=np.uint64)
-    for k in range(words):
-        grams[: len(word) - k] = grams[: len(word) - k] * _M2 + _mix(word[k:] + _U(k + 1))
+    begin, size = edge[0::2], edge[1::2] - edge[0::2]
+    lower = _LOWER[data]
+    eight = np.ndarray(len(raw) + 1, dtype="<u8", buffer=lower, strides=(1,))
+    out = _mix(size.astype(np.uint64) + _BASE)
+    for i in np.flatnonzero(size > 8 * _LONG).tolist():
+        word = lower[begin[i] : begin[i] + size[i]].tobytes()
+        v = np.frombuffer(word + bytes(-len(word) % 8), dtype="<u8")
+        out[i : i + 1] += _mix(v ^ _pieces(len(v))).sum(dtype=np.uint64, keepdims=True)
+    live, salt = np.flatnonzero(size <= 8 * _LONG), _pieces(_LONG)
+    for j in range(_LONG):
+        left = size[live] - 8 * j
+        v = eight[begin[live] + 8 * j]
+        unused = np.maximum(64 - 8 * left, 0).astype(np.uint64)
+        out[live] += _mix(((v << unused) >> unused) ^ salt[j])
+        live = live[left > 8]
+        if not len(live):
+            break
+    return _mix(out), begin
+
+
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """As _hash_words; a long text is cut at white space, so that memory stays bounded."""
+    if len(raw) <= 8 * _BLOCK:
+        return _hash_words(raw)
+    found, at = [], 0
+    while at < len(raw):
+        end = at + 8 * _BLOCK
+        while end < len(raw):
+            gap = np.flatnonzero(_SPACE[np.frombuffer(raw, np.uint8, min(_BLOCK, len(raw) - end), end)])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end += _BLOCK
+        h, begin = _hash_words(raw[at:end])
+        found.append((h, begin + at))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _shingles(raw: list[bytes], words: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text in a block."""
+    word, begin = _words(b" ".join(raw))
+    first = np.searchsorted(begin, np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw]))))
+    many = max(0, len(word) - words + 1)
+    grams = np.zeros(many, dtype=np.uint64)
+    for k in range(words if many else 0):
+        grams = grams * _M2 + _mix(word[k : k + many] + _U(k + 1))
     grams = _mix(grams)
     out = []
-    for i in range(len(raw)):
-        lo, hi = int(first[i]), int(first[i + 1])
+    for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
         if hi - lo >= words:
             out.append(np.unique(grams[lo : hi - words + 1]))
-        elif hi > lo:
-            h = _U(hi - lo)
-            with np.errstate(over="ignore"):
-                for w in word[lo:hi]:
-                    h = _mix(np.array([h * _BASE + w]))[0]
-            out.append(np.array([h], dtype=np.uint64))
+        elif hi > lo:  # the whole sequence is one shingle, unlike any of ``words`` words
+            h = np.full(1, hi - lo, dtype=np.uint64)
+            for k in range(lo, hi):
+                h = _mix(h * _BASE + word[k : k + 1])
+            out.append(h)
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
@@ -102,7 +147,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
         raw = (t or "").encode("utf-8", "surrogatepass")
         block.append(raw)
         size += len(raw)
-        if size > _BLOCK // 2:
+        if size > _BLOCK:
             out += _shingles(block, words)
             block, size = [], 0
     return out + (_shingles(block, words) if block else [])
@@ -237,6 +282,27 @@ def _join_runs(groups, percent: int):
             yield _emit(pairs)
 
 
+def _deal_again(batches, salt: int, percent: int):
+    """A row (run, fp, rep, comp) for each key of a set under the partition of ``salt``; runs lie within a component."""
+    low = _levels(percent, 1 << 40)
+    turn = _mix(np.full(1, salt, dtype=np.uint64))
+    for b in batches:
+        group = b.column(0).to_numpy().view(np.uint64)
+        keys = [set_keys(np.sort(_mix(np.frombuffer(g.as_buffer(), dtype=np.uint64) ^ turn)), percent, low) for g in b.column(4)]
+        many = [len(k) for k in keys]
+        run = _mix(np.concatenate(keys) ^ _mix(np.repeat(group, many) + turn)).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
+        rest = [pa.array(np.repeat(b.column(k).to_numpy(), many)) for k in (1, 2, 3)]
+        yield pa.RecordBatch.from_arrays([pa.array(run), *rest], names=["component", "fp", "rep", "comp"])
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """Of each ``component``: members, kinds (connected components so far), the largest of those (main) and its members; shingles if there are sets."""
+    more = [F.sum("n").alias("shingles")] if "n" in rows.columns else []
+    kinds = rows.groupBy("component", "comp").agg(F.count("*").alias("count"), *more)
+    more = [F.sum("shingles").alias("shingles")] if more else []
+    return kinds.groupBy("component").agg(F.max(F.struct("count", "comp")).alias("top"), F.count("*").alias("kinds"), F.sum("count").alias("members"), *more).select("component", F.col("top.comp").alias("main"), F.col("top.count").alias("largest"), "kinds", "members", *(["shingles"] if more else []))
+
+
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: the id, n_shingles and component_id (smallest id reachable by links).
 
@@ -250,11 +316,18 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     def keys(batches):
         """A row of features for each document (n is set), and a row for each key of its set (n is null)."""
         low = _levels(percent, 1 << 40)
+        seen: set[int] = set()
         for b in batches:
             ids = b.column(0).to_pylist()
             sets = shingle_sets(b.column(1).to_pylist(), words)
             fps = np.array([_fingerprint(s) for s in sets], dtype=np.int64)
-            have = [i for i, s in enumerate(sets) if len(s) and ids[i] is not None]
+            have = []
+            for i, (s, fp) in enumerate(zip(sets, fps.tolist())):
+                if len(s) and ids[i] is not None and fp not in seen:
+                    have.append(i)
+                    seen.add(fp)
+            if len(seen) > REMEMBERED:
+                seen.clear()
             found = [set_keys(sets[i], percent, low) for i in have]
             many = [len(k) for k in found]
             key = np.concatenate([_mix(np.arange(len(ids), dtype=np.uint64) ^ fps.view(np.uint64)), *found]).view(np.int64)
@@ -291,9 +364,11 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     placed = cluster.join(weight, "component").select("component", "fp", "rep", "members", "chunks", F.pmod(F.xxhash64("fp"), "chunks").cast("int").alias("own")).checkpoint()
 
     def with_sets(rows: DataFrame) -> DataFrame:
-        """Add the shingle sets to rows (fp, rep, ...).  A bitmap of fixed size keeps the sets of most
-        other documents where they are; what it lets through in error, the join drops."""
-        bit = F.pmod("fp", F.lit(BITMAP)) + 1  # bucket numbers count from 1
+        """Add the shingle sets to rows (fp, rep, ...).  A bitmap keeps the sets of most other documents
+        where they are; what it lets through in error, the join drops."""
+        many = rows.count()
+        size = min(BITMAP, max(1 << 20, 1 << (many * BITS_EACH).bit_length()))
+        bit = F.pmod("fp", F.lit(size)) + 1  # bucket numbers count from 1
         bits = rows.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("at")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
         held = spark.sparkContext.broadcast({int(r["at"]): bytes(r["bits"]) for r in bits.collect()})  # BITMAP bits at most
 
@@ -303,7 +378,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
                 keep, fps, out = [], [], []
                 for i, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), words)):
                     fp = _fingerprint(s)
-                    bit = fp % BITMAP
+                    bit = fp % size
                     part = have.get(bit // 32768 + 1)
                     if part is not None and i is not None and len(s) and part[bit % 32768 // 8] >> (bit % 8) & 1:
                         keep.append(i)
@@ -312,32 +387,47 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
                 if keep:
                     yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(fps, pa.int64()), pa.array(out, pa.binary())], names=["set_id", "set_fp", "grams"])
 
-        rows = F.broadcast(rows) if rows.count() <= SEND_ROWS else rows
+        rows = F.broadcast(rows) if many <= SEND_ROWS else rows
         texts = map_arrow(src, sets, "set_id long, set_fp long, grams binary")
-        return texts.join(rows, (F.col("set_fp") == F.col("fp")) & (F.col("set_id") == F.col("rep"))).drop("set_fp", "set_id")
+        texts = texts.join(rows, (F.col("set_fp") == F.col("fp")) & (F.col("set_id") == F.col("rep"))).drop("set_fp", "set_id")
+        return texts.dropDuplicates(["fp"])  # a row that repeats an id and its text
 
     def join_chunks(rows: DataFrame, seat) -> DataFrame:
-        """Deal rows to their seats (chunk, probe) and join each chunk with itself and its probes."""
-        rows = with_sets(rows).select("component", F.explode(seat).alias("seat"), F.col("rep").alias("node"), "comp", "grams")
+        """Deal rows with their sets to seats (chunk, probe) and join each chunk with itself and its probes."""
+        rows = rows.select("component", F.explode(seat).alias("seat"), F.col("rep").alias("node"), "comp", "grams")
         rows = rows.select("component", "seat.chunk", "seat.probe", "node", "comp", "grams")
         return by_runs(rows, ["component", "chunk"], ["probe", "node"], lambda g: _join_runs(g, percent), "a long, b long")
 
     at = lambda chunk, probe: F.struct(chunk.cast("int").alias("chunk"), F.lit(probe).alias("probe"))
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     pivot = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("fp", F.lit(7)), "members") < PIVOTS)
-    links = join_chunks(placed.withColumn("comp", F.col("rep")), F.when(pivot, F.transform(every, lambda c: at(c, False))).otherwise(F.array(at(F.col("own"), False)))).checkpoint()
+    links = join_chunks(with_sets(placed.withColumn("comp", F.col("rep"))), F.when(pivot, F.transform(every, lambda c: at(c, False))).otherwise(F.array(at(F.col("own"), False)))).checkpoint()
 
-    # clusters of several chunks: what isn't in the largest component so far probes every chunk
+    # clusters of several chunks that are not one component yet
     comps = connected_components(links).withColumnRenamed("component", "comp_")
     split = placed.where("chunks > 1").join(comps, F.col("rep") == F.col("node"), "left")
-    split = split.withColumn("comp", F.coalesce("comp_", "rep")).drop("comp_", "node").checkpoint()
-    largest = split.groupBy("component", "comp").count().groupBy("component").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"), F.count("*").alias("kinds"))
-    open_ = split.join(largest.where("kinds > 1").checkpoint(), "component").checkpoint()
+    split = split.select("component", "fp", "rep", F.coalesce("comp_", "rep").alias("comp")).checkpoint()
+    open_ = _summed(split).where("kinds > 1").select("component")
+    open_ = split.join(open_, "component", "left_semi").checkpoint()
     if not open_.isEmpty():
-        others = F.transform(F.filter(every, lambda c: c != F.col("own")), lambda c: at(c, True))
-        own = F.array(at(F.col("own"), False))
-        more = join_chunks(open_, F.when(F.col("comp") == F.col("main"), own).otherwise(F.concat(own, others)))
-        links = links.union(more)
+        sets = stored(with_sets(open_.select("fp", "rep").distinct()).select(F.col("fp").alias("set_fp"), "grams", (F.length("grams") / 8).cast("long").alias("n")))
+
+        def find(rows: DataFrame) -> DataFrame:
+            return rows.join(sets, F.col("fp") == F.col("set_fp")).drop("set_fp")
+
+        for deal in range(DEALS + 1):
+            groups = _summed(find(open_)).where("kinds > 1")
+            groups = groups.withColumn("chunks", F.greatest(F.ceil(F.col("members") / CHUNK_MEMBERS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")).checkpoint()
+            few = (F.col("chunks") == 1) | (F.col("members") - F.col("largest") <= PROBES) | F.lit(deal == DEALS)
+            rows = open_.join(groups.where(few), "component").withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
+            others = F.transform(F.filter(every, lambda c: c != F.col("own")), lambda c: at(c, True))
+            own = F.array(at(F.col("own"), False))
+            links = links.union(join_chunks(find(rows), F.when(F.col("comp") == F.col("main"), own).otherwise(F.concat(own, others))))
+            open_ = open_.join(groups.where(~few), "component", "left_semi").checkpoint()
+            if open_.isEmpty():
+                break
+            dealt = map_arrow(find(open_).select("component", "fp", "rep", "comp", "grams"), lambda batches: _deal_again(batches, deal + 1, percent), "component long, fp long, rep long, comp long").checkpoint()
+            open_ = dealt.join(_summed(dealt).where("kinds > 1").select("component"), "component", "left_semi").checkpoint()
     final = connected_components(links).withColumnRenamed("component", "comp_")
     answer = reps.join(final, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("of"), F.col("n").alias("of_n"), F.coalesce("comp_", "rep").alias("component_id")).checkpoint()
     out = feats.join(answer, (F.col("fp") == F.col("of")) & (F.col("n") == F.col("of_n")), "left")

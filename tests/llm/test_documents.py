@@ -85,6 +85,71 @@ def test_ngram_join_splits_large_clusters(spark, monkeypatch):
     check_join(ngram_join.ngram_jaccard_components(frame(spark, rows)).collect(), rows)
 
 
+def shared_passage(n=120, seed=8):
+    """Unlike texts that share a passage, with a near copy of every sixth."""
+    r = np.random.default_rng(seed)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(n):
+        own = [f"q{i}x{k}" for k in range(12)]
+        if i % 6 == 5:
+            own = list(before)
+            own[int(r.integers(12))] = "other"
+        before = own
+        rows.append((i, " ".join(passage + own), "en", "a"))
+    return rows
+
+
+@pytest.mark.parametrize("make,members,probes,deals", [(near_copies, 16, 0, 4), (shared_passage, 8, 0, 4), (shared_passage, 8, 5, 1), (shared_passage, 64, 64, 4)])
+def test_ngram_join_deals_open_clusters_again(spark, monkeypatch, make, members, probes, deals):
+    rows = make(120)
+    for name, value in (("CHUNK_MEMBERS", members), ("PIVOTS", 1), ("PROBES", probes), ("DEALS", deals)):
+        monkeypatch.setattr(ngram_join, name, value)
+    check_join(ngram_join.ngram_jaccard_components(frame(spark, rows)).collect(), rows)
+
+
+@pytest.mark.parametrize("texts", [["one two"], ["one", "two"], ["one two", "", None], [""], [None], ["a b c"], ["a b", "c d"], ["a b c d"], ["a b c d e"], ["", "a", "", "b c d"], []])
+def test_shingles_of_tiny_blocks(texts):
+    got = ngram_join.shingle_sets(texts)
+    assert [len(s) for s in got] == [len(sets_of(t)) for t in texts]
+
+
+def test_ngram_join_of_one_short_text(spark):
+    rows = [(1, "one two", "en", "a")]
+    check_join(ngram_join.ngram_jaccard_components(frame(spark, rows)).collect(), rows)
+
+
+def test_long_words_of_adverse_form_differ():
+    bits = [0]
+    while len(bits) < 4096:
+        bits += [1 - b for b in bits]
+        a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+        one, two = ngram_join.shingle_sets([a, b])
+        assert not ngram_join.linked(one, two)
+    sizes = [1, 7, 8, 9, 16, 255, 256, 257, 3000]
+    many = [c * n for n in sizes for c in ("x", "y", "\u00e9")]
+    assert len({int(s[0]) for s in ngram_join.shingle_sets(many)}) == len(many)
+    assert np.array_equal(*ngram_join.shingle_sets(["AbC" * 400, "aBc" * 400]))
+
+
+def test_very_long_texts_are_cut_without_a_trace(monkeypatch):
+    text = " ".join(f"w{i % 61}" * (1 + i % 5) for i in range(20_000)) + " " + "long" * 3000 + " end"
+    whole = ngram_join.shingle_sets([text])[0]
+    monkeypatch.setattr(ngram_join, "_BLOCK", 64)
+    assert np.array_equal(ngram_join.shingle_sets([text])[0], whole) and len(whole) == len(sets_of(text))
+
+
+def test_runs_over_many_batches():
+    import pyarrow as pa
+
+    keys = [1] * 7 + [2] + [3] * 5 + [4, 5] + [6] * 6
+    for size in (1, 2, 3, 5, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + size])], names=["k"]) for k in range(0, len(keys), size)]
+        got = [table.column("k").to_pylist()[lo:hi] for table, bound in common.runs(batches, ["k"]) for lo, hi in zip(bound[:-1], bound[1:])]
+        assert got == [[1] * 7, [2], [3] * 5, [4], [5], [6] * 6]
+    assert list(common.runs([], ["k"])) == []
+
+
 def test_part_keys_meet_for_every_linked_pair():
     r = np.random.default_rng(3)
     for n in (5, 7, 12, 30, 80, 200, 700):
