@@ -8,6 +8,7 @@ generator that knows which of its blocks are article; nothing is taken from the
 
 from __future__ import annotations
 
+import gc
 import html
 import random
 import re
@@ -21,22 +22,34 @@ from .common import map_arrow, prepare, read_table
 
 #: Generated training pages, trees, their depth, shrinkage, bins of a feature, and the seed.
 PAGES, TREES, DEPTH, SHRINK, BINS, SEED = 900, 60, 5, 0.25, 16, 20
+#: Nodes that the trees see at once (a single page may have more).
+NODES = 8_000
 
-# fixed values: HTML's void, raw-text, block and implied-end elements
+# fixed values: HTML's void, vanishing, transparent, block and implied-end elements
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math select button object audio video canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
+VANISH = frozenset("script style title textarea select iframe svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big button canvas cite code data del dfn em font i ins kbd label map mark meter object audio video noscript output picture progress q rp rt ruby s samp slot small span strike strong sub sup template time tt u var br wbr img math mi mo mn ms mtext mrow mfrac msup msub msubsup msqrt mroot mstyle munder mover munderover mtable mtr mtd semantics annotation".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-IMPLIED = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
-
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
+#: Of a start tag: the group it belongs to, and the open elements of that group that it ends.
+IMPLIED = {"li": ("list", {"li"}), "dt": ("terms", {"dt", "dd"}), "dd": ("terms", {"dt", "dd"}), "tr": ("table", {"tr", "td", "th"}), "td": ("table", {"td", "th"}), "th": ("table", {"td", "th"})}
+#: Elements that a search for an open element of a group stops at.
+GROUPS = {"list": "li ul ol menu", "terms": "dt dd dl", "table": "tr td th table", "p": "p td th li div article section"}
+_GROUPS_OF: dict[str, list[str]] = {}
+for _g, _tags in GROUPS.items():
+    for _t in _tags.split():
+        _GROUPS_OF.setdefault(_t, []).append(_g)
+
+# All quantifiers are possessive: a tag is read once, from left to right, whatever follows.  A quote opens
+# a value only after "="; one that never closes is an ordinary character, so the tag ends at the next ">".
+_MARK = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)>""")
 _ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in VANISH}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "parts", "depth", "text", "links", "tags", "label")
+    __slots__ = ("tag", "attrs", "parent", "children", "parts", "depth", "text", "links", "tags", "label", "near")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -44,66 +57,107 @@ class Node:
         self.parts: list = []  # text, link text as (text,), or child nodes, in page order
         self.depth = parent.depth + 1 if parent else 0
         self.label = ""
+        #: the nearest element of each group, itself included
+        self.near: dict[str, Node] = parent.near if parent else {}
+        if tag in _GROUPS_OF:
+            self.near = self.near | dict.fromkeys(_GROUPS_OF[tag], self)
 
 
 def parse(page: str) -> Node:
-    """A forgiving block tree: inline elements dissolve into their block, raw-text elements vanish."""
+    """The page's block tree; the garbage collector waits, or it would walk through the growing tree again and again."""
+    waits = gc.isenabled()
+    gc.disable()
+    try:
+        return _parse(page)
+    finally:
+        if waits:
+            gc.enable()
+
+
+def _parse(page: str) -> Node:
+    """A forgiving block tree, in time linear in the page.
+
+    Inline elements dissolve into their block, CDATA is text, and scripts, styles, form controls with
+    hidden text, frames and drawings vanish.  A tag that is cut off by the end of the page is dropped."""
     root = Node("root", "", None)
     here, at, in_link = root, 0, 0
+    opened: dict[str, int] = {}  # open elements by tag
+    endless: set[str] = set()  # vanishing elements without an end from here on
+    n = len(page)
 
     def add(text: str) -> None:
         if text:
             here.parts.append((text,) if in_link else text)
 
-    n = len(page)
+    def leave(node: Node) -> Node:
+        """Close everything up to ``node``."""
+        k = here
+        while True:
+            opened[k.tag] -= 1
+            if k is node:
+                return node.parent
+            k = k.parent
+
     while at < n:
-        m = _MARKUP.search(page, at)
-        if m is None:
+        lt = page.find("<", at)
+        if lt < 0:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        add(page[at:lt])
+        after = page[lt + 1 : lt + 2]
+        if after in ("!", "?"):
+            if page.startswith("<![CDATA[", lt):
+                end = page.find("]]>", lt)
+                add(page[lt + 9 : end if end >= 0 else n].replace("&", "&amp;"))
+                at = end + 3 if end >= 0 else n
+                continue
+            comment = page.startswith("<!--", lt)
+            end = page.find("-->", lt + 2) if comment else page.find(">", lt)
+            at = n if end < 0 else end + (3 if comment else 1)
             continue
-        closing, attrs = bool(m[1] or m[4]), m[3] if m[2] else m[6] or ""
-        if tag in RAW:
-            if not closing and not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else (n if tag in ("script", "style") else at)
+        m = _MARK.match(page, lt)
+        if m is None:
+            if after == "/" and page[lt + 2 : lt + 3].isalpha() or after.isascii() and after.isalpha():
+                break  # no tag ends any more
+            add("<")
+            at = lt + 1
+            continue
+        at = m.end()
+        tag, closing, attrs = m[2].lower(), bool(m[1]), m[3]
+        if tag in VANISH:
+            if not closing and not attrs.endswith("/") and tag not in endless:
+                end = _ENDS[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = n
+                else:
+                    endless.add(tag)
             continue
         if tag == "a":
             in_link = 0 if closing else 1
             continue
-        if tag == "br" or tag == "wbr":
-            if tag == "br":
-                add(" ")
+        if tag == "br":
+            add(" ")
             continue
         if tag in INLINE or tag in VOID and tag != "hr":
             continue
         in_link = 0
         if closing:
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+            if opened.get(tag):
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = leave(node)
             continue
         if tag in CLOSES_P:
-            node = here
-            while node is not None and node.tag not in ("p", "td", "th", "li", "div", "article", "section"):
-                node = node.parent
-            if node is not None and node.tag == "p" and node.parent is not None:
-                here = node.parent
+            node = here.near.get("p")
+            if node is not None and node.tag == "p":
+                here = leave(node)
         if tag in IMPLIED:
-            ends, stop = IMPLIED[tag]
-            node, top = here, None
-            while node is not None and node.tag not in stop:
-                if node.tag in ends.split():
-                    top = node
-                node = node.parent
-            if top is not None and top.parent is not None:
-                here = top.parent
+            group, ends = IMPLIED[tag]
+            while (node := here.near.get(group)) is not None and node.tag in ends:
+                here = leave(node)
         if tag == "hr":
             continue
         child = Node(tag, attrs, here)
@@ -111,6 +165,7 @@ def parse(page: str) -> Node:
         here.parts.append(child)
         if not attrs.endswith("/"):
             here = child
+            opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
@@ -158,7 +213,7 @@ def features(nodes: list[Node]) -> np.ndarray:
                 links += size if isinstance(part, tuple) else 0
         node.text, node.links, node.tags = text, links, tags
     total = max(1, nodes[0].text)
-    out = np.zeros((len(nodes), _WIDTH))
+    out = np.zeros((len(nodes), _WIDTH), dtype=np.float32)
     numbers: list[tuple] = []
     ones_row: list[int] = []
     ones_col: list[int] = []
@@ -207,17 +262,23 @@ class Boosted:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         self.cuts = [self._cuts(c) for c in x.T]
-        b = np.stack([np.searchsorted(cut, c, "right") for cut, c in zip(self.cuts, x.T)], 1)
+        b = self._binned(x)
         self.base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
         margin, self.forest = np.full(len(y), self.base), []
+        two = np.flatnonzero([len(c) < 2 for c in self.cuts])  # features of two bins at most
+        many = np.flatnonzero([len(c) > 1 for c in self.cuts])
+        ones, cells = (b[:, two] > 0).astype(np.float32), b[:, many].astype(np.int64) + self.bins * np.arange(len(many))
         for _ in range(self.trees):
             p = 1 / (1 + np.exp(-margin))
             g, h = y - p, np.maximum(p * (1 - p), 1e-6)
-            tree, leaf = self._grow(b, g, h)
+            tree, leaf = self._grow(b, g, h, two, ones, many, cells)
             self.forest.append(tree)
             margin += leaf
         return self
 
+    def _binned(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(cut, c, "right").astype(np.uint8) for cut, c in zip(self.cuts, x.T)], 1)
+
     def _cuts(self, c: np.ndarray) -> np.ndarray:
         """Between all values where they are few, else at quantiles."""
         values = np.unique(c)
@@ -225,34 +286,38 @@ class Boosted:
             return (values[1:] + values[:-1]) / 2
         return np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1]))
 
-    def _grow(self, b: np.ndarray, g: np.ndarray, h: np.ndarray):
-        """A complete binary tree: arrays of feature and bin for the inner nodes, values for the leaves."""
+    def _grow(self, b, g, h, two, ones, many, cells):
+        """A complete binary tree: arrays of feature and bin for the inner nodes, values for the leaves.
+
+        Sums of gradients are taken for all nodes of a level at once."""
         inner = (1 << self.depth) - 1
         feature, cut, value = np.zeros(inner, dtype=int), np.full(inner, self.bins, dtype=int), np.zeros(inner + 1)
-        place = np.zeros(len(g), dtype=int)
-        width = b.shape[1]
-        cells = b + self.bins * np.arange(width)
-        for node in range(inner):
-            rows = np.flatnonzero(place == node)
-            best = (1e-9, 0, self.bins)
-            if len(rows) >= 10:
-                gs, hs = g[rows], h[rows]
-                whole = gs.sum() ** 2 / (hs.sum() + 1)
-                at = cells[rows].ravel()
-                left_g, left_h = (np.bincount(at, np.repeat(v, width), self.bins * width).reshape(width, self.bins).cumsum(1)[:, :-1] for v in (gs, hs))
-                gain = left_g**2 / (left_h + 1) + (gs.sum() - left_g) ** 2 / (hs.sum() - left_h + 1) - whole
-                f, k = np.unravel_index(gain.argmax(), gain.shape)
-                if gain[f, k] > best[0]:
-                    best = (float(gain[f, k]), int(f), int(k))
-            feature[node], cut[node] = best[1], best[2]
-            place[rows] = 2 * node + 1 + (b[rows, best[1]] > best[2])
-        for leaf in range(inner + 1):
-            rows = place == inner + leaf
-            value[leaf] = self.shrink * g[rows].sum() / (h[rows].sum() + 1)
-        return (feature, cut, value), value[place - inner]
+        place = np.zeros(len(g), dtype=int)  # within the level
+        for level in range(self.depth):
+            k, first = 1 << level, (1 << level) - 1
+            total = np.stack([np.bincount(place, v, k) for v in (g, h)])
+            rows = np.bincount(place, minlength=k)
+            left = np.zeros((2, k, b.shape[1], self.bins - 1))
+            at = (cells + (place * (len(many) * self.bins))[:, None]).ravel()
+            for i, v in enumerate((g, h)):
+                sums = np.bincount(at, np.repeat(v, len(many)), k * len(many) * self.bins).reshape(k, len(many), self.bins)
+                left[i][:, many] = sums.cumsum(2)[:, :, :-1]
+                by = np.zeros((k, len(g)), dtype=np.float32)
+                by[place, np.arange(len(g))] = v
+                left[i][:, two] = (total[i][:, None] - by @ ones)[:, :, None]
+            gs, hs = total[:, :, None, None]
+            gain = left[0] ** 2 / (left[1] + 1) + (gs - left[0]) ** 2 / (hs - left[1] + 1) - gs**2 / (hs + 1)
+            for node in range(k):
+                f, c = np.unravel_index(gain[node].argmax(), gain[node].shape)
+                if rows[node] >= 10 and gain[node, f, c] > 1e-6:
+                    feature[first + node], cut[first + node] = f, c
+            place = 2 * place + (b[np.arange(len(g)), feature[first + place]] > cut[first + place])
+        sums = [np.bincount(place, v, inner + 1) for v in (g, h)]
+        value = self.shrink * sums[0] / (sums[1] + 1)
+        return (feature, cut, value), value[place]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        b = np.stack([np.searchsorted(cut, c, "right") for cut, c in zip(self.cuts, x.T)], 1)
+        b = self._binned(x)
         margin, inner = np.full(len(x), self.base), (1 << self.depth) - 1
         rows = np.arange(len(x))
         for feature, cut, value in self.forest:
@@ -291,6 +356,10 @@ class Generator:
     def article(self) -> str:
         r, out = self.r, []
         kept = ' data-kept="1"'
+        if r.random() < 0.05:  # a stub: little text, often only the headline said again
+            head = self.sentence()
+            body = r.choice([head, self.sentence(), self.words(1, 4)])
+            return f"<h1{kept}>{head}</h1><p{kept}>{r.choice(['', '<b>'])}{body}{r.choice(['', '<br>', '</p>'])}"
         if r.random() < 0.7:
             out.append(f"<h1{kept}>{self.words(2, 12)}</h1>")
         for _ in range(r.choice([1, 1, 2, 3, 4, 5, 6, 8])):
@@ -385,16 +454,24 @@ def decode(nodes: list[Node], p: np.ndarray) -> list[bool]:
 
 
 def main_texts(pages: list[str | None], model: Boosted) -> list[str]:
-    """The main text of each page; the trees see the nodes of all pages at once."""
-    trees = [walk(parse(p or "")) for p in pages]
-    if not trees:
-        return []
-    p = model.probability(np.concatenate([features(nodes) for nodes in trees]))
-    out, at = [], 0
-    for nodes in trees:
-        kept = {id(n) for n, k in zip(nodes, decode(nodes, p[at : at + len(nodes)])) if k}
-        out.append(render(nodes[0], kept))
-        at += len(nodes)
+    """The main text of each page; the trees see the nodes of many pages at once."""
+    out: list[str] = []
+    held: list[list[Node]] = []
+
+    def flush() -> None:
+        p, at = model.probability(np.concatenate([features(nodes) for nodes in held])), 0
+        for nodes in held:
+            kept = {id(n) for n, k in zip(nodes, decode(nodes, p[at : at + len(nodes)])) if k}
+            out.append(render(nodes[0], kept))
+            at += len(nodes)
+        held.clear()
+
+    for page in pages:
+        held.append(walk(parse(page or "")))
+        if sum(map(len, held)) > NODES:
+            flush()
+    if held:
+        flush()
     return out
 
 
@@ -439,7 +516,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     def work(batches):
         for b in batches:
             rows = b.column(2).to_pylist()
-            texts = [t for k in range(0, len(rows), 100) for t in main_texts(rows[k : k + 100], model)]
+            texts = main_texts(rows, model)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

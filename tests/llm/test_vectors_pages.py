@@ -1,6 +1,8 @@
 """Vector and page operators against brute force."""
 
+import html
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -134,6 +136,54 @@ def test_decoding_has_no_contradiction():
     assert right / total > 0.95
 
 
+BROKEN = ["<p", '<a href="', '<b a="x" ', "<div>", "</b1>", "<", "<script>", "<textarea>", "<!--", "<![CDATA[", "<a b='>", """<a b='">""", "<tr><td>", "<li>", "<x>", "&", "<a =", '<a ="', "<p><li><x>", "</", "<title>"]
+
+
+@pytest.mark.parametrize("form", BROKEN)
+def test_html_parser_is_linear(form):
+    """A megabyte of a broken form takes seconds, not hours: four times the page, at most eight times the time."""
+    took = []
+    for size in (250_000, 1_000_000):
+        page = form * (size // len(form))
+        began = time.process_time()
+        html_extract.parse(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 2 or took[1] < 8 * took[0]
+    assert took[1] < 10
+
+
+@pytest.mark.parametrize("fragment,text", [
+    ("<noscript><p>Inside noscript text.</p></noscript>", "Inside noscript text."), ("<math><mi>E=mc2</mi></math>", "E=mc2"), ("<button>press</button>", "press"), ("<![CDATA[keep & <this>]]>", "keep & <this>"),
+    ("<object>other</object>", "other"), ("<template>made</template>", "made"), ("<video>film</video>", "film"), ("<audio>sound</audio>", "sound"), ("<canvas>drawn</canvas>", "drawn"), ("1 < 2 <> 3", "1 < 2 <> 3"),
+])
+def test_html_keeps_article_text(fragment, text):
+    page = f"<html><body><nav><a href='/'>Home</a></nav><article><h1>Head</h1><p>The first sentence of the article, quite long.</p>{fragment}<p>The last words of the article, long as well.</p></article><footer>&copy; us</footer></body></html>"
+    assert html_extract.main_texts([page], html_extract.train()) == [f"Head\nThe first sentence of the article, quite long.\n{text}\nThe last words of the article, long as well."]
+
+
+def article_blocks(page):
+    """The blocks of a table page's article, by patterns."""
+    inner = re.search(r"<article[^>]*>(.*?)</article>", page, re.S)
+    if not inner:
+        return None
+    inner = re.sub(r'(?s)<!--.*?-->|<(script|style)\b.*?</\1>|<div class="ad">.*?</div>|<(section|div|ol) class="comments?">.*?</\2>', "", inner[1])
+    blocks = re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|blockquote|section)\b[^>]*>", inner.replace("<br>", " "))
+    blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in blocks]
+    return "\n".join(b for b in blocks if b)
+
+
+def test_html_blocks_on_table(spark, sf_dir):
+    """Text, order and n_chars of every page with an article, exactly."""
+    pages = {r.page_id: r.html for r in common.read_table(spark, sf_dir, "pages").collect()}
+    compared = 0
+    for r in html_extract.op9_html_extract(spark, sf_dir).collect():
+        expected = article_blocks(pages[r.page_id] or "")
+        if expected is not None:
+            assert (r.text, r.n_chars) == (expected, len(expected))
+            compared += 1
+    assert compared > 0.9 * len(pages)
+
+
 def test_html_on_table(spark, sf_dir):
     pages = {r.page_id: r.html or "" for r in common.read_table(spark, sf_dir, "pages").collect()}
     got = html_extract.op9_html_extract(spark, sf_dir).collect()
