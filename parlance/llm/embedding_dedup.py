@@ -3,9 +3,11 @@
 Codes are signs of rotated vectors; the rotation is learnt on a bounded sample (Gong & Lazebnik,
 2011), several times from different starts when more bits are needed.  Each table indexes one piece
 of the code.  The pieces grow with the logarithm of the number of vectors, so that a bucket of
-unrelated vectors keeps its size; the number of tables grows with them, until pairs at the threshold
-meet in some table with probability RECALL.  Vectors of one bucket are compared in blocks by their
-original coordinates in double precision; a pair counts in the first table where it meets.
+unrelated vectors keeps its size (BUCKET); the number of tables grows with them, until pairs at the
+threshold meet in some table with probability RECALL.  Comparing a bucket is cheap and shuffling a
+vector to one more table is not, so buckets are large and tables few.  Vectors of one bucket are
+compared tile by tile by their original coordinates in double precision; a pair counts in the first
+table where it meets.
 """
 
 from __future__ import annotations
@@ -15,14 +17,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, by_runs, connected_components, map_arrow, prepare, read_table
-
-COSINE, TABLES = 0.93, 14
-#: Vectors that the rotation is learnt on, its rounds, and the vectors of one block of a bucket.
-SAMPLE, ROUNDS, BLOCK = 4096, 40, 512
+from .common import Forest, by_runs, connected_components, map_arrow, prepare, read_table, stored
+
+COSINE, TABLES = 0.93, 4
+#: Vectors that the rotation is learnt on, its rounds, vectors that one task compares with each other at
+#: most (a larger bucket is dealt in blocks of so many, fewer for vectors longer than WIDE), and of one
+#: tile of such a block.
+SAMPLE, ROUNDS, BLOCK, WIDE, TILE = 4096, 40, 8192, 64, 512
+#: Unrelated vectors that a bucket should hold.
+BUCKET = 2048
+#: Longest list of large buckets that is sent to every task; a longer one is joined in a shuffle.
+SEND_ROWS = 100_000
 #: Expected share of the pairs at the threshold that meet; made pairs it is measured on; most tables, beyond
 #: which pieces get shorter instead.
 RECALL, MADE, MOST_TABLES = 0.95, 2048, 192
@@ -40,8 +48,8 @@ def learn_rotation(x: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.ndarray
 
 
 def piece_bits(n: int) -> int:
-    """Bits of a code piece for ``n`` vectors."""
-    return min(24, max(8, math.ceil(math.log2(max(2, n))) - 4))
+    """Bits of a code piece for ``n`` vectors: as many as cut them into buckets of about BUCKET."""
+    return min(30, max(4, math.ceil(math.log2(max(2, n) / BUCKET))))
 
 
 def tables_for(bits: int, cosine: float, recall: float = RECALL) -> int:
@@ -104,47 +112,54 @@ def _fp(label: int, raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16, key=str(label).encode()).digest()
 
 
-def _compare(groups, cosine: float):
-    """Within each seat: pairs of its own rows, or of its two halves."""
+def _units(raw, number: str) -> np.ndarray:
+    """The unit vectors, in double precision, of vectors of one length, from the numbers as they came."""
+    x = np.stack([np.frombuffer(r, dtype=number) for r in raw]).astype(np.float64)
+    with np.errstate(over="ignore", under="ignore", divide="ignore", invalid="ignore"):
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        out = x / n
+    for i in np.flatnonzero(~np.isfinite(n[:, 0]) | (n[:, 0] < 1e-150)):
+        out[i] = _unit(x[i].tolist())
+    return out
+
+
+def _compare(groups, cosine: float, number: str):
+    """Within each seat: links of its own rows, or between its two halves, tile by tile."""
     for table, bound in groups:
-        node, weight = table.column("node").to_numpy(), table.column("weight").to_numpy()
+        node, part, weight = (table.column(c).to_numpy() for c in ("node", "part", "weight"))
         t, side = table.column("t").to_numpy(), table.column("side").to_numpy()
         seat_x, seat_y = table.column("x").to_numpy(), table.column("y").to_numpy()
-        raw, codes = table.column("vector").combine_chunks(), table.column("codes").combine_chunks()
-        out: list[tuple[int, int, int]] = []
-        for lo, hi in zip(bound[:-1], bound[1:]):
-            n = int(hi - lo)
-            if n < 2:
-                continue
-            x = np.stack([np.frombuffer(raw[int(i)].as_buffer(), dtype=np.float64) for i in range(lo, hi)])
-            c = np.stack([np.frombuffer(codes[int(i)].as_buffer(), dtype=np.int32) for i in range(lo, hi)])
-            halves = side[lo:hi]
+        raw, codes = (table.column(c).combine_chunks() for c in ("vector", "codes"))
+        for lo, hi in zip(bound[:-1].tolist(), bound[1:].tolist()):
+            n, both = hi - lo, seat_x[lo] != seat_y[lo]
             # pair (i, j): i < j of one half, or i of the first half and j of the second
-            a = np.flatnonzero(halves == 0)
-            b = np.flatnonzero(halves == 1)
-            both = seat_x[lo] != seat_y[lo]
-            b = b if both else a
-            if not len(a) or not len(b):
-                continue
-            hit = x[a] @ x[b].T >= cosine
-            if not both:
-                hit &= np.triu(np.ones(hit.shape, dtype=bool), 1)
-            i, j = np.nonzero(hit)
-            i, j = a[i], b[j]
-            if t[lo]:
-                new = ~(c[i, : t[lo]] == c[j, : t[lo]]).any(1)
-                i, j = i[new], j[new]
-            if not len(i):
+            a = np.flatnonzero(side[lo:hi] == 0)
+            b = np.flatnonzero(side[lo:hi] == 1) if both else a
+            if n < 2 or not len(a) or not len(b):
                 continue
-            w = weight[lo:hi]
-            links = np.bincount(i, w[j], n) + np.bincount(j, w[i], n)
-            forest = Forest(n)
-            for p, q in zip(i.tolist(), j.tolist()):
-                forest.join(p, q)
-            for k in np.flatnonzero(links):
-                out.append((int(node[lo + k]), int(links[k]), int(node[lo + forest.find(int(k))])))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["node", "links", "root"])
+            x = _units([raw[i].as_buffer() for i in range(lo, hi)], number)
+            c = np.stack([np.frombuffer(codes[i].as_buffer(), dtype=np.int32) for i in range(lo, hi)])[:, : t[lo]]
+            w, links, forest = weight[lo:hi], np.zeros(n), Forest(n)
+            for p in range(0, len(a), TILE):
+                for q in range(0 if both else p, len(b), TILE):
+                    one, two = a[p : p + TILE], b[q : q + TILE]
+                    hit = x[one] @ x[two].T >= cosine
+                    if not both and p == q:
+                        hit = np.triu(hit, 1)
+                    i, j = np.nonzero(hit)
+                    i, j = one[i], two[j]
+                    if t[lo] and len(i):
+                        new = ~(c[i] == c[j]).any(1)
+                        i, j = i[new], j[new]
+                    if not len(i):
+                        continue
+                    links += np.bincount(i, w[j], n) + np.bincount(j, w[i], n)
+                    for u, v in zip(i.tolist(), j.tolist()):
+                        forest.join(u, v)
+            at = np.flatnonzero(links)
+            if len(at):
+                root = [node[lo + forest.find(k)] for k in at.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(node[lo + at]), pa.array(part[lo + at]), pa.array(links[at].astype(np.int64)), pa.array(root, pa.int64())], names=["node", "part", "links", "root"])
 
 
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, tables: int = TABLES) -> DataFrame:
@@ -153,11 +168,12 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     Vectors are compared only within one non-null label and one length.  Null or zero vectors and
     those with null or non-finite components link with nothing.  Copies of a vector meet as one row
     with a weight, and count as links of each other.  Rows with a null id take no part: 0 links and
-    null component.  Rows that repeat an id are one vector if their vectors are the same; the other
-    columns are not read.  An empty table gives no rows.  There are at least ``tables`` tables, and as
+    null component.  Rows that repeat an id are one vector if their vectors are the same; if not, each
+    vector counts its own links, and as one id they share a component.  Other columns are not read.  An empty table gives no rows.  There are at least ``tables`` tables, and as
     many more as RECALL takes at the length of code pieces that the number of vectors asks for."""
     spark = vectors.sparkSession
     prepare(spark)
+    number = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"  # vectors travel as they came
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("long").alias("label"))
 
     def normalise(batches):
@@ -166,23 +182,25 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
             fp, raw, dim = [], [], []
             for i, v, label in zip(ids, b.column(1).to_pylist(), labels):
                 x = None if i is None or label is None else _unit(v)
-                raw.append(None if x is None else x.tobytes())
-                fp.append(None if x is None else _fp(label, np.asarray(v, dtype=np.float64).tobytes()))
+                raw.append(None if x is None else np.asarray(v, dtype=number).tobytes())
+                fp.append(None if x is None else _fp(label, raw[-1]))
                 dim.append(None if x is None else len(x))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp, pa.binary()), pa.array(dim, pa.int32()), pa.array(raw, pa.binary())], names=["id", "label", "fp", "dim", "vector"])
 
     rows = map_arrow(src, normalise, "id long, label long, fp binary, dim int, vector binary")
     ids = rows.select("id", "label", "fp").checkpoint()
-    # rows that repeat an id count once
-    groups = ids.where("fp IS NOT NULL").distinct().groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("weight")).checkpoint()
+    # rows that repeat an id and its vector count once; an id's vectors are numbered (nearly all are number 0)
+    groups = ids.where("fp IS NOT NULL").distinct().groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("weight"))
+    groups = groups.withColumn("part", (F.row_number().over(Window.partitionBy("node").orderBy("fp")) - 1).cast("int")).checkpoint()
     reps = rows.where("fp IS NOT NULL").withColumnRenamed("fp", "own").join(groups, (F.col("own") == F.col("fp")) & (F.col("id") == F.col("node")))
-    reps = reps.select("node", "label", "weight", "dim", "vector").dropDuplicates(["node"]).checkpoint()
+    reps = stored(reps.select("node", "part", "label", "weight", "dim", "vector").dropDuplicates(["node", "part"]))
     total = max(2, reps.count())
     bits = piece_bits(total)
-    sample = reps.orderBy(F.xxhash64("node", F.lit(7))).limit(SAMPLE).select("dim", "vector").collect()
+    sample = reps.orderBy(F.xxhash64("node", "part", F.lit(7)), "node", "part").limit(SAMPLE).select("dim", "vector").collect()
     dims = [r["dim"] for r in sample]
     main = max(set(dims), key=lambda d: (dims.count(d), d)) if dims else 1
-    learnt = np.array([np.frombuffer(r["vector"], dtype=np.float64) for r in sample if r["dim"] == main]).reshape(-1, main)
+    held = [r["vector"] for r in sample if r["dim"] == main]
+    learnt = _units(held, number) if held else np.zeros((0, main))
     mean = learnt.mean(0) if len(learnt) else np.zeros(main)
 
     def fit(d: int) -> tuple[np.ndarray, int, int]:
@@ -193,36 +211,42 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     def index(batches):
         known = {main: fitted}
         for b in batches:
-            raw, dim = b.column(4), b.column(3).to_pylist()
-            codes = []
-            for r, d in zip(raw, dim):
+            raw, dim = b.column(5), b.column(4).to_pylist()
+            codes: list = [None] * len(dim)
+            for d in set(dim):
                 if d not in known:
                     known[d] = fit(d)
                 planes, width, count = known[d]
-                x = np.frombuffer(r.as_buffer(), dtype=np.float64)
+                at = [k for k, other in enumerate(dim) if other == d]
+                x = _units([raw[k].as_buffer() for k in at], number)
                 sign = (x - mean if d == main else x) @ planes >= 0
-                codes.append((sign.reshape(count, width) @ (1 << np.arange(width, dtype=np.int64))).astype(np.int32))
+                code = (sign.reshape(-1, count, width) @ (1 << np.arange(width, dtype=np.int64))).astype(np.int32)
+                for k, c in zip(at, code):
+                    codes[k] = c
             packed = pa.array([c.tobytes() for c in codes], pa.binary())
             for t in range(max((len(c) for c in codes), default=0)):
                 at = pa.array([k for k, c in enumerate(codes) if len(c) > t], pa.int64())
                 key = pa.array([int(c[t]) for c in codes if len(c) > t], pa.int32())
-                label, size, node, weight, vector = (b.column(k).take(at) for k in (1, 3, 0, 2, 4))
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(at), pa.int32()), label, size, key, node, weight, packed.take(at), vector], names=["t", "label", "dim", "key", "node", "weight", "codes", "vector"])
+                label, size, node, part, weight, vector = (b.column(k).take(at) for k in (2, 4, 0, 1, 3, 5))
+                seen = packed.take(at) if t else pa.array([b""] * len(at), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([t] * len(at), pa.int32()), label, size, key, node, part, weight, seen, vector], names=["t", "label", "dim", "key", "node", "part", "weight", "codes", "vector"])
 
-    indexed = map_arrow(reps, index, "t int, label long, dim int, key int, node long, weight long, codes binary, vector binary")
+    indexed = map_arrow(reps, index, "t int, label long, dim int, key int, node long, part int, weight long, codes binary, vector binary")
     # buckets of more than one block are compared block by block, each pair of blocks a seat of its own
     bucket = ["t", "label", "dim", "key"]
-    large = indexed.groupBy(*bucket).count().where(F.col("count") > BLOCK).select(*bucket, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")).checkpoint()
-    dealt = indexed.join(F.broadcast(large) if large.count() <= 100_000 else large, bucket, "left")
-    own = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
+    block = F.greatest(F.lit(min(TILE, BLOCK)), F.floor(F.lit(BLOCK * WIDE) / F.greatest("dim", F.lit(WIDE))))
+    large = indexed.groupBy(*bucket).count().where(F.col("count") > block).select(*bucket, F.ceil(F.col("count") / block).cast("int").alias("blocks")).checkpoint()
+    dealt = indexed.join(F.broadcast(large) if large.count() <= SEND_ROWS else large, bucket, "left")
+    own = F.pmod(F.xxhash64("node", "part"), F.coalesce("blocks", F.lit(1))).cast("int")
     dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
     seat = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("x"), F.greatest(k, F.col("own")).alias("y"), F.when(k < F.col("own"), 1).otherwise(0).alias("side")))
-    dealt = dealt.select(*bucket, "node", "weight", "codes", "vector", F.explode(seat).alias("seat")).select(*bucket, "seat.x", "seat.y", "seat.side", "node", "weight", "codes", "vector")
-    found = by_runs(dealt, [*bucket, "x", "y"], ["node"], lambda g: _compare(g, cosine), "node long, links long, root long").checkpoint()
+    rest = ["node", "part", "weight", "codes", "vector"]
+    dealt = dealt.select(*bucket, *rest, F.explode(seat).alias("seat")).select(*bucket, "seat.x", "seat.y", "seat.side", *rest)
+    found = by_runs(dealt, [*bucket, "x", "y"], ["node", "part"], lambda g: _compare(g, cosine, number), "node long, part int, links long, root long").checkpoint()
 
     comps = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "of_node")
-    links = found.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "at")
-    answer = groups.join(links, F.col("node") == F.col("at"), "left").join(comps, F.col("node") == F.col("of_node"), "left")
+    links = found.groupBy("node", "part").agg(F.sum("links").alias("links")).select(F.col("node").alias("at"), F.col("part").alias("at_part"), "links")
+    answer = groups.join(links, (F.col("node") == F.col("at")) & (F.col("part") == F.col("at_part")), "left").join(comps, F.col("node") == F.col("of_node"), "left")
     answer = answer.select(F.col("fp").alias("of"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "node").alias("comp")).checkpoint()
     out = ids.join(answer, F.col("fp") == F.col("of"), "left")
     comp = F.coalesce("comp", "id")

@@ -70,6 +70,32 @@ def test_embedding_dedup(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_an_id_with_two_vectors_keeps_both(spark):
+    r = np.random.default_rng(11)
+    a, b = r.standard_normal((2, 64))
+    close = lambda v: (v + r.standard_normal(64) * 0.01).tolist()
+    rows = [(5, a.tolist(), 0), (5, b.tolist(), 0), (8, close(a), 0), (9, close(b), 0), (9, r.standard_normal(64).tolist(), 0), (5, a.tolist(), 0)]
+    got = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((q.vec_id, q.n_links, q.component_id) for q in got) == [(5, 1, 5)] * 3 + [(8, 1, 5), (9, 0, 5), (9, 1, 5)]
+
+
+def test_links_on_table(spark, sf_dir):
+    """Against all pairs of the table: no link below the threshold, recall of 0.95 at least."""
+    rows = [(r.vec_id, r.embedding, r.label) for r in common.read_table(spark, sf_dir, "embeddings").collect()]
+    by = {}
+    for i, v, label in rows:
+        if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            by.setdefault((label, len(v)), []).append((i, np.array(v, dtype=float) / np.linalg.norm(np.array(v, dtype=float))))
+    true = Counter()
+    for held in by.values():
+        x = np.stack([v for _, v in held])
+        for k, n in enumerate((x @ x.T >= 0.93).sum(1) - 1):
+            true[held[k][0]] += int(n)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.op7_embedding_dedup(spark, sf_dir).collect()}
+    assert all(n <= true[i] for i, n in got.items())
+    assert sum(got.values()) >= 0.95 * sum(true.values())
+
+
 @pytest.mark.parametrize("bits", [16, 20])
 def test_embedding_recall_with_long_code_pieces(spark, monkeypatch, bits):
     """Pairs just above the threshold meet as often with the pieces of millions of vectors."""
