@@ -1,12 +1,18 @@
 """Mixture-controlled packing of token streams into fixed windows.
 
-Every source is a queue of documents.  Each window is filled by deficit round-robin: of all queues,
-the one furthest behind its target share gives the next token.  The order this makes is a merge by
-virtual time, token p of source k at (p + 1/2) / rate_k; so the tokens that any window takes from a
-queue follow from the source totals alone, and the deficits carry over windows, partitions and
-machines without a walk through the windows.  Rates default to the sources' own totals, so that all
-queues run dry together and every window holds the corpus mixture; with other rates a queue that has
-run dry leaves its share to the rest.
+Every source is a queue of documents, and a deficit round-robin deals them out: the queue furthest
+behind its share has the next turn.  A queue's share grows with the tokens dealt, so document d of a
+queue, after ``start`` tokens of that queue, falls due at virtual time (start + n/2) / rate: when half of
+it is owed.  Ordering by due times is the round-robin, and it needs no walk: dues follow from sums a
+source and task, places from sums a slice of due time, so deficits carry over windows, partitions and
+machines alike.
+
+Two turns are offered.  *Whole documents* (``whole=True``, what the query takes): a turn gives one whole
+document, windows cut the stream where they end, and each source is ahead of or behind its share by
+about a document at most, in every prefix of the stream.  *Single tokens* (``whole=False``): every
+window holds the target proportions to the token, which cuts documents of small sources into a piece a
+window.  Rates default to the sources' own totals, so that all queues run dry together; with other rates
+a queue that has run dry leaves its share to the rest.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ WINDOW = 2048
 VOCABULARY, END_ID = "byte_bpe_50k", 1
 #: Longest list of task totals that is sent to every task; a longer one is joined in a shuffle.
 SEND_ROWS = 300_000
+#: Tokens of a slice of due time, and most slices (a row each is sent to every task).
+SLICE, SLICES = 1 << 18, 1 << 18
 
 
 class Encoder:
@@ -150,12 +158,14 @@ class Schedule:
             known.update(zip(missing, self.taken(np.array(missing))))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = VOCABULARY, folder: str | None = None, window: int = WINDOW, rates: dict | None = None) -> DataFrame:
-    """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, part, slot.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = VOCABULARY, folder: str | None = None, window: int = WINDOW, rates: dict | None = None, whole: bool = False) -> DataFrame:
+    """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and the end id, so a null or empty text is one token.  Every id lies in
-    exactly one piece; all windows are full but the last.  A null source is a queue of its own, after
-    the others.  ``rates`` maps sources to relative shares (missing: 1); None: the corpus mixture.
+    exactly one piece; all windows are full but the last.  ``whole``: turns give whole documents, cut only
+    at window ends, so there are fewer pieces than documents and windows together; else each window holds
+    the target proportions.  Equal due times go by source, then by place in the queue.  A null source is a
+    queue of its own, after the others.  ``rates`` maps sources to relative shares (missing: 1); None: the corpus mixture.
     Rows that repeat an id are packed one by one; null ids stay null.  Other columns are not read.
 
     Texts are encoded once.  The encoded table keeps, for each row, its task and the tokens of its
@@ -188,6 +198,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     # it is sent to all of them only while it is short
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select(F.col("source").alias("of"), F.col("part").alias("at"), F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"))
+    if whole:
+        return _deal_whole(rows, base, schedule, names, window, parts.count() <= SEND_ROWS).withColumnRenamed("id", id_col)
     on = rows.source.eqNullSafe(F.col("of")) & (rows.part == F.col("at"))
     rows = rows.join(F.broadcast(base) if parts.count() <= SEND_ROWS else base, on).select("id", "source", (F.col("base") + F.col("before")).alias("start"), "n", "ids")
 
@@ -209,5 +221,45 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return out.withColumnRenamed("id", id_col)
 
 
+def _deal_whole(rows: DataFrame, base: DataFrame, schedule: Schedule, names: list, window: int, small: bool) -> DataFrame:
+    """Place whole documents in the order of their due times."""
+    spark = rows.sparkSession
+    ranks = spark.createDataFrame([(n, k, float(schedule.rate[k])) for k, n in enumerate(names)], "of_source string, rank int, rate double")  # a row a source
+    base = base.join(F.broadcast(ranks), F.col("of").eqNullSafe(F.col("of_source"))).drop("of_source")
+    on = rows.source.eqNullSafe(F.col("of")) & (rows.part == F.col("at"))
+    rows = rows.join(F.broadcast(base) if small else base, on)
+    rows = rows.withColumn("due", (F.col("base") + F.col("before") + F.col("n") / 2) / F.col("rate"))
+    # about the tokens that are dealt before a due time: linear between the times when queues run dry
+    tokens = F.lit(float(schedule.filled[-1]))
+    for k in range(len(schedule.knots) - 1, 0, -1):
+        low, high = float(schedule.knots[k - 1]), float(schedule.knots[k])
+        steep = float(schedule.filled[k] - schedule.filled[k - 1]) / (high - low)
+        tokens = F.when(F.col("due") <= high, float(schedule.filled[k - 1]) + (F.col("due") - low) * steep).otherwise(tokens)
+    slices = max(1, min(SLICES, schedule.all // SLICE))
+    rows = rows.withColumn("slice", F.least(F.lit(slices - 1), F.floor(tokens / max(1, schedule.all) * slices)).cast("int"))
+    ahead = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("slice").agg(F.sum("n").alias("tokens")).select(F.col("slice").alias("of_slice"), F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("ahead"))  # SLICES rows at most
+    rows = rows.join(F.broadcast(sums), F.col("slice") == F.col("of_slice")).select("id", "n", "ids", "slice", "ahead", "due", "rank", (F.col("base") + F.col("before")).alias("start"))
+
+    def place(batches):
+        now, at = None, 0
+        for b in batches:
+            out = []
+            for doc, n, raw, slice_, ahead in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if slice_ != now:
+                    now, at = slice_, ahead
+                ids = np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
+                lo = 0
+                while lo < n:
+                    hi = min(n, lo + window - at % window)
+                    out.append((doc, lo, hi - lo, zlib.crc32(ids[lo:hi].tobytes()), n, at // window, at % window))
+                    at, lo = at + hi - lo, hi
+            cols = list(zip(*out)) if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    rows = rows.repartition("slice").sortWithinPartitions("slice", "due", "rank", "start")
+    return map_arrow(rows, place, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"))
+    return pack(read_table(spark, sf_dir, "documents"), whole=True)

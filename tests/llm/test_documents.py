@@ -306,6 +306,49 @@ def test_packing_on_hard_rows(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_packing_whole_documents_on_hard_rows(spark):
+    check_packing(ROWS, packing.pack(frame(spark), whole=True).collect())
+    assert packing.pack(frame(spark, []), whole=True).count() == 0
+
+
+@pytest.mark.parametrize("rates,slice_", [(None, 1 << 18), (None, 3000), ({"a": 3, "b": 1}, 2000)])
+def test_turns_carry_deficits(spark, monkeypatch, rates, slice_):
+    """Against a queue-by-queue walk: documents stand in the order of their dues, and no source strays further than a document from its share."""
+    monkeypatch.setattr(packing, "SLICE", slice_)
+    r = np.random.default_rng(3)
+    rows = [(i, " ".join(["word"] * int(r.integers(1, 1500))), "en", s) for i, s in enumerate(r.choice(["a", "b", "c"], 200, p=[0.7, 0.2, 0.1]).tolist() + [None] * 5)]
+    got = packing.pack(frame(spark, rows).repartition(3), rates=rates, whole=True).collect()
+    check_packing(rows, got)
+    assert len(got) <= len(rows) + max(p.sequence_id for p in got) + 1
+    source = {x[0]: x[3] for x in rows}
+    order = sorted(got, key=lambda p: (p.sequence_id, p.offset))
+    total = Counter()
+    for p in got:
+        total[source[p.doc_id]] += p.length
+    rate = {s: (rates.get(s, 1) if rates else total[s]) for s in total}
+    # the place of each document in its queue follows from the output; its due must then rise along the stream
+    queue, dues, have, longest = Counter(), [], Counter(), max(p.doc_tokens for p in got)
+    for p in order:
+        s = source[p.doc_id]
+        if p.start == 0:
+            dues.append((queue[s] + p.doc_tokens / 2) / rate[s])
+            queue[s] += p.doc_tokens
+        have[s] += p.length
+        live = [x for x in total if have[x] < total[x] and queue[x] < total[x]]
+        if len(live) == len(total):
+            done, share = sum(have.values()), sum(rate.values())
+            assert all(abs(have[x] - done * rate[x] / share) <= 1.5 * longest for x in total)
+    assert all(x <= y * (1 + 1e-12) for x, y in zip(dues, dues[1:]))
+
+
+def test_packing_query_keeps_documents_together(spark, sf_dir):
+    docs = common.read_table(spark, sf_dir, "documents")
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    got = packing.op5_packing(spark, sf_dir).collect()
+    check_packing(rows, got)
+    assert len(got) < 3 * len(rows)
+
+
 def test_packing_keeps_the_mixture(spark, sf_dir):
     docs = common.read_table(spark, sf_dir, "documents")
     source = {r.doc_id: r.source for r in docs.collect()}
