@@ -13,6 +13,8 @@ from parlance.llm import common, dedup, language_id, mixing, ngram_join, packing
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Largest list of dropped documents that is sent to every task; a longer one meets them in a shuffled join.
 SEND_ROWS = 500_000
+#: Share of a document's text that its main language must have.
+LEAST_SHARE = 0.5
 
 
 def _without(docs: DataFrame, dropped: DataFrame, on: Column) -> DataFrame:
@@ -21,9 +23,16 @@ def _without(docs: DataFrame, dropped: DataFrame, on: Column) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in which no language can be told (null, or without a letter) go."""
+    """Documents with a main language stay: those in which no language can be told (null, or without a
+    letter) go, and so do mixtures in which no language has LEAST_SHARE of the text.
+
+    What was inferred goes on in ``lang``: the language set with its proportions is boiled down to the main
+    one, whatever label, or none, a document bore.  Where nothing could be learnt (no document has a
+    language), none can be told."""
     docs = docs.select(*COLUMNS)
-    return language_id.identify(docs, language_id.fit(docs)).where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
+    found = language_id.identify(docs, language_id.fit(docs))
+    found = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,14 +59,19 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for every time a document is taken; a document that is taken in part is taken whole."""
+    """A row for every time a document is taken; a document that is taken in part is taken whole.
+
+    A null source is a source of its own.  Documents without words are never taken.  Ties of the seeded
+    order go by id and size."""
     out = mixing.mix(docs, F.array("source"), mixing.word_count(F.col("text")), keep=COLUMNS)
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
     return out.where("taken > 0").withColumn("time", F.explode(F.sequence(F.lit(1), times))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """Whole documents, cut at window ends only.  A row that was taken twice is packed twice; null texts are
+    one token, a null source a queue of its own, and equal due times go by source and place."""
+    return packing.pack(docs, whole=True)
 
 
 STAGES = [("language_id", language), ("exact_dedup", exact), ("ngram_jaccard_join", near), ("mixing", mixed), ("packing", packed)]
