@@ -1,7 +1,9 @@
 """URL filtering: longest matching rule, else a naive Bayes verdict on segmented host and path words.
 
 Host labels are split into words by unigram Viterbi; the words and the path's tokens are scored by a
-multinomial naive Bayes model that is trained on the URLs that the rules decide.
+multinomial naive Bayes model that is trained on the URLs that the rules decide.  Tokens that the rules
+themselves test (the top-level domain, words of their hosts, path parts of theirs) are left out of the
+model: it would only learn the rules again and apply them where they do not hold.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from .common import map_arrow, prepare, read_table
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Expected labelled URLs that the verdict model is learnt from.
 LABELLED = 50_000
-LONGEST_WORD, ALPHA = 20, 1.0
+#: No host label, so no word in one, is longer; and the pseudo-count of a token.
+LONGEST_WORD, ALPHA = 63, 1.0
 
 _TOKEN = re.compile(r"[a-z]+|[0-9]+")
 
@@ -70,11 +73,21 @@ class Segmenter:
             end = best[end][1]
         return tuple(reversed(out))
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """h: words of host labels, t: the last label, p: path tokens (numbers as #)."""
-        labels = host.split(":")[0].split(".")
-        words = [f"h:{w}" for label in labels[:-1] for part in _TOKEN.findall(label) for w in (self.split(part) if part.isalpha() else "#")]
-        return words + [f"t:{labels[-1]}"] * bool(labels[-1]) + [f"p:{'#' if t.isdigit() else t}" for t in _TOKEN.findall(path.lower())]
+    def tokens(self, host: str, path: str, rules=()) -> list[str]:
+        """h: words of host labels but the last, p: path tokens (numbers as #), without what ``rules`` test."""
+        tested, first = _tested(tuple(rules))
+        labels = [x for x in host.split(":")[0].split(".")[:-1] if x not in tested]
+        words = [f"h:{w}" for label in labels for part in _TOKEN.findall(label) for w in (self.split(part) if part.isalpha() else "#")]
+        parts = path.lower().split("/")
+        if len(parts) > 1 and parts[1] in first:
+            parts[1] = ""
+        return words + [f"p:{'#' if t.isdigit() else t}" for part in parts for t in _TOKEN.findall(part)]
+
+
+@lru_cache
+def _tested(rules: tuple) -> tuple[frozenset[str], frozenset[str]]:
+    """Host labels and first path parts that the rules test."""
+    return frozenset(x for _, h, _ in rules for x in h.split(".")), frozenset(p.strip("/").split("/")[0].lower() for *_, p in rules if p.strip("/"))
 
 
 def _segmenter(log: dict[str, float], unknown: float) -> Segmenter:
@@ -122,7 +135,8 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     """Per row: id, host, path, rule, verdict, odds.
 
     A null URL or one without ``://`` has empty host and path; no rule fits it, and the model decides
-    by its prior.  Without any URL that a rule decides, the model allows.  Repeated rows and null ids
+    by its prior, as it does for an empty host without path tokens.  Odds of exactly 0 allow.  Without any URL
+    that a rule decides, the model allows.  Repeated rows and null ids
     give a row each; other columns are not read."""
     prepare(pages.sparkSession)
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
@@ -140,7 +154,7 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
         for b in batches:
             what, token = [], []
             for v, h, p in zip(*(b.column(k).to_pylist() for k in range(3))):
-                found = words.tokens(h, p)
+                found = words.tokens(h, p, rules)
                 token += found
                 what += [v] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(what, pa.string()), pa.array(token, pa.string())], names=["verdict", "token"])
@@ -151,7 +165,7 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
 
     def judge(batches):
         for b in batches:
-            odds = [model.odds(words.tokens(h, p)) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            odds = [model.odds(words.tokens(h, p, rules)) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             made = [v or ("block" if o > 0 else "allow") for v, o in zip(b.column(4).to_pylist(), odds)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(made, pa.string()), pa.array(odds, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "odds"])
 

@@ -242,6 +242,44 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def url_frame(spark):
+    rows = [(i, f"http://{name}{i}.example.net/x/{i}", "<p>casino win free bets daily news garden</p>") for i, name in enumerate(["casino-win", "free-bets", "casinobets"] * 20)]
+    rows += [(100 + i, f"http://{name}{i}.site.org/fr/{i}", "<p>daily news garden tips</p>") for i, name in enumerate(["daily-news", "gardentips", "news"] * 20)]
+    more = ["http://casino-win.example.com/p/1", "http://dailynews.shop.com/p/2", "http://casino-win.example.org/en/3", "http://gardentips.example.com/en/4", "http://dailynews.net.com/fr/5", None, ""]
+    return spark.createDataFrame(rows + [(200 + i, u, None) for i, u in enumerate(more)], "page_id long, url string, html string")
+
+
+def test_verdicts_rest_on_words_not_on_what_rules_test(spark):
+    got = {r.page_id: r for r in url_filter.filter_urls(url_frame(spark)).collect()}
+    assert [got[200 + i].verdict for i in range(5)] == ["block", "allow", "block", "allow", "allow"]
+    assert all(got[200 + i].rule is None for i in range(7))
+    assert got[205].odds == got[206].odds  # an empty host: the prior alone
+    s = url_filter.Segmenter({"news": 5})
+    assert s.tokens("news.example.com", "/de/a/de", url_filter.RULES) == ["h:news", "p:a", "p:de"]
+
+
+def test_naive_bayes_by_hand(spark):
+    """Odds against the textbook formula over the labelled URLs."""
+    df = url_frame(spark)
+    got = {r.page_id: r for r in url_filter.filter_urls(df).collect()}
+    words = url_filter.learn_words(F.col("html"), df)
+    seen, docs, tokens = {"block": Counter(), "allow": Counter()}, Counter(), {}
+    for i, r in got.items():
+        tokens[i] = words.tokens(r.host, r.path, url_filter.RULES)
+        if r.rule is not None:
+            seen[r.verdict].update(tokens[i])
+            docs[r.verdict] += 1
+    every = set(seen["block"]) | set(seen["allow"])
+    for i, r in got.items():
+        odds = np.log((docs["block"] + 1) / (docs["allow"] + 1))
+        for t in tokens[i]:
+            if t in every:
+                p, q = ((seen[c][t] + 1) / (sum(seen[c].values()) + len(every)) for c in ("block", "allow"))
+                odds += np.log(p / q)
+        assert r.odds == pytest.approx(odds)
+        assert r.rule is not None or r.verdict == ("block" if odds > 0 else "allow")
+
+
 def test_words_of_all_pages_are_counted(spark):
     name = lambda i: "".join(chr(97 + int(c)) for c in f"{i:05d}") + "zq"
     rows = [(i, f"http://{name(i)}shop.com/", f"<p>{name(i)} shop, shop</p>") for i in range(6000)]
