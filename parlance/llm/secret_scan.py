@@ -1,9 +1,13 @@
 """Secret scanning: three base patterns and an assignment-aware lexer.
 
-The lexer reads source and configuration syntax (``name = "literal"``, ``"name": "literal"``,
-``NAME=value``, ``name => 'literal'``, ``a := "x" + "y"``) into name-literal pairs.  A name bound to
-a literal is a constant of its document; a later ``password = name`` passes the literal on to the new
-name.  A literal is reported when the names it reaches are sensitive and it looks like a value.
+The lexer cuts a text into strings (also triple-quoted ones), comments and the rest, and reads source
+and configuration syntax in the rest into name-literal pairs: ``name = "literal"``, ``"name": "literal"``,
+``NAME=value``, ``name => 'literal'``, ``a := "x" + "y"``, ``name = call("literal")``, YAML block scalars,
+XML elements, and key and value that stand side by side (``<add key="DbPassword" value="..."/>``).  What
+stands inside a string or a comment is no assignment.  A name bound to a literal is a constant of its
+document; ``password = name``, earlier or later, passes the literal on to the new name.  A literal is
+reported when the names it reaches are sensitive and it looks like a value; its score is the product of
+both.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -32,11 +37,20 @@ PAIR_SCORE = {("api", "key"): 1.0, ("access", "key"): 0.9, ("private", "key"): 0
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|changeme|example|placeholder|your.*|none|null|nil|true|false|todo|test|undefined|\$\{.*\}|\$\w+|<.*>|%\w+%)$")
 LEAST_SCORE, LEAST_LENGTH = 0.5, 6
 
-_TERM = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9+/_.=\-]+)"""
 _NAME_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_0123456789.-"
-_OPERATOR = re.compile(r"=>|:=|(?<![=!<>:+])[:=](?![=:/])")
-_RIGHT = re.compile(rf"[ \t]*({_TERM}(?:[ \t]*\+[ \t]*{_TERM})*)")
-_TERMS = re.compile(_TERM)
+# a quote after a letter, digit or backslash opens no string (don't), but for string prefixes (rb"...")
+_QUOTE = r"""(?:(?<![A-Za-z0-9\\])|(?<=\b[rbuf])|(?<=\b[rbf][rbf]))"""
+_LEXER = re.compile(rf"""(?P<string>{_QUOTE}(?:"(?!"")(?:[^"\\\n]|\\.)*+"|""(?!")|'(?!'')(?:[^'\\\n]|\\.)*+'|''(?!')|`[^`\n]*+`))|(?P<triple>\"\"\"|\'\'\')|(?P<line>(?:(?<=\s)|(?<![\s\S]))(?:\#|//)[^\n]*+)|(?P<block>/\*|<!--)|(?P<op>=>|:=|(?<![=!<>:+])[:=](?![=:/]))""", re.I)
+_ENDS = {'"""': '"""', "'''": "'''", "/*": "*/", "<!--": "-->"}
+_BARE = re.compile(r"""[A-Za-z0-9+/_.\-]++(?:={1,2}(?![A-Za-z0-9+/_."'=\-]))?""")
+_GAP = re.compile(r"[ \t]*(?:\\\r?\n[ \t]*)?")
+_JOIN = re.compile(r"[ \t]*(?:\+|\.(?=[ \t])|&)?[ \t]*(?:\\\r?\n[ \t]*)?")
+_CALL = re.compile(r"([A-Za-z_][\w.]*+)\(")
+_LOOKUP = re.compile(r"(?i)(?:get|getenv|env|environ|lookup|fetch)$")
+_SCALAR = re.compile(r"[ \t]*[|>][+-]?[ \t]*\r?\n")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?+>([^<>]++)</\1\s*>")
+#: Names whose literals go together when they stand side by side.
+_KEYS, _VALUES = frozenset("key name id property".split()), frozenset("value content default".split())
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _SENSITIVE = re.compile(r"(?i)pass|pwd|secret|token|key|cred|auth|bearer")
 
@@ -53,56 +67,159 @@ def literal_score(value: str) -> float:
     if len(value) < LEAST_LENGTH or PLACEHOLDER.match(value):
         return 0.0
     n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value[:256]).values()) if n <= 256 else 4.0
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     return min(1.0, entropy / 2.5)
 
 
-def name_before(left: str) -> str | None:
-    """The whole name, quoted or not, that ``left`` ends with."""
-    left = left.removesuffix("\n").rstrip(" \t")
-    quote = left[-1:] if left[-1:] in ("'", '"') else ""
-    body = left[: len(left) - len(quote)]
-    stem = body.rstrip(_NAME_CHARACTERS)
-    name = body[len(stem) :]
-    if not quote:
-        name = name.lstrip("0123456789.-")
-    elif not stem.endswith(quote) or name[:1] in "0123456789.-":
-        return None
-    return name or None
+def lex(text: str) -> tuple[dict[int, tuple[int, int, int]], dict[int, int], list[tuple[int, int, int]]]:
+    """(strings: opening -> inner start, inner end, end; the same by end -> opening; operators: start, end, where the rest before it begins)."""
+    strings: dict[int, tuple[int, int, int]] = {}
+    ends: dict[int, int] = {}
+    operators: list[tuple[int, int, int]] = []
+    at = rest = 0
+    open_ended: set[str] = set()  # what has no end from here on is no string or comment
+    while m := _LEXER.search(text, at):
+        at = m.end()
+        kind = m.lastgroup
+        if kind == "op":
+            operators.append((m.start(), at, rest))
+            rest = at
+        elif kind == "string":
+            strings[m.start()] = (m.start() + 1, at - 1, at)
+            ends[at] = m.start()
+        elif kind == "line":
+            rest = at
+        else:
+            end = -1 if m[0] in open_ended else text.find(_ENDS[m[0]], at)
+            if end < 0:
+                open_ended.add(m[0])
+                continue
+            if kind == "triple":
+                strings[m.start()] = (at, end, end + 3)
+                ends[end + 3] = m.start()
+            at = end + len(_ENDS[m[0]])
+            if kind == "block":
+                rest = at
+    return strings, ends, operators
+
+
+def _target(text: str, lo: int, hi: int, strings, ends) -> str | None:
+    """The name, quoted or not, that stands right before an operator."""
+    while hi > lo and text[hi - 1] in " \t":
+        hi -= 1
+    if hi in ends:
+        a, b, _ = strings[ends[hi]]
+        name = text[a:b]
+        return name if name and not name.strip(_NAME_CHARACTERS) and name[0] not in "0123456789.-" else None
+    stem = text[lo:hi].rstrip(_NAME_CHARACTERS)
+    return text[lo + len(stem) : hi].lstrip("0123456789.-") or None
+
+
+def _value(text: str, at: int, strings, stop: int) -> tuple[list[tuple[int, int]], list[str], bool]:
+    """Spans of the literals, and the names, that an expression joins; whether it is one bare word, which may be either.
+
+    Arguments of a call are read up to the next operator, at ``stop``."""
+    block = _SCALAR.match(text, at)
+    if block:
+        line = text.rfind("\n", 0, at) + 1
+        indent, lo, hi, p = len(text[line:at]) - len(text[line:at].lstrip(" -")), None, None, block.end()
+        while p < len(text):
+            end = text.find("\n", p)
+            end = len(text) if end < 0 else end
+            body = text[p:end].strip()
+            if body and len(text[p:end]) - len(text[p:end].lstrip(" ")) <= indent:
+                break
+            if body:
+                first = p + text[p:end].index(body)
+                lo, hi = first if lo is None else lo, first + len(body)
+            p = end + 1
+        return ([(lo, hi)] if lo is not None else []), [], False
+    spans: list[tuple[int, int]] = []
+    names: list[str] = []
+    last, terms, p = (0, 0), 0, _GAP.match(text, at).end()
+    while p < len(text):
+        call = _CALL.match(text, p)
+        if p in strings or (text[p] in "rbufRBUF" and (q := next((k for k in (p + 1, p + 2) if k in strings), None)) is not None):
+            a, b, p = strings[p if p in strings else q]
+            spans.append((a, b))
+        elif call:
+            k, lookup, p = 0, bool(_LOOKUP.search(call[1])), call.end()
+            while p < stop and text[p] not in ")\n;":
+                if p in strings:
+                    a, b, p = strings[p]
+                    if k or not lookup:
+                        spans.append((a, b))
+                    k += 1
+                else:
+                    p += 1
+            p += 1
+        elif word := _BARE.match(text, p):
+            names.append(word[0])
+            last, p = word.span(), word.end()
+        else:
+            break
+        terms += 1
+        join = _JOIN.match(text, p)
+        if join.end() == p or not join[0].strip(" \t\\\r\n") and join.end() not in strings:
+            break
+        p = join.end()
+    bare = terms == 1 and bool(names)  # a value of configuration syntax, unless it is a constant
+    return spans + [last] * bare, names, bare
 
 
 def named_literals(text: str) -> list[tuple[str, int, int, float]]:
     """(target name, start, end, score) of each literal that reaches a sensitive name."""
     if not _SENSITIVE.search(text):
         return []
-    # a constant: its literals, the constants joined in, and the highest weight that has reached it
-    constants: dict[str, list] = {}
-    found: dict[tuple[int, int], tuple[str, float]] = {}
-    last = 0
-    for op in _OPERATOR.finditer(text):
-        # no name reaches over an operator
-        name, last = name_before(text[last : op.start()]), op.end()
-        right = _RIGHT.match(text, op.end()) if name else None
-        if not right:
+    strings, ends, operators = lex(text)
+    # an assignment: name, its literals, the names it joins in, the highest weight that has reached it, whether a bare word is its value
+    made: list[list] = []
+    of: dict[str, list[int]] = {}
+    beside: dict[str, tuple[int, int, int]] = {}
+    stops = [lo for lo, *_ in operators[1:]] + [len(text)]
+    for (lo, hi, rest), stop in zip(operators, stops):
+        name = _target(text, rest, lo, strings, ends)
+        if not name:
             continue
-        spans, parts = [], []
-        for term in _TERMS.finditer(text, right.start(1), right.end(1)):
-            if term[0][0] in "\"'":
-                spans.append((term.start() + 1, term.end() - 1))
-            elif term[0] in constants:
-                parts.append(constants[term[0]])
-            else:
-                spans.append(term.span())
-        constants[name] = [spans, parts, 0.0]
+        spans, names, bare = _value(text, hi, strings, stop)
+        if not spans and not names:
+            continue
+        of.setdefault(name, []).append(len(made))
+        made.append([name, spans, names, 0.0, bare])
+        kind = "key" if name.lower() in _KEYS else "value" if name.lower() in _VALUES else ""
+        if kind and len(spans) == 1:
+            beside[kind] = (*spans[0], lo)
+            if len(beside) == 2:
+                (a, b, p), value = beside["key"], beside["value"]
+                first, last = min(b, value[1]), max(p, value[2])
+                if last - first < 200 and not any(c in text[first:last] for c in "<>{}\n;"):
+                    made.append([text[a:b], [value[:2]], [], 0.0, False])
+                    beside.clear()
+    for m in _ELEMENT.finditer(text):
+        body = m[2].strip()
+        if body:
+            lo = m.start(2) + m[2].index(body)
+            made.append([m[1], [(lo, lo + len(body))], [], 0.0, False])
+    found: dict[tuple[int, int], tuple[str, float]] = {}
+    for k, (name, *_) in enumerate(made):
         weight = name_score(name)
-        reached = [constants[name]]
+        reached = [k] if weight else []
         while reached:
-            constant = reached.pop()
-            if constant[2] >= weight:
+            i = reached.pop()
+            _, spans, names, known, bare = made[i]
+            if known >= weight:
                 continue
-            constant[2] = weight
-            reached += constant[1]
-            for lo, hi in constant[0]:
+            made[i][3] = weight
+            parts = []
+            for x in names:
+                defined = of.get(x)
+                if defined:  # the last definition before this one, or else the first one after it
+                    before = bisect_left(defined, i) - 1
+                    parts.append(defined[max(before, 0)])
+            reached += [x for x in parts if x != i]
+            if bare and parts and parts[0] != i:
+                spans = []  # the bare word is a constant
+            for lo, hi in spans:
                 score = weight * literal_score(text[lo:hi])
                 if score >= LEAST_SCORE and score > found.get((lo, hi), ("", 0.0))[1]:
                     found[lo, hi] = (name, score)
@@ -126,10 +243,11 @@ def render(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_assign, n_access, n_hex, base_sha256, spans, n_named, names.
+    """Per row: id, n_assign, n_access, n_hex, base_sha256, spans, n_named, names, scores, score.
 
-    A null or empty text has no spans: counts of 0, an empty ``spans`` and the digest of the empty
-    string.  Repeated rows and null ids give a row each; other columns are not read."""
+    ``names`` lists the sensitive names, ``scores`` the scores of the named spans in their order, to three
+    places, and ``score`` is the highest (0 without any).  A null or empty text has no spans: counts of 0,
+    empty strings and the digest of the empty string.  Repeated rows and null ids give a row each; other columns are not read."""
     prepare(docs.sparkSession)
 
     def work(batches):
@@ -141,13 +259,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kinds = Counter(k for _, k, _ in base)
                 digest = hashlib.sha256(render(base).encode()).hexdigest()
                 every = render(base + [(lo, 3, hi) for _, lo, hi, _ in named])
-                rows.append((kinds[0], kinds[1], kinds[2], digest, every, len(named), ",".join(sorted({n for n, *_ in named}))))
-            cols = list(zip(*rows)) if rows else [()] * 7
-            types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_named", "names"])
+                rows.append((kinds[0], kinds[1], kinds[2], digest, every, len(named), ",".join(sorted({n for n, *_ in named})), ",".join(f"{x:.3f}" for *_, x in named), max((x for *_, x in named), default=0.0)))
+            cols = list(zip(*rows)) if rows else [()] * 9
+            types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64(), pa.string(), pa.string(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_named", "names", "scores", "score"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = map_arrow(src, work, "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_named long, names string")
+    out = map_arrow(src, work, "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_named long, names string, scores string, score double")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -224,7 +224,8 @@ def test_secret_scan_on_hard_rows(spark):
         by_digest[hashlib.sha256(secret_scan.render(spans).encode()).hexdigest()] += 1
     assert Counter(r.base_sha256 for r in got) == by_digest
     one = next(r for r in got if r.doc_id == 13)
-    assert (one.n_assign, one.n_access) == (2, 1)
+    assert (one.n_assign, one.n_access, one.n_hex) == (2, 1, 0)
+    assert one.score == max(float(x) for x in one.scores.split(",")) and len(one.scores.split(",")) == one.n_named
     found = {SECRET[int(s.split(":")[1]) : int(s.split(":")[2])] for s in one.spans.split(",") if s.startswith("named")}
     assert {"hunter22", "Zx9#kkQ2pLm8"} <= found  # the second only through the constant key1
     assert next(r for r in got if r.doc_id == 4).spans == ""
@@ -239,6 +240,28 @@ def test_lexer(text, names):
     assert [n for n, *_ in secret_scan.named_literals(text)] == names
 
 
+@pytest.mark.parametrize("text,literals", [
+    ("print(\"password = 'notassigned1'\")", []), ("# password = 'incomment1'\nx = 1", []), ("/* token: abc123XY */ y = 2", []), ("<!-- secret=abc123XY -->", []), ('pw_token = \"\"\"two\nlines 9x\"\"\"', ["two\nlines 9x"]),
+    ("secret_key: |\n  abcDEF123\n  ghiJKL456\nother: 5", ["abcDEF123\n  ghiJKL456"]), ('<add key="DbPassword" value="Zx81!kk9q"/>', ["Zx81!kk9q"]), ('{"name": "DB_PASSWORD", "value": "hunter22x"}', ["hunter22x"]), ("<dbPassword>Qq99zz81</dbPassword>", ["Qq99zz81"]),
+    ('password = os.getenv("DB_PASSWORD", "fallBack77")', ["fallBack77"]), ('api_key = SecretStr("k3yK3yk3yZ")', ["k3yK3yk3yZ"]), ("password = later\nlater = 'defined88'", ["defined88"]), ("password = prefix + 'tail99x'", ["tail99x"]),
+    ("It's here, don't say password = hunter22 now", ["hunter22"]), ("password = r'raw99Str'", ["raw99Str"]), ("a = a\nsecret = a", []), ('token = """open', []), ("secret = 'x" + "Ab3dEf" * 200 + "'", ["x" + "Ab3dEf" * 200]),
+])
+def test_lexer_reads_syntax(text, literals):
+    assert [text[lo:hi] for _, lo, hi, _ in secret_scan.named_literals(text)] == literals
+
+
+@pytest.mark.parametrize("form", ['"', "'", "\\'", '"""', "/*", "<!--", "=", "a=", "a:b ", "a='x' ", "f(", "a=f(", "a: |\n", "<a>x", "a=b+", "key='a' value=", "`", " #"])
+def test_lexer_is_linear(form):
+    import time
+
+    took = []
+    for size in (30_000, 120_000):
+        began = time.process_time()
+        secret_scan.named_literals("secret " + form * (size // len(form)))
+        took.append(time.process_time() - began)
+    assert took[1] < 1.5 or took[1] < 8 * took[0]
+
+
 def test_constants_keep_all_pieces():
     pieces = [f"aB3{k:02d}xYz9" for k in range(12)]
     text = "joined = " + " + ".join(f"'{p}'" for p in pieces) + "\nagain = joined + joined\ndb_password = again"
