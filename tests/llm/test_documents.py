@@ -300,6 +300,29 @@ def test_license_templates():
         assert license_scan.scan_text(license_scan.words_of(text))[4] == labels
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+"""
+WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+AS_IS = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+@pytest.mark.parametrize("text,labels,whole", [
+    (MIT + WARRANTY, {"mit"}, {"mit"}), (MIT + "You may not use this in production.", {"mit"}, set()), (MIT + WARRANTY.replace("DAMAGES", "DAMAGE"), {"mit"}, set()), (MIT + "You may not use this in production. " + WARRANTY, {"mit"}, set()),
+    (BSD + AS_IS, {"bsd-2-clause"}, {"bsd-2-clause"}), (BSD + THIRD + AS_IS, {"bsd-3-clause"}, {"bsd-3-clause"}), (BSD + THIRD, {"bsd-3-clause"}, set()), (BSD + AS_IS + BSD + THIRD + AS_IS, {"bsd-2-clause", "bsd-3-clause"}, {"bsd-2-clause", "bsd-3-clause"}),
+    ("SPDX-License-Identifier: GPL-2.0-only", {"gpl-2"}, set()), ("SPDX-License-Identifier: MIT-0", {"mit-0"}, set()), ("SPDX-License-Identifier: Foo-1", {"spdx"}, set()), ("SPDX-License-Identifier:", {"spdx"}, set()),
+    ("This work is licensed under CC BY 4.0.", {"cc-by"}, set()), ("a license for nothing", set(), set()),
+])
+def test_whole_licenses(text, labels, whole):
+    found = license_scan.scan_text(license_scan.words_of("Copyright 2020 A. Person\n" + text))
+    assert (found[4], found[6]) == (labels, whole)
+
+
 def check_packing(rows, got, window=2048):
     encoder = packing.Encoder()
     pieces = defaultdict(list)
