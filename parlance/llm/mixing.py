@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 
 from .common import prepare, read_table
 
-#: Times a document may be taken, the slices of a pattern's seeded order, and the seed.
-REPEATS, SLICES, SEED = 3, 4096, 20
+#: Times a document may be taken, and the seed.
+REPEATS, SEED = 3, 20
+#: Least and most bits of the slices that a pattern's seeded order is cut into; partitions that a slice stands for.
+LEAST_BITS, MOST_BITS, SLICES_EACH = 12, 17, 16
+#: Longest list of patterns that is sent to every task; a longer one is joined in a shuffle.
+SEND_ROWS = 50_000
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, most: int = REPEATS) -> list[float]:
@@ -97,7 +101,9 @@ def mix(docs: DataFrame, memberships, size, id_col: str = "doc_id", weights: lis
     times its source's size.  ``taken`` counts words, repeats included, at most ``repeats`` times the
     row's size.  Of each pattern, whole repetitions go to every row; the remainder goes to its rows in
     seeded order, the last of which may be taken in part, so that each pattern gives just the words
-    that the flow asks of it.  An empty table gives no rows; rows of size 0 give 0.  For rows of
+    that the flow asks of it.  The order is cut into slices by its leading bits, more of them for larger
+    tables, and only the slice in which a pattern runs out is ordered row by row; which rows are taken does
+    not depend on the number of slices.  Patterns, not rows, go to the driver.  An empty table gives no rows; rows of size 0 give 0.  For rows of
     several sources, ``source_size`` and ``target`` are the sums over them."""
     spark = docs.sparkSession
     prepare(spark)
@@ -106,7 +112,8 @@ def mix(docs: DataFrame, memberships, size, id_col: str = "doc_id", weights: lis
     names = [f"kept_{k}" for k in range(len(keep))]
     base = docs.select(*kept, F.col(id_col).cast("long").alias("id"), F.array_sort(F.array_distinct(label)).alias("pattern"), F.coalesce(size.cast("long"), F.lit(0).cast("long")).alias("size"))
     order = F.xxhash64("id", "size", F.lit(seed))
-    base = base.select("*", order.alias("place"), F.pmod(F.shiftright(order, 20), F.lit(SLICES)).alias("slice"))
+    bits = min(MOST_BITS, max(LEAST_BITS, (SLICES_EACH * docs.rdd.getNumPartitions()).bit_length()))
+    base = base.select("*", order.alias("place"), F.shiftrightunsigned(order, 64 - bits).alias("slice"))
     if not keep:
         base = base.checkpoint()
     # a row a pattern and slice, whatever the number of documents
@@ -134,12 +141,13 @@ def mix(docs: DataFrame, memberships, size, id_col: str = "doc_id", weights: lis
     from pyspark.sql import Window
 
     running = Window.partitionBy("pattern").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    edges = slices.join(F.broadcast(plan.select("pattern", "rest")), "pattern")  # a row a pattern
+    send = F.broadcast if len(patterns) <= SEND_ROWS else lambda t: t  # a row a pattern
+    edges = slices.join(send(plan.select("pattern", "rest")), "pattern")
     edges = edges.select("pattern", "slice", "rest", "words", F.coalesce(F.sum("words").over(running), F.lit(0)).alias("before"))
     edge = edges.where("before <= rest AND before + words > rest").select("pattern", "slice", (F.col("rest") - F.col("before")).alias("left"))
     plan = plan.join(edge, "pattern", "left").select("pattern", "copies", "rest", "source_size", "target", F.coalesce("slice", F.lit(-1)).alias("edge"), F.coalesce("left", F.lit(0)).alias("left")).checkpoint()
 
-    rows = base.join(F.broadcast(plan), "pattern")
+    rows = base.join(send(plan), "pattern")
     whole = F.when((F.col("rest") > 0) & (F.col("slice") < F.col("edge")), F.col("size")).otherwise(0)
     rows = rows.withColumn("fixed", F.col("copies") * F.col("size") + whole)
     inner = Window.partitionBy("pattern").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
