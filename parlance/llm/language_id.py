@@ -17,6 +17,8 @@ from .common import map_arrow, prepare, read_table
 
 #: Hash buckets of trigrams; expected training documents of a language; pseudo-count of a bucket.
 BUCKETS, PER_LANGUAGE, SMOOTH = 1 << 15, 2000, 0.5
+#: Most languages of a model: rarer values of ``lang`` (misspelt ones, say) are not learnt.  Ties go by code point.
+LANGUAGES = 256
 #: EM rounds, and the penalty of each further language in units of log(n)/2 (trigrams overlap and
 #: repeat, so n counts far more evidence than there is).
 ROUNDS, PENALTY = 25, 12.0
@@ -88,9 +90,12 @@ class Mixture:
 
 
 def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int = PER_LANGUAGE) -> Mixture:
-    """Fit on a sample with about ``per_language`` documents of each language, chosen by their ids' hash."""
+    """Fit on a sample with about ``per_language`` documents of each language, chosen by their ids' hash.
+
+    The LANGUAGES most frequent values of ``lang`` are learnt.  Of languages with equal proportions the
+    first by code point is predicted."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND id IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return Mixture([], np.zeros((0, BUCKETS)))
