@@ -5,6 +5,10 @@ filter (Graf & Lemire, 2022) that never changes.  Digests of the incoming batch
 themselves, screened by the filter of their range, and only the positives join the exact buckets.
 Texts of groups with more than one row are then compared byte by byte, so that a match never rests
 on a digest alone.
+
+``exact_dedup`` takes both tables at once.  ``write_snapshot`` stores buckets and filters for good, and
+``dedup_batch`` screens any number of later batches with them, without reading the old texts again but
+for the positives.
 """
 
 from __future__ import annotations
@@ -167,6 +171,47 @@ def exact_dedup(snapshot: DataFrame, batch: DataFrame, id_col: str = "doc_id", t
     return out.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def write_snapshot(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Store ``docs`` as an immutable snapshot in the folder ``path`` (which must be new): exact buckets
+    (a row a text: shard, shards, key, digest, top id, n, body) and a binary-fuse filter a shard."""
+    spark = docs.sparkSession
+    prepare(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+    hexed = F.sha2(F.col("body").cast("binary"), 256)
+    groups = rows.groupBy(F.unhex(hexed).alias("digest"), F.xxhash64(hexed).alias("key")).agg(F.max("id").alias("top"), F.count("*").alias("n"), F.min("body").alias("body"), F.max("body").alias("other"))
+    groups = groups.withColumn("body", F.when(F.col("body") == F.col("other"), F.col("body")).otherwise(F.raise_error("two different texts share a SHA-256 digest"))).drop("other")
+    shards = max(1, -(-docs.count() // SHARD_KEYS))
+    shard = F.pmod(F.shiftright("key", 7), F.lit(shards)).cast("int")
+    groups.select(shard.alias("shard"), F.lit(shards).alias("shards"), "key", "digest", "top", "n", "body").write.parquet(f"{path}/buckets")
+    build_filters(spark.read.parquet(f"{path}/buckets")).write.parquet(f"{path}/filters")
+
+
+def dedup_batch(path: str, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for every row of ``batch``: id, keep_id, group_size, kept, text_sha256, as exact_dedup over the
+    stored snapshot and ``batch`` together would give for them; the snapshot is not changed."""
+    spark = batch.sparkSession
+    prepare(spark)
+    buckets, filters = spark.read.parquet(f"{path}/buckets"), spark.read.parquet(f"{path}/filters")
+    first = buckets.select("shards").first()
+    whole = batch.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+    hexed = F.sha2(F.col("body").cast("binary"), 256)
+    rows = whole.select("id", F.unhex(hexed).alias("digest"), F.xxhash64(hexed).alias("key")).checkpoint()
+    shard = F.pmod(F.shiftright("key", 7), F.lit(first.shards if first else 1)).cast("int")
+    fresh = rows.groupBy("key", "digest").agg(F.max("id").alias("top"), F.count("*").alias("n")).withColumn("shard", shard).checkpoint()
+    passed = screen(filters, fresh).select("key").distinct()
+    old = buckets.select(F.col("digest").alias("of"), F.col("top").alias("old_top"), F.col("n").alias("old_n"))
+    met = fresh.join(passed, "key").join(old, F.col("digest") == F.col("of")).select("of", "old_top", "old_n").checkpoint()
+    # positives meet the stored bodies, the others the first text of their group
+    texts = whole.select("body", F.unhex(hexed).alias("digest"))
+    known = buckets.join(met.select("of"), F.col("digest") == F.col("of"), "left_semi").select("digest", F.col("body").alias("first"))
+    new = texts.join(fresh.where("n > 1").select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("body").alias("first"))
+    if not texts.join(known.union(new), "digest").where("body <> first").isEmpty():
+        raise ValueError("two different texts share a SHA-256 digest")
+    final = fresh.join(met, F.col("digest") == F.col("of"), "left").select("digest", F.greatest("top", "old_top").alias("keep"), (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("size"))
+    out = rows.join(final, "digest")
+    return out.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def _check_bytes(whole: DataFrame, hexed, final: DataFrame) -> None:
     """Compare the texts of each group with one of them; stop if a digest stands for two texts.
 

@@ -212,6 +212,21 @@ def test_exact_dedup_on_hard_rows(spark):
     assert dedup.exact_dedup(empty, empty).count() == 0
 
 
+def test_stored_snapshot_screens_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dedup, "SHARD_KEYS", 4)
+    df = frame(spark)
+    for k, cut in enumerate((0, 7, 100)):
+        old, new = df.where(f"doc_id <= {cut}"), df.where(f"doc_id IS NULL OR doc_id > {cut}")
+        dedup.write_snapshot(old, str(tmp_path / f"s{k}"))
+        key = lambda r: (r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256)
+        both = Counter(map(key, dedup.exact_dedup(old, new).collect()))
+        alone = Counter(map(key, dedup.dedup_batch(str(tmp_path / f"s{k}"), new).collect()))
+        assert not alone - both and sum(alone.values()) == new.count()
+        # the snapshot serves a second batch unchanged
+        assert Counter(map(key, dedup.dedup_batch(str(tmp_path / f"s{k}"), new).collect())) == alone
+    assert dedup.dedup_batch(str(tmp_path / "s1"), frame(spark, [])).count() == 0
+
+
 def test_secret_scan_on_hard_rows(spark):
     got = secret_scan.scan_secrets(frame(spark)).collect()
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -453,8 +468,9 @@ def test_mixing_on_hard_rows(spark):
         assert 0 <= r.taken <= 3 * r["size"] and r.source_size == total[r.source] and abs(r.target - target[r.source]) < 1e-6
         taken[r.source] += r.taken
     assert all(abs(taken[s] - target[s]) <= 0.5 for s in total)
-    again = mixing.mix(df, F.array("source"), F.col("n"), keep=("doc_id", "text", "source")).collect()
-    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    for parts in (1, 7):  # whatever the number of slices and partitions
+        again = mixing.mix(df.repartition(parts * 300), F.array("source"), F.col("n"), keep=("doc_id", "text", "source")).collect() if parts > 1 else mixing.mix(df, F.array("source"), F.col("n"), keep=("doc_id", "text", "source")).collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, again))
     assert mixing.mix(df.limit(0), F.array("source"), F.col("n")).count() == 0
 
 
@@ -488,6 +504,62 @@ def test_language_id_on_hard_rows(spark):
     assert flags[None] and all(flags[i] == (zlib.crc32(str(i).encode()) % 3 == 1) for i in flags if i is not None)
 
 
+def brute_infer(model, text):
+    """Proportions by plain loops over trigrams and languages."""
+    b = [c if c > 127 or chr(c).isalpha() else 32 for c in f" {text.lower()} ".encode()]
+    b = [c for k, c in enumerate(b) if k == 0 or c != 32 or b[k - 1] != 32]
+    grams = Counter((((b[k] << 16 | b[k + 1] << 8 | b[k + 2]) * 2654435761) % 2**32) >> 17 for k in range(len(b) - 2))
+    total = sum(grams.values())
+
+    def em(langs):
+        pi = {x: 1 / len(langs) for x in langs}
+        for _ in range(language_id.ROUNDS):
+            new = dict.fromkeys(langs, 0.0)
+            for g, n in grams.items():
+                mass = sum(pi[x] * model.p[x][g] for x in langs)
+                for x in langs:
+                    new[x] += n * pi[x] * model.p[x][g] / mass / total
+            moved = max(abs(new[x] - pi[x]) for x in langs)
+            pi = new
+            if moved < 1e-4:
+                break
+        return pi, sum(n * np.log(sum(pi[x] * model.p[x][g] for x in langs)) for g, n in grams.items())
+
+    first, _ = em(range(len(model.languages)))
+    order = sorted(first, key=lambda x: -first[x])
+    sets = [order[:k] for k in range(1, len(order) + 1) if first[order[k - 1]] >= 0.02 or k == 1]
+    best = max(sets, key=lambda s: em(s)[1] - language_id.PENALTY * 0.5 * np.log(max(total, 2)) * (len(s) - 1))
+    return {model.languages[x]: p for x, p in em(best)[0].items()}
+
+
+def test_language_id_against_plain_loops(spark):
+    r = np.random.default_rng(4)
+    make = {"en": ["the", "thing", "ation", "er"], "fr": ["è", "eau", "que", "ç"], "de": ["sch", "ung", "zu", "ß"]}
+    say = lambda lang, n: " ".join("".join(r.choice(make[lang], 2)) for _ in range(n))
+    rows = [(i, say(list(make)[i % 3], 30), list(make)[i % 3], "a") for i in range(120)]
+    model = language_id.fit(frame(spark, rows))
+    learnt = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 3 != 1]
+    for k, lang in enumerate(model.languages):  # the counts, by hand
+        b = Counter()
+        for _, text, own, _ in learnt:
+            if own == lang:
+                at, n = language_id.trigrams(text)
+                b.update(dict(zip(at.tolist(), n.tolist())))
+        p = np.full(language_id.BUCKETS, language_id.SMOOTH)
+        for g, n in b.items():
+            p[g] += n
+        assert np.allclose(model.p[k], p / p.sum())
+    for text in [say("en", 5), say("fr", 40) + " " + say("de", 20), say("en", 30) + say("fr", 30) + say("de", 30), "Zu!! 12", "é", "x"]:
+        got, expected = model.infer(text), brute_infer(model, text)
+        assert set(got) == set(expected) and all(abs(got[x] - expected[x]) < 1e-6 for x in got)
+
+
+def test_rare_languages_are_not_learnt(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    rows = [(i, "some words here", lang, "a") for i, lang in enumerate(["en"] * 9 + ["fr"] * 9 + ["xx"] * 3)]
+    assert language_id.fit(frame(spark, rows)).languages == ["en", "fr"]
+
+
 def test_language_id_on_table(spark, sf_dir):
     got = language_id.op8_language_id(spark, sf_dir).collect()
     lang = {r.doc_id: r.lang for r in common.read_table(spark, sf_dir, "documents").collect()}
