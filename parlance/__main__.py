@@ -38,7 +38,7 @@ def main(argv: list[str] | None = None) -> None:
         for r in found.orderBy("meeting_id", "window_id").select("meeting_id", "window_id", fx.render_window("utterances").alias("text")).toLocalIterator():
             print(f"--- {r.meeting_id} window {r.window_id}\n{r.text}")
         return
-    t = transcripts.read_triples(spark, args.glob).withColumn("mention_seq", F.xxhash64("source_meeting", "pos"))
+    t = triples.in_order(transcripts.read_triples(spark, args.glob), ["source_meeting", "pos"])
     t = triples.dedup_triples(triples.drop_empty(triples.drop_placeholders(t)))
     day = F.lit(None).cast("string")
     if args.command == "ask" and args.dates:

@@ -189,6 +189,11 @@ def entropy_fraction(p: Column) -> Column:
     return entropy(p) / F.log(F.size(p).cast("double"))
 
 
+def features(*parts: Column) -> Column:
+    """The parts of a feature vector, one after the other; null if a part is null."""
+    return F.concat(*[p.cast("array<double>") for p in parts])
+
+
 def pick(a: Column, index: list[int]) -> Column:
     return F.array(*[F.element_at(a, i + 1) for i in index])
 

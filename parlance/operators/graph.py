@@ -9,6 +9,10 @@ from .. import schema
 from ..functions import scalar as fx
 
 
+#: Shares that the meetings of an entity are dealt in when pairs of meetings are counted.
+SHARES = 8
+
+
 def build_edges(triples: DataFrame) -> DataFrame:
     """One edge a triple (a multigraph): edge_id, src, dst, type, confidence, source_meeting, meeting_date, stated_at, utterance_time."""
     day = F.col("meeting_date").cast("string")
@@ -107,17 +111,23 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return by(nodes, "node").union(by(edges, "edge"))
 
 
-def meeting_overlap(edges: DataFrame) -> DataFrame:
+def meeting_overlap(edges: DataFrame, every: bool = False) -> DataFrame:
     """a, b, n_a, n_b, both, jaccard of every pair of meetings with a common entity.
 
-    Pairs meet through shared entities; pairs without one have Jaccard 0 by definition."""
+    Pairs meet in a join on the entity; its rows are dealt by (entity, second meeting's share of
+    SHARES), so an entity of all meetings is spread over many tasks and never becomes one row.
+    ``every`` adds the pairs without a common entity, with Jaccard 0 (as many rows as pairs of meetings)."""
     ends = endpoint_meetings(edges)
     size = ends.groupBy("source_meeting").agg(F.count("*").alias("n"))
-    met = ends.groupBy("entity").agg(F.array_sort(F.collect_list("source_meeting")).alias("ms")).where("size(ms) > 1")
-    first = met.select("ms", F.posexplode("ms").alias("i", "a"))
-    pairs = first.select("a", F.explode(F.slice("ms", F.col("i") + 2, F.size("ms"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("both"))
-    out = pairs.join(size.select(F.col("source_meeting").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("source_meeting").alias("b"), F.col("n").alias("n_b")), "b")
-    return out.withColumn("jaccard", F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both")))
+    left = ends.select("entity", F.col("source_meeting").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    right = ends.select("entity", F.col("source_meeting").alias("b"), F.pmod(F.xxhash64("source_meeting"), F.lit(SHARES)).cast("int").alias("share"))
+    both = left.join(right, ["entity", "share"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    one = lambda m: size.select(F.col("source_meeting").alias(m), F.col("n").alias(f"n_{m}"))
+    if every:
+        met = one("a").join(one("b"), F.col("a") < F.col("b")).join(both, ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
+    else:
+        met = both.join(one("a"), "a").join(one("b"), "b")
+    return met.select("a", "b", "both", "n_a", "n_b", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("jaccard"))
 
 
 def roster_missing(roster: DataFrame, nodes: DataFrame) -> DataFrame:

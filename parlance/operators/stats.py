@@ -34,6 +34,19 @@ def meeting_summary(triples: DataFrame) -> DataFrame:
     return base.join(names, "source_meeting")
 
 
+def meeting_distributions(triples: DataFrame) -> DataFrame:
+    """source_meeting, kind (relation or type), value, n, pct of its meeting and kind; types count both endpoints."""
+    both = F.array(F.struct(F.lit("relation").alias("kind"), F.col("relation").alias("value")), F.struct(F.lit("type").alias("kind"), F.col("subject_type").alias("value")), F.struct(F.lit("type").alias("kind"), F.col("object_type").alias("value")))
+    n = triples.select("source_meeting", F.explode(both).alias("x")).groupBy("source_meeting", "x.kind", "x.value").agg(F.count("*").alias("n"))
+    return n.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("source_meeting", "kind")))
+
+
+def qa_score(answers: DataFrame, ok: str, crossing: str) -> DataFrame:
+    """One row: questions and right answers, of all and of those that cross meetings."""
+    right, cross = F.coalesce(F.col(ok), F.lit(False)), F.coalesce(F.col(crossing), F.lit(False))
+    return answers.agg(F.count("*").alias("total"), F.count_if(right).alias("correct"), F.count_if(cross).alias("cross_total"), F.count_if(right & cross).alias("cross_correct"))
+
+
 def health(triples: DataFrame) -> DataFrame:
     """One row of indicators and flags."""
     n = F.count("*")

@@ -49,6 +49,10 @@ def fkd_loss(student: np.ndarray, teacher: np.ndarray, s: np.ndarray, y: np.ndar
     return float(-(a * logq).sum() / len(y)), grad
 
 
+#: Largest training set (bytes) of a run.
+MOST_BYTES = 256 << 20
+
+
 class Student:
     """input -> hidden -> ReLU -> dropout -> classes, trained with Adam on masked cross entropy."""
 
@@ -107,12 +111,15 @@ class Regime:
     protos: dict[int, np.ndarray] = field(default_factory=dict)
 
 
-def train_stage(net: Student, x, y, dev_x, dev_y, mask, extra=None, epochs: int = TRAINING["epochs"], patience: int | None = TRAINING["patience"]) -> list[tuple[int, float, float]]:
-    """Epochs of shuffled batches; stops after ``patience`` epochs without a strict gain and restores the best weights."""
+def train_stage(net: Student, x, y, dev_x, dev_y, mask, extra=None, epochs: int = TRAINING["epochs"], patience: int | None = TRAINING["patience"], balanced: bool = False) -> list[tuple[int, float, float]]:
+    """Epochs of shuffled batches; stops after ``patience`` epochs without a strict gain and restores the best weights.
+
+    ``balanced``: an epoch draws len(y) rows with replacement, each with weight 1 / (rows of its class)."""
     net.fresh()
+    weight = 1.0 / np.bincount(y)[y] if balanced and len(y) else None
     best, best_w, waited, log = -1.0, net.copy(), 0, []
     for epoch in range(epochs):
-        order, total = net.r.permutation(len(y)), 0.0
+        order, total = net.r.permutation(len(y)) if weight is None else net.r.choice(len(y), len(y), p=weight / weight.sum()), 0.0
         for lo in range(0, len(y), TRAINING["batch"]):
             at = order[lo : lo + TRAINING["batch"]]
             total += net.update(x[at], y[at], mask, None if extra is None else (lambda z, at=at: extra(z, at))) * len(at)
@@ -132,7 +139,7 @@ def train_stage(net: Student, x, y, dev_x, dev_y, mask, extra=None, epochs: int
     return log
 
 
-def run_sequential(train, dev, test, tasks: list[list[int]], regime: Regime, seed: int, m: int = 10, epochs: int = TRAINING["epochs"]) -> dict:
+def run_sequential(train, dev, test, tasks: list[list[int]], regime: Regime, seed: int, m: int = 10, epochs: int = TRAINING["epochs"], balanced: bool = False) -> dict:
     """Train task by task; after each, record the test predictions under the mask of the seen classes."""
     (x, y), (dx, dy), (tx, ty) = train, dev, test
     classes = max(c for t in tasks for c in t) + 1
@@ -142,7 +149,7 @@ def run_sequential(train, dev, test, tasks: list[list[int]], regime: Regime, see
         mask = np.isin(np.arange(classes), seen_classes)
         rows, drows = np.isin(y, own), np.isin(dy, own)
         if rows.any():
-            out["log"] += [(t, "task", *e) for e in train_stage(net, x[rows], y[rows], dx[drows], dy[drows], mask, epochs=epochs)]
+            out["log"] += [(t, "task", *e) for e in train_stage(net, x[rows], y[rows], dx[drows], dy[drows], mask, epochs=epochs, balanced=balanced)]
         if regime.name != "naive":
             _after_task(net, regime, x, y, dx, dy, own, t, tasks, mask, seed, m, epochs, out)
         out["pred"].append(np.where(mask, net.logits(tx), -np.inf).argmax(1))
@@ -180,16 +187,30 @@ def _after_task(net, regime, x, y, dx, dy, own, t, tasks, mask, seed, m, epochs,
     regime.teacher = net.copy()
 
 
-def train_runs(rows: DataFrame, grid: DataFrame, tasks: list[list[int]], m: int = 10, epochs: int = TRAINING["epochs"]) -> DataFrame:
+def train_runs(rows: DataFrame, grid: DataFrame, tasks: list[list[int]], m: int = 10, epochs: int = TRAINING["epochs"], balanced: bool = False) -> DataFrame:
     """run_id, stage, row_id, gold, pred of the test rows for each run of ``grid`` (run_id, regime, seed).
 
-    ``rows`` has row_id, part (train/dev/test), x and y and is repeated for every run: it is the
-    training set of one small network.  Runs are dealt over the tasks of the cluster."""
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("row_id")
-        part = {p: (np.stack(d["x"]).astype(float), d["y"].to_numpy()) for p, d in g.groupby("part")}
-        got = run_sequential(part["train"], part["dev"], part["test"], tasks, Regime(g["regime"].iloc[0]), int(g["seed"].iloc[0]), m, epochs)
-        test = g[g["part"] == "test"]
-        return pd.concat([pd.DataFrame({"run_id": g["run_id"].iloc[0], "stage": t, "row_id": test["row_id"], "gold": test["y"], "pred": p}) for t, p in enumerate(got["pred"])])
-
-    return rows.join(F.broadcast(grid)).groupBy("run_id").applyInPandas(one, "run_id string, stage int, row_id long, gold int, pred int")
+    ``rows`` has row_id, part (train/dev/test), x and y: the training set of one small network, which every
+    run needs whole.  It is packed once, and sent to all tasks if it has MOST_BYTES at most; a larger one is
+    refused, since no run could hold it.  Runs are dealt over the tasks of the cluster, so nothing is
+    repeated a run.  ``balanced``: each epoch draws as many rows as there are, all classes alike."""
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.size("x") * 8 + 32)).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"a training set of {size} bytes does not fit one run")
+    held = rows.select("row_id", "part", "x", "y").orderBy("row_id").toPandas()
+    packed = {p: (np.stack(d["x"]).astype(float), d["y"].to_numpy(), d["row_id"].to_numpy()) for p, d in held.groupby("part")}
+    empty = (np.zeros((0, len(held["x"].iloc[0]) if len(held) else 0)), np.zeros(0, dtype=int), np.zeros(0, dtype=int))
+    sent = spark.sparkContext.broadcast([packed.get(p, empty) for p in ("train", "dev", "test")])
+
+    def run(batches):
+        train, dev, (tx, ty, ids) = sent.value
+        for b in batches:
+            for run_id, regime, seed in zip(b["run_id"], b["regime"], b["seed"]):
+                if not len(train[1]):
+                    continue
+                got = run_sequential(train[:2], dev[:2], (tx, ty), tasks, Regime(regime), int(seed), m, epochs, balanced)
+                yield pd.concat([pd.DataFrame({"run_id": run_id, "stage": t, "row_id": ids, "gold": ty, "pred": p}) for t, p in enumerate(got["pred"])])
+
+    grid = grid.select("run_id", "regime", "seed").repartition(max(1, grid.count()), "run_id")
+    return grid.mapInPandas(run, "run_id string, stage int, row_id long, gold int, pred int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,13 +54,29 @@ def drop_empty(triples: DataFrame) -> DataFrame:
     return triples.where("subject <> '' AND relation <> '' AND object <> ''")
 
 
+def in_order(triples: DataFrame, order: list[str], seq: str = "mention_seq") -> DataFrame:
+    """Number the triples from 0 in the order of ``order``.
+
+    A range sort deals them; a task numbers its own rows from the totals of the ones before it (a row a
+    meeting), so no task sees all rows.  ``order`` begins with the meeting."""
+    meeting = order[0]
+    before = Window.orderBy(meeting).rowsBetween(Window.unboundedPreceding, -1)
+    base = triples.groupBy(meeting).agg(F.count("*").alias("_n")).select(meeting, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy(meeting).orderBy(*order[1:])) - 1
+    return triples.withColumn("_own", own).join(base, meeting).withColumn(seq, F.col("_base") + F.col("_own")).drop("_own", "_base")
+
+
 def dedup_triples(triples: DataFrame, order: str = "mention_seq") -> DataFrame:
-    """First of equal (subject, relation, object) of a meeting, cases aside; a later date fills a missing one."""
-    key = [F.col("source_meeting"), *(F.lower(c).alias(f"_{c}") for c in ("subject", "relation", "object"))]
-    w = Window.partitionBy(*key)
-    date = F.first(F.nullif(F.col("deadline_date"), F.lit("")), ignorenulls=True).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = triples.withColumn("_rn", F.row_number().over(w.orderBy(order))).withColumn("deadline_date", F.coalesce(date, F.lit("")))
-    return rows.where("_rn = 1").drop("_rn")
+    """First of equal (subject, relation, object) of a meeting, cases aside; a later date fills a missing one.
+
+    One aggregation with map-side combine: nothing is sorted, and a triple said a million times moves as a
+    row a task."""
+    key = [F.col("source_meeting").alias("_meeting"), *(F.lower(c).alias(f"_{c}") for c in ("subject", "relation", "object"))]
+    date = F.nullif(F.col("deadline_date"), F.lit(""))
+    first = F.min_by(F.struct(*triples.columns), order).alias("_first")
+    dated = F.min_by(date, F.when(date.isNotNull(), F.col(order))).alias("_date")
+    rows = triples.groupBy(*key).agg(first, dated)
+    return rows.select(*[F.coalesce("_date", F.lit("")).alias(c) if c == "deadline_date" else F.col(f"_first.{c}").alias(c) for c in triples.columns])
 
 
 def coverage_report(windows: DataFrame) -> DataFrame:
@@ -77,6 +94,24 @@ def adherence_report(triples: DataFrame) -> DataFrame:
     return triples.agg(seen.alias("triples_seen"), off.alias("off_taxonomy_count"), pct.alias("adherence_pct"), labels.alias("off_taxonomy_labels"))
 
 
+def extract_with(windows: DataFrame, extractor, column: str, out: str = "raw") -> DataFrame:
+    """Plug in an extractor: any function from a window's text to a raw response, called once a row on the
+    executors in Arrow batches.  A call that raises gives null, so one bad window never fails a meeting;
+    ``parse_responses`` takes it from there.  It may be called again if an executor is lost, so it should
+    look into its cache first (``sinks.split_by_cache``)."""
+    def one(text):
+        try:
+            return None if text is None else extractor(text)
+        except Exception:
+            return None
+
+    @F.pandas_udf("string")
+    def call(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return windows.withColumn(out, call(F.col(column)))
+
+
 def mock_extract(windows: DataFrame) -> DataFrame:
     """One triple for each window of two speakers or more: the first two speakers, sorted."""
     who = fx.speaker_set("utterances")

@@ -25,16 +25,18 @@ def mixed_prototypes(rows: DataFrame, memory: DataFrame, beta: float) -> DataFra
 
 
 def similarities(rows: DataFrame, protos: DataFrame, keys: list[str], tau: float | None = None) -> DataFrame:
-    """keys, label, cos and, with ``tau``, the softmax weight over the prototypes.
+    """keys, proto, cos and, with ``tau``, the softmax weight over the prototypes.
 
-    The prototype table has a row a class and is sent to every task."""
-    p = protos.select(F.col("label").alias("proto"), "p")
-    out = rows.join(F.broadcast(p)).select(*keys, "proto", fx.cosine(F.col("x").cast("array<double>"), F.col("p")).alias("cos"))
+    All prototypes (a row a class) travel as one array; a row's weights are summed in place, without a shuffle."""
+    packed = protos.agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("proto"), "p"))).alias("_ps"))
+    x = F.col("x").cast("array<double>")
+    out = rows.crossJoin(F.broadcast(packed)).select(*keys, F.transform("_ps", lambda q: F.struct(q["proto"].alias("proto"), fx.cosine(x, q["p"]).alias("cos"))).alias("_c"))
     if tau is None:
-        return out
-    e = F.exp(F.col("cos") / tau)
-    total = out.groupBy(*keys).agg(F.sum(e).alias("_t"))
-    return out.join(total, keys).withColumn("weight", e / F.col("_t")).drop("_t")
+        return out.select(*keys, F.inline("_c"))
+    e = lambda c: F.exp(c["cos"] / tau)
+    total = F.aggregate("_c", F.lit(0.0), lambda s, c: s + e(c))
+    out = out.withColumn("_t", total)
+    return out.select(*keys, F.inline(F.transform("_c", lambda c: F.struct(c["proto"].alias("proto"), c["cos"].alias("cos"), (e(c) / F.col("_t")).alias("weight")))))
 
 
 def nearest(rows: DataFrame, protos: DataFrame, keys: list[str]) -> DataFrame:

@@ -195,8 +195,8 @@ def alias_resolve(spark, sf_dir):
 @query("SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE NULL END AS canonical FROM nation")
 def exact_canonical(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), "n_nationkey")
-    canon = n.where("n_nationkey % 2 = 0").select(F.lower("name").alias("key"), F.col("name").alias("canonical"))
-    return n.withColumn("key", F.lower("name")).join(canon, "key", "left").select("name", "canonical")
+    canon = n.where("n_nationkey % 2 = 0").select(F.col("name").alias("canonical"))
+    return resolve.resolve_canonical(n, canon).select("name", "canonical")
 
 
 @query("""SELECT name, max_by(canonical, ratio * 1000000 - pos) AS canonical, round(max(ratio), 6) AS ratio FROM (
@@ -209,7 +209,15 @@ def fuzzy_best_match(spark, sf_dir):
     return resolve.fuzzy_best(left, right).select("name", "canonical", F.round("ratio", 6).alias("ratio"))
 
 
-@query()
+_ROSTER = """w AS (SELECT split_part(p_name, ' ', 1) AS name, min(p_partkey) AS pos FROM part GROUP BY 1), n AS (SELECT DISTINCT replace(name, 'e', 'ee') AS name FROM w),
+s AS (SELECT name, regexp_replace(lower(name), '[^a-z]', '', 'g') AS x FROM (SELECT name FROM w UNION SELECT name FROM n)),
+d AS (SELECT *, list_aggregate(list_transform(regexp_extract_all(translate(regexp_replace(x, '(.)[hw]+', '\\1', 'g'),
+  'bfpvcgjkqsxzdtlmnraeiouyhw', '11112222222233455600000000'), '(0+|1+|2+|3+|4+|5+|6+)'), lambda z: left(z, 1)), 'string_agg', '') AS code FROM s),
+c AS (SELECT name, CASE WHEN x = '' THEN '' ELSE upper(left(x, 1)) || left(replace(substr(code, 2), '0', '') || '000', 3) END AS code FROM d),
+f AS (SELECT code, min_by(name, pos) AS heard FROM w JOIN c USING (name) WHERE length(name) > 4 AND code <> '' GROUP BY 1)"""
+
+
+@query("SELECT n.name, CASE WHEN lower(heard) <> lower(n.name) THEN heard ELSE n.name END AS resolved FROM n JOIN c USING (name) LEFT JOIN f USING (code)", _ROSTER)
 def soundex_roster(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.split("p_name", " ")[0].alias("name"), F.col("p_partkey").alias("pos"))
     roster = p.groupBy("name").agg(F.min("pos").alias("pos")).where("length(name) > 4")
@@ -220,14 +228,15 @@ def soundex_roster(spark, sf_dir):
 @query()
 def entity_resolver_exact(spark, sf_dir):
     """The ordered resolver over the names of parts, regions and nations, a scope a brand."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"), F.lit("TOPIC").alias("type"), F.col("p_brand").alias("scope"))
-    return resolve.resolve_exact(p, roster=["Priya", "Meera"], scope=["scope"]).select("scope", "seq", "name", "resolved")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 3 == 0, "PERSON").otherwise("TOPIC").alias("type"), F.col("p_brand").alias("scope"))
+    one = p.select("seq", F.when(F.col("type") == "PERSON", F.split("name", " ")[0]).otherwise(F.col("name")).alias("name"), "type", "scope")  # persons have one word
+    return resolve.resolve_exact(one, roster=["Priya", "Meera", "Grean", "Blew"], scope=["scope"]).select("scope", "seq", "name", "resolved", "resolved_type")
 
 
-@query("SELECT type, count(*) AS entities, CAST(sum(spellings) AS BIGINT) AS spellings FROM (SELECT lower(name) AS r, min_by(type, seq) AS type, count(DISTINCT name) AS spellings FROM m GROUP BY 1) GROUP BY type", TRIPLES + ", " + _MENTIONS)
+@query("SELECT type, count(*) AS entities, CAST(sum(spellings) AS BIGINT) AS spellings FROM (SELECT lower(name) AS r, max_by(type, seq) AS type, count(DISTINCT name) AS spellings FROM m GROUP BY 1) GROUP BY type", TRIPLES + ", " + _MENTIONS)
 def resolver_stats(spark, sf_dir):
     m = resolve.mentions(base.triples(spark, sf_dir))
-    return resolve.resolver_stats(m.withColumn("resolved", F.lower("name")))
+    return resolve.resolver_stats(m.withColumn("resolved", F.lower("name")).withColumn("resolved_type", F.col("type")))
 
 
 @query("""SELECT a.dialogue, a.x, a.y, a.label, max_by(b.label, b.pos) AS reverse_label FROM p a LEFT JOIN p b ON a.dialogue = b.dialogue AND a.x = b.y AND a.y = b.x GROUP BY a.dialogue, a.pos, a.x, a.y, a.label""",

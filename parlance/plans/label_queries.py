@@ -188,10 +188,10 @@ def prototypes(spark, sf_dir):
     return p.select("label", F.posexplode("p").alias("d", "m")).withColumn("m", F.round("m", 6))
 
 
-@query("SELECT row_id, proto, round(cos, 6) AS cos, round(exp(c / 0.5) / sum(exp(c / 0.5)) OVER (PARTITION BY row_id), 6) AS weight FROM (SELECT v.row_id, pr.label AS proto, list_dot_product(v.x, pr.p) / sqrt(list_dot_product(v.x, v.x)) / sqrt(list_dot_product(pr.p, pr.p)) AS c, round(c, 6) AS cos FROM v, pr WHERE pr.label <= 2)", STAGED)
+@query("SELECT row_id, proto, round(cos, 6) AS cos, round(exp(c / 0.5) / sum(exp(c / 0.5)) OVER (PARTITION BY row_id), 6) AS weight FROM (SELECT v.row_id, pr.label AS proto, list_dot_product(v.x, pr.p) / sqrt(list_dot_product(v.x, v.x)) / sqrt(list_dot_product(pr.p, pr.p)) AS c, round(c, 6) AS cos FROM v, pr)", STAGED)
 def proto_similarity(spark, sf_dir):
     v = base.vectors(spark, sf_dir)
-    out = vectors.similarities(v, vectors.prototypes(v.where("label <= 2")), ["row_id"], 0.5)
+    out = vectors.similarities(v, vectors.prototypes(v), ["row_id"], 0.5)
     return out.select("row_id", "proto", F.round("cos", 6).alias("cos"), F.round("weight", 6).alias("weight"))
 
 

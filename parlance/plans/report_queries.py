@@ -14,18 +14,19 @@ from .base import LABELS, TRIPLES, UTTERANCES, query, table, utterances
 from .label_queries import STAGED, _r, _staged
 
 _FIRST = "first AS (SELECT *, string_split(text, chr(10))[1] AS line FROM u)"
+#: The lines of a whole turn, joined as the parsers join them.
+_WHOLE = "whole AS (SELECT *, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS said, len(string_split(text, chr(10))) AS n FROM u)"
 
 
 def _files(spark, sf_dir, block):
-    u = utterances(spark, sf_dir).withColumn("line", F.split("text", "\n")[0])
-    parts = u.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("seq", block.alias("b")))).alias("bs"))
+    parts = utterances(spark, sf_dir).groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("seq", block.alias("b")))).alias("bs"))
     return parts.select(F.col("meeting_id").cast("string").alias("stem"), F.array_join(F.transform("bs", lambda b: b["b"]), "\n").alias("content"))
 
 
-@query("SELECT CAST(meeting_id AS VARCHAR) AS meeting_id, seq, 'SPEAKER_' || (seq % 3) AS speaker_id, trim(line) AS text, 4.0::DOUBLE * seq AS start_time, 4.0::DOUBLE * seq + 0.5 AS end_time FROM first", UTTERANCES + ", " + _FIRST)
+@query("SELECT CAST(meeting_id AS VARCHAR) AS meeting_id, seq, 'SPEAKER_' || (seq % 3) AS speaker_id, said AS text, 4.0::DOUBLE * seq AS start_time, 4.0::DOUBLE * seq + 0.5 AS end_time FROM whole", UTTERANCES + ", " + _WHOLE)
 def parse_srt(spark, sf_dir):
     n = F.col("seq") * 4
-    block = F.format_string("%d\r\n00:00:%02d,000 --> 00:00:%02d,500\r\n[SPEAKER_%d]: %s\r\n", F.col("seq") + 1, n, n, F.col("seq") % 3, F.col("line"))
+    block = F.format_string("%d\r\n00:00:%02d,000 --> 00:00:%02d,500\r\n[SPEAKER_%d]: %s\r\n", F.col("seq") + 1, n, n, F.col("seq") % 3, F.col("text"))
     return transcripts.parse_srt(_files(spark, sf_dir, block), strict=False)
 
 
@@ -41,16 +42,16 @@ def parse_legacy_transcript(spark, sf_dir):
     return transcripts.parse_text(_files(spark, sf_dir, block), strict=False)
 
 
-@query("SELECT CAST(meeting_id AS VARCHAR) AS meeting_id, seq, CASE seq % 3 WHEN 0 THEN 'SPEAKER_A' WHEN 1 THEN 'SPEAKER_PM' ELSE 'SPEAKER_ID1' END AS speaker_id, trim(line) || ' Right: so' AS text, start_time, end_time FROM first", UTTERANCES + ", " + _FIRST)
+@query("SELECT CAST(meeting_id AS VARCHAR) AS meeting_id, seq, CASE seq % 3 WHEN 0 THEN 'SPEAKER_A' WHEN 1 THEN 'SPEAKER_PM' ELSE 'SPEAKER_ID1' END AS speaker_id, said || ' Right: so' AS text, start_time, end_time FROM whole", UTTERANCES + ", " + _WHOLE)
 def parse_ami_dialogue(spark, sf_dir):
     who = F.when(F.col("seq") % 3 == 0, "speaker a").when(F.col("seq") % 3 == 1, "PM").otherwise("ID1")
-    files = _files(spark, sf_dir, F.concat(who, F.lit(": "), F.col("line"), F.lit("\nRight: so")))
+    files = _files(spark, sf_dir, F.concat(who, F.lit(": "), F.col("text"), F.lit("\nRight: so")))
     return transcripts.parse_ami(transcripts.lines_of(files))
 
 
-@query("SELECT CAST(meeting_id AS VARCHAR) AS meeting_id, 3 * seq AS pos, 'NAME ' || (seq % 3) AS speaker, trim(line) || ' more' AS text FROM first", UTTERANCES + ", " + _FIRST)
+@query("SELECT CAST(meeting_id AS VARCHAR) AS meeting_id, CAST(coalesce(sum(n + 2) OVER (PARTITION BY meeting_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS pos, 'NAME ' || (seq % 3) AS speaker, said || ' more' AS text FROM whole", UTTERANCES + ", " + _WHOLE)
 def parse_script(spark, sf_dir):
-    out = transcripts.parse_script(_files(spark, sf_dir, F.format_string("NAME %d: %s\nmore\n---", F.col("seq") % 3, F.col("line"))))
+    out = transcripts.parse_script(_files(spark, sf_dir, F.format_string("NAME %d: %s\nmore\n---", F.col("seq") % 3, F.col("text"))))
     return out.withColumn("pos", F.col("pos").cast("int"))
 
 
@@ -73,10 +74,10 @@ def fence_strip(spark, sf_dir):
     return c.select("conv_id", "turn", fx.strip_fences(fenced).alias("kept"))
 
 
-@query("""SELECT vec_id, round(e[1] / s, 6) AS p0, CAST(list_position(x, list_max(x)) - 1 AS INT) AS top, round(-(e[1] / s * ln(e[1] / s) + e[2] / s * ln(e[2] / s) + e[3] / s * ln(e[3] / s)) / ln(3.0), 6) AS entropy FROM (
-  SELECT vec_id, x, list_transform(x, lambda v: exp(v)) AS e, exp(x[1]) + exp(x[2]) + exp(x[3]) AS s FROM (SELECT vec_id, CAST(embedding[1:3] AS DOUBLE[]) AS x FROM embeddings))""")
+@query("""SELECT vec_id, round(e[1] / s, 6) AS p0, CAST(list_position(x, list_max(x)) - 1 AS INT) AS top, round(-list_sum(list_transform(e, lambda v: v / s * ln(v / s))) / ln(len(e)), 6) AS entropy FROM (
+  SELECT *, list_sum(e) AS s FROM (SELECT vec_id, x, list_transform(x, lambda v: exp(v)) AS e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)))""")
 def softmax_entropy(spark, sf_dir):
-    x = F.slice(F.col("embedding").cast("array<double>"), 1, 3)
+    x = F.col("embedding").cast("array<double>")
     e = table(spark, sf_dir, "embeddings").select("vec_id", x.alias("x"), fx.softmax(x).alias("p"))
     return e.select("vec_id", F.round(F.col("p")[0], 6).alias("p0"), fx.argmax(F.col("x")).alias("top"), F.round(fx.entropy_fraction(F.col("p")), 6).alias("entropy"))
 
@@ -91,7 +92,7 @@ def masked_argmax(spark, sf_dir):
 @query("SELECT vec_id, 3 * len(embedding) AS dims, round(list_sum(CAST(embedding AS DOUBLE[])) * 2, 5) AS entity_sum FROM embeddings")
 def feature_concat(spark, sf_dir):
     x = F.col("embedding").cast("array<double>")
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("d"), F.concat(x, x, x).alias("f"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("d"), fx.features(x, x, x).alias("f"))
     return e.select("vec_id", F.size("f").cast("long").alias("dims"), F.round(fx.total(F.slice(F.col("f"), F.col("d") + 1, F.col("d") * 2)), 5).alias("entity_sum"))
 
 
@@ -101,9 +102,9 @@ def distinct_points(spark, sf_dir):
 
 
 @query("""SELECT round(avg(CASE WHEN proto = label THEN 1.0 ELSE 0.0 END) FILTER (WHERE rn = 1), 6) AS agreement, round(avg(w) FILTER (WHERE proto = label), 6) AS mean_p, round(median(w) FILTER (WHERE proto = label), 6) AS median_p FROM (
-  SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY round(w, 9) DESC, proto) AS rn FROM (SELECT row_id, label, proto, exp(c / 0.5) / sum(exp(c / 0.5)) OVER (PARTITION BY row_id) AS w FROM (SELECT v.row_id, v.label, pr.label AS proto, list_dot_product(v.x, pr.p) / sqrt(list_dot_product(v.x, v.x)) / sqrt(list_dot_product(pr.p, pr.p)) AS c FROM v, pr WHERE pr.label <= 2 AND v.label <= 2)))""", STAGED)
+  SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY round(w, 9) DESC, proto) AS rn FROM (SELECT row_id, label, proto, exp(c / 0.5) / sum(exp(c / 0.5)) OVER (PARTITION BY row_id) AS w FROM (SELECT v.row_id, v.label, pr.label AS proto, list_dot_product(v.x, pr.p) / sqrt(list_dot_product(v.x, v.x)) / sqrt(list_dot_product(pr.p, pr.p)) AS c FROM v, pr)))""", STAGED)
 def kd_target_agreement(spark, sf_dir):
-    v = base.vectors(spark, sf_dir).where("label <= 2")
+    v = base.vectors(spark, sf_dir)
     s = vectors.similarities(v, vectors.prototypes(v), ["row_id", "label"], 0.5)
     best = F.max_by("proto", F.struct(F.round("weight", 9), -F.col("proto")))
     rows = s.groupBy("row_id", "label").agg(best.alias("top"), F.max(F.when(F.col("proto") == F.col("label"), F.col("weight"))).alias("p"))
@@ -124,10 +125,10 @@ def off_taxonomy_difference(spark, sf_dir):
     return base.triples(spark, sf_dir).select("relation").distinct().join(F.broadcast(known), "relation", "left_anti")
 
 
-@query("SELECT doc_id, CAST(pos - 1 AS INT) AS pos, word AS text, CASE lower(word) WHEN 'the' THEN 'PERSON' ELSE 'TOPIC' END AS type FROM (SELECT doc_id, unnest(w) AS raw, generate_subscripts(w, 1) AS pos, regexp_replace(regexp_replace(raw, '^[^\\p{L}\\p{N}_]+', ''), '[^\\p{L}\\p{N}_]+$', '') AS word FROM (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS w FROM documents WHERE lang = 'en')) WHERE lower(word) IN ('the', 'of')")
+@query("SELECT doc_id, CAST(pos - 1 AS INT) AS pos, word AS text, CASE lower(word) WHEN 'the' THEN 'PERSON' ELSE 'TOPIC' END AS type FROM (SELECT doc_id, unnest(w) AS raw, generate_subscripts(w, 1) AS pos, regexp_replace(regexp_replace(raw, '^[^\\p{L}\\p{N}_]+', ''), '[^\\p{L}\\p{N}_]+$', '') AS word FROM (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS w FROM documents)) WHERE lower(word) IN ('the', 'of')")
 def dictionary_tags(spark, sf_dir):
     words = spark.createDataFrame([("The", "PERSON"), ("of", "LAW")], "word string, type string")
-    out = tagger.tag_words(table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "text", words)
+    out = tagger.tag_words(table(spark, sf_dir, "documents"), "doc_id", "text", words)
     return out.withColumn("type", tagger.map_type("type"))
 
 
@@ -195,15 +196,15 @@ def key_comparison(spark, sf_dir):
     return reports.key_comparison(_cells(spark, sf_dir), "a", "b").withColumn("delta", F.round("delta", 6))
 
 
-@query("SELECT condition, regime, round(max(acc) FILTER (WHERE replicate = 0), 6) AS r0, min(acc) AS low, max(acc) AS high, count(*) AS n FROM g WHERE seed = 1 GROUP BY ALL", _CELLS)
+@query("SELECT condition, regime, seed, round(max(acc) FILTER (WHERE replicate = 0), 6) AS r0, min(acc) AS low, max(acc) AS high, count(*) AS n FROM g GROUP BY ALL", _CELLS)
 def spread_report(spark, sf_dir):
-    return reports.spread_cell(_cells(spark, sf_dir).where("seed = 1"), ["condition", "regime"], "acc").select("condition", "regime", "r0", "low", "high", "n")
+    return reports.spread_cell(_cells(spark, sf_dir), ["condition", "regime", "seed"], "acc").select("condition", "regime", "seed", "r0", "low", "high", "n")
 
 
-@query("SELECT seed, label, drop, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY drop DESC, label) AS place FROM (SELECT seed, condition AS label, max(acc) FILTER (WHERE regime = 'a') - max(acc) FILTER (WHERE regime = 'b') AS drop FROM g WHERE replicate = 0 GROUP BY 1, 2)) WHERE place <= 3", _CELLS)
+@query("SELECT seed, replicate, label, drop, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY seed, replicate ORDER BY drop DESC, label) AS place FROM (SELECT seed, replicate, condition AS label, max(acc) FILTER (WHERE regime = 'a') - max(acc) FILTER (WHERE regime = 'b') AS drop FROM g GROUP BY 1, 2, 3)) WHERE place <= 3", _CELLS)
 def largest_drops(spark, sf_dir):
-    f = _cells(spark, sf_dir).where("replicate = 0").select("seed", F.col("condition").alias("label"), F.col("regime").alias("condition"), F.col("acc").alias("f1"))
-    return reports.largest_drops(f, "a", "b", ["seed"])
+    f = _cells(spark, sf_dir).select("seed", "replicate", F.col("condition").alias("label"), F.col("regime").alias("condition"), F.col("acc").alias("f1"))
+    return reports.largest_drops(f, "a", "b", ["seed", "replicate"])
 
 
 @query("SELECT label, rows, impure, train_rows, train_impure, round(rows * train_impure / train_rows, 6) AS expected_impure FROM (SELECT teacher AS label, count(*) FILTER (WHERE row_id % 5 = 0) AS rows, CAST(count(*) FILTER (WHERE row_id % 5 = 0 AND gold <> teacher) AS BIGINT) AS impure, count(*) AS train_rows, CAST(count(*) FILTER (WHERE gold <> teacher) AS BIGINT) AS train_impure FROM l GROUP BY 1) WHERE rows > 0", LABELS)

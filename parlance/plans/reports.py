@@ -48,6 +48,11 @@ def fixed_schedule_table(r: DataFrame, degenerate: DataFrame) -> DataFrame:
     return metrics.acc(r, keys).join(lost, keys, "left")
 
 
+def continual_table(values: DataFrame) -> DataFrame:
+    """ACC, forgetting of the old tasks that are not degenerate, and the final score of the continual runs, by condition and regime."""
+    return by_seed(values, ["condition", "regime"], ["acc", "forgetting", "final"], [1, 2])
+
+
 def spread_cell(values: DataFrame, by: list[str], v: str) -> DataFrame:
     """``r0 [low, high]`` of the replicates of a cell, and low-high (spread)."""
     out = values.groupBy(*by).agg(F.max(F.when(F.col("replicate") == 0, F.col(v))).alias("r0"), F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("n"))

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import scalar as fx
 
+# fixed values: the line formats, as the transcripts are written
 LEGACY = r"(?i)^(SPEAKER[\s_]*\d+)\s*\(([^)]+?)\s*-\s*([^)]+?)\)\s*:\s*(.+)"
 PLAIN = r"(?i)^speaker[\s_]*(\d+)\s*:\s*(.+)$"
-SRT_TIME = r"(\d{1,2}:\d{2}:\d{2}[,.]\d{1,3})\s*-->\s*(\d{1,2}:\d{2}:\d{2}[,.]\d{1,3})"
 SRT_SPEAKER = r"(?i)^\[?(SPEAKER[_ ]?\d+)\]?:?\s*"
-AMI_TURN = r"(?i)^(speaker\s+)?([A-Za-z0-9_]+)\s*:\s*(.*)$"
+#: A cue's two clocks: hours, minutes, seconds and a fraction after a comma or point.
+CLOCK = r"(\d{1,2}(?::\d{2}){2}[.,]\d{1,3})"
+SRT_TIME = CLOCK + r"\s*-->\s*" + CLOCK
+#: A speaker's token has 12 characters at most, and text follows it on its line.
+AMI_TURN = r"(?i)^(speaker\s+)?(\w{1,12})\s*:\s*(\S.*)$"
 
 
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -118,7 +122,7 @@ def read_transcripts(spark: SparkSession, paths, prefer_srt: bool = True, strict
 
 
 def parse_ami(lines: DataFrame, seconds: float = schema.SECONDS_PER_TURN) -> DataFrame:
-    """``Speaker A: text`` or a short upper-case code; any other ``word:`` is prose."""
+    """``Speaker A: text`` or a short upper-case code; any other ``word:``, and a token without text, is prose."""
     token, said = F.regexp_extract("line", AMI_TURN, 2), F.regexp_extract("line", AMI_TURN, 1)
     code = (F.length(token) <= 4) & (token.rlike("^[^a-z]*[A-Z][^a-z]*$") | token.rlike("^[0-9]+$") | (F.length(token) == 1))
     starts = F.col("line").rlike(AMI_TURN) & ((said != "") | code)
@@ -127,16 +131,21 @@ def parse_ami(lines: DataFrame, seconds: float = schema.SECONDS_PER_TURN) -> Dat
 
 
 def read_ami_jsonl(spark: SparkSession, path: str, prefix: str = "ami_", limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(utterances, rejects) of one JSON object a line; malformed lines are set aside, not fatal."""
-    raw = read_files(spark, path).select(F.posexplode(F.split("content", r"\r?\n")).alias("no", "line")).where(fx.strip("line") != "")
-    j = F.from_json("line", "struct<id: string, dialogue: string>")
-    rows = raw.select("no", "line", j.alias("j")).withColumn("meeting_id", F.concat(F.lit(prefix), F.coalesce("j.id", F.col("no").cast("string"))))
-    lines = rows.select("meeting_id", F.posexplode(F.split(F.coalesce("j.dialogue", F.lit("")), r"\r?\n")).alias("pos", "raw")).select("meeting_id", "pos", fx.strip("raw").alias("line")).where("line <> ''")
-    out = parse_ami(lines)
-    good = rows.join(out.select("meeting_id").distinct(), "meeting_id", "left_semi")
-    if limit is not None:
-        out = out.join(good.orderBy("no").limit(limit).select("meeting_id"), "meeting_id", "left_semi")
-    return out, rows.join(good.select("no"), "no", "left_anti").select("no", "line")
+    """(utterances, rejects) of one JSON object a line; malformed lines are set aside, not fatal.
+
+    A line is known by its file and number, counted from 1; an object without id is named by its number.
+    ``limit`` takes the first good lines by file and number.  Lines that do not fit one object are rejects."""
+    numbered = read_files(spark, path).select("path", F.posexplode(F.split("content", r"\r?\n")).alias("no", "line"))
+    raw = numbered.select("path", (F.col("no") + 1).alias("no"), "line").where(fx.strip("line") != "")
+    rows = raw.withColumn("j", F.from_json("line", "struct<id: string, dialogue: string>"))
+    rows = rows.withColumn("meeting_id", F.concat(F.lit(prefix), F.coalesce("j.id", F.col("no").cast("string"))))
+    key = F.struct("path", "no")
+    lines = rows.select(key.alias("meeting_id"), F.posexplode(F.split(F.coalesce("j.dialogue", F.lit("")), r"\r?\n")).alias("pos", "raw")).select("meeting_id", "pos", fx.strip("raw").alias("line")).where("line <> ''")
+    out = parse_ami(lines).withColumnRenamed("meeting_id", "of")
+    good = out.select("of.path", "of.no").distinct()
+    taken = good if limit is None else good.orderBy("path", "no").limit(limit)
+    names = rows.join(taken, ["path", "no"], "left_semi").select(key.alias("of"), "meeting_id")
+    return out.join(names, "of").select("meeting_id", "seq", "speaker_id", "text", "start_time", "end_time"), raw.join(good, ["path", "no"], "left_anti").select("path", "no", "line")
 
 
 def read_nxt_words(spark: SparkSession, paths, max_gap: float = 1.0) -> DataFrame:

@@ -20,27 +20,41 @@ def read_triples(spark: SparkSession, path: str, schema: str | StructType, files
     return (reader.option("maxFilesPerTrigger", files) if files else reader).json(path)
 
 
+#: Buckets of names that the node table is kept in; a batch rewrites only those it touches.
+BUCKETS = 64
+
+
 class GraphStore:
     """Nodes and edges as versioned Parquet tables in one folder.
 
-    A batch is written under its own number, so a batch that is run again overwrites only itself:
-    edges are partitioned by batch, and each node version names the batch that made it."""
+    A batch is written under its own number, so a batch that is run again overwrites only itself: edges are
+    partitioned by batch, and nodes by batch and bucket of names.  The newest version of each bucket counts;
+    versions that no repeated batch can need any more are removed."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-
-    def _versions(self) -> list[int]:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/nodes")
-        fs = folder.getFileSystem(conf)
-        if not fs.exists(folder):
-            return []
-        done = lambda s: fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-        return sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(folder) if done(s))
-
-    def nodes(self, before: int | None = None) -> DataFrame | None:
-        found = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/nodes/v={found[-1]}") if found else None
+        self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _list(self, path: str, key: str) -> dict[int, str]:
+        """Number -> folder of the ``key=number`` folders in a folder."""
+        at = self._fs_path(path)
+        found = self._fs.listStatus(at) if self._fs.exists(at) else []
+        names = [(s.getPath().getName(), s.getPath().toString()) for s in found]
+        return {int(n.split("=")[1]): p for n, p in names if n.startswith(f"{key}=")}
+
+    def _buckets(self, before: int | None = None) -> dict[int, list[str]]:
+        """The folders of each bucket, oldest first, among the finished batches."""
+        out: dict[int, list[str]] = {}
+        for v, folder in sorted(self._list(f"{self.path}/nodes", "v").items()):
+            if (before is None or v < before) and self._fs.exists(self._fs_path(f"{folder}/_SUCCESS")):
+                for k, path in self._list(folder, "bucket").items():
+                    out.setdefault(k, []).append(path)
+        return out
+
+    def nodes(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+        paths = [p[-1] for k, p in self._buckets(before).items() if buckets is None or k in buckets]
+        return self.spark.read.parquet(*paths) if paths else None
 
     def edges(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/edges")
@@ -49,9 +63,15 @@ class GraphStore:
         """Fold one batch in; the same batch may come again after a failure."""
         clean = triples.dedup_triples(triples.drop_empty(triples.drop_placeholders(batch)))
         graph.build_edges(clean).write.mode("overwrite").parquet(f"{self.path}/edges/batch={number}")
-        new, old = graph.build_nodes(clean), self.nodes(number)
+        new, bucket = graph.build_nodes(clean), F.pmod(F.xxhash64("name"), F.lit(BUCKETS)).cast("int")
+        touched = [r.bucket for r in new.select(bucket.alias("bucket")).distinct().collect()]  # BUCKETS rows at most
+        old = self.nodes(number, touched)
         merged = new if old is None else graph.upsert_nodes(old, new)
-        merged.write.mode("overwrite").parquet(f"{self.path}/nodes/v={number}")
+        merged.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/nodes/v={number}")
+        before = self._buckets(number)
+        for k in touched:
+            for path in before.get(k, [])[:-1]:
+                self._fs.delete(self._fs_path(path), True)
 
 
 def run(stream: DataFrame, store: GraphStore, checkpoint: str) -> StreamingQuery:

@@ -57,8 +57,8 @@ def test_ami(spark, tmp_path):
     lines = [{"id": "1", "dialogue": "Speaker A: Cool.\nSpeaker B: Um so shall we\nRight: continue\nPM: Yeah okay."}, {"id": "2", "dialogue": "all prose here"}, {"id": "3"}]
     write(tmp_path / "d.jsonl", "\n".join([*map(json.dumps, lines), "{broken", json.dumps({"dialogue": "A: hi"})]))
     got, bad = t.read_ami_jsonl(spark, str(tmp_path / "d.jsonl"))
-    assert rows(got, "meeting_id", "speaker_id", "text", "start_time") == [("ami_1", "SPEAKER_A", "Cool.", 0.0), ("ami_1", "SPEAKER_B", "Um so shall we Right: continue", 4.0), ("ami_1", "SPEAKER_PM", "Yeah okay.", 8.0), ("ami_4", "SPEAKER_A", "hi", 0.0)]
-    assert [r.no for r in bad.orderBy("no").collect()] == [1, 2, 3]
+    assert rows(got, "meeting_id", "speaker_id", "text", "start_time") == [("ami_1", "SPEAKER_A", "Cool.", 0.0), ("ami_1", "SPEAKER_B", "Um so shall we Right: continue", 4.0), ("ami_1", "SPEAKER_PM", "Yeah okay.", 8.0), ("ami_5", "SPEAKER_A", "hi", 0.0)]
+    assert [r.no for r in bad.orderBy("no").collect()] == [2, 3, 4]
     assert {r.meeting_id for r in t.read_ami_jsonl(spark, str(tmp_path / "d.jsonl"), limit=1)[0].collect()} == {"ami_1"}
 
 
