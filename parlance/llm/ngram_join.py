@@ -14,10 +14,10 @@ Plan
    groups, takes the group counts as points of a packed R-tree, prunes nodes and points whose summed
    coordinate minima cannot reach the required overlap, and verifies the pairs that survive on the
    shingle sets.  Pairs already joined within the chunk need no test.
-4. Clusters of several chunks share pivots with every chunk.  Where only a few sets are not joined to
-   the cluster's largest component afterwards, those probe every chunk.  Where many are not (texts that
-   share a passage chain into one cluster without being alike), the cluster is dealt again by the keys of
-   an independent partition: a linked pair shares one of those too, so the cluster falls apart into the
+4. Clusters of several chunks share pivots with every chunk.  Sets that are not joined to the cluster's
+   largest component afterwards probe every chunk.  Where that is more work than new keys are (many texts
+   that share a passage chain into one cluster without being alike), the cluster is dealt again by the keys
+   of an independent partition: a linked pair shares one of those too, so the cluster falls apart into the
    runs of the new keys, and so on; no pair goes untested or unjoined, and no run is quadratic but where
    its sets agree in parts of every partition.
 """
@@ -41,8 +41,9 @@ GROUPS, LEAF, CHUNK_MEMBERS, CHUNK_SHINGLES, PIVOTS = 64, 8, 64, 2_000_000, 8
 SPARE = 3
 #: Bits for each member, and most bits (64 MB), of the bitmap that keeps sets outside clusters from being shuffled.
 BITS_EACH, BITMAP = 32, 1 << 29
-#: So few sets outside the largest component probe all chunks; beyond it a cluster is dealt again, so often at most.
-PROBES, DEALS = 64, 4
+#: A cluster is dealt again, DEALS times at most, if probing all its chunks takes over GAIN times the rows that
+#: its new keys take, and more than PROBES sets are outside its largest component; else those sets probe.
+PROBES, GAIN, DEALS = 64, 4, 4
 #: Sets that a task remembers so as to give the keys of copies once.
 REMEMBERED = 500_000
 #: Largest placement table (a few numbers a row) that is sent to every task; beyond it the join is shuffled.
@@ -418,7 +419,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         for deal in range(DEALS + 1):
             groups = _summed(find(open_)).where("kinds > 1")
             groups = groups.withColumn("chunks", F.greatest(F.ceil(F.col("members") / CHUNK_MEMBERS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")).checkpoint()
-            few = (F.col("chunks") == 1) | (F.col("members") - F.col("largest") <= PROBES) | F.lit(deal == DEALS)
+            open_sets, keys_each = F.col("members") - F.col("largest"), 2.0 * (100 - percent) / (100 + percent)
+            cheap = open_sets * F.col("chunks") <= GAIN * (F.col("shingles") * keys_each + F.col("members"))
+            few = (F.col("chunks") == 1) | (open_sets <= PROBES) | cheap | F.lit(deal == DEALS)
             rows = open_.join(groups.where(few), "component").withColumn("own", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
             others = F.transform(F.filter(every, lambda c: c != F.col("own")), lambda c: at(c, True))
             own = F.array(at(F.col("own"), False))

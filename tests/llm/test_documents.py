@@ -103,7 +103,7 @@ def shared_passage(n=120, seed=8):
 @pytest.mark.parametrize("make,members,probes,deals", [(near_copies, 16, 0, 4), (shared_passage, 8, 0, 4), (shared_passage, 8, 5, 1), (shared_passage, 64, 64, 4)])
 def test_ngram_join_deals_open_clusters_again(spark, monkeypatch, make, members, probes, deals):
     rows = make(120)
-    for name, value in (("CHUNK_MEMBERS", members), ("PIVOTS", 1), ("PROBES", probes), ("DEALS", deals)):
+    for name, value in (("CHUNK_MEMBERS", members), ("PIVOTS", 1), ("PROBES", probes), ("GAIN", 0 if probes < 64 else 4), ("DEALS", deals)):
         monkeypatch.setattr(ngram_join, name, value)
     check_join(ngram_join.ngram_jaccard_components(frame(spark, rows)).collect(), rows)
 
