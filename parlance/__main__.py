@@ -1,4 +1,4 @@
-"""Command line: ``python -m parlance windows|stats|ask ...``."""
+"""Command line: ``python -m parlance windows|stats|ask|build|history|decisions|deadlines|report ...``."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from . import schema
 from .functions import scalar as fx
 from .operators import graph, stats, triples, windows
 from .plans import reports
-from .sources import transcripts
+from .sources import runs, sinks, transcripts
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -31,6 +31,15 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--relation", action="append")
     a.add_argument("--meeting", action="append")
     a.add_argument("--dates", help="JSON file of meeting dates")
+    for name, what in (("build", "write the graph of triple files"), ("history", "edges of one entity"), ("decisions", "decisions of one meeting"), ("deadlines", "dated deadlines in order")):
+        c = sub.add_parser(name, help=what)
+        c.add_argument("glob")
+        if name != "deadlines":
+            c.add_argument("what", help={"build": "folder of the graph", "history": "name", "decisions": "meeting"}[name])
+        c.add_argument("--dates", help="JSON file of meeting dates")
+    r = sub.add_parser("report", help="ACC, BWT and forgetting of run folders")
+    r.add_argument("glob", help="R_matrix.json files")
+    r.add_argument("--metric", choices=["f1", "acc"], default="f1")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("parlance").getOrCreate()
     if args.command == "windows":
@@ -38,13 +47,31 @@ def main(argv: list[str] | None = None) -> None:
         for r in found.orderBy("meeting_id", "window_id").select("meeting_id", "window_id", fx.render_window("utterances").alias("text")).toLocalIterator():
             print(f"--- {r.meeting_id} window {r.window_id}\n{r.text}")
         return
+    if args.command == "report":
+        cells = runs.read_r_matrices(spark, args.glob).where(F.col("metric") == args.metric)
+        keys = ["track", "regime", "seed"]
+        print(reports.to_markdown(reports.naive_report(cells, keys), keys))
+        return
     t = triples.in_order(transcripts.read_triples(spark, args.glob), ["source_meeting", "pos"])
     t = triples.dedup_triples(triples.drop_empty(triples.drop_placeholders(t)))
     day = F.lit(None).cast("string")
-    if args.command == "ask" and args.dates:
+    if getattr(args, "dates", None):
         dates = transcripts.read_meeting_dates(spark, args.dates).withColumnRenamed("meeting_id", "source_meeting")
-        t, day = t.join(F.broadcast(dates), "source_meeting", "left"), F.col("date")  # a row a meeting of the date file
-    edges = graph.build_edges(t.withColumn("meeting_date", day.try_cast("date")))
+        t, day = t.join(dates, "source_meeting", "left"), F.col("date")
+    t = t.withColumn("meeting_date", day.try_cast("date"))
+    edges = graph.build_edges(t)
+    if args.command == "build":
+        sinks.write_graph(graph.build_nodes(t), edges, args.what)
+        return
+    if args.command == "history":
+        print(reports.to_markdown(graph.entity_history(edges, args.what).drop("edge_id"), ["stated_at", "relation", "other"]))
+        return
+    if args.command == "decisions":
+        print(reports.to_markdown(graph.decisions(edges, args.what).select("stated_at", "src", "type", "dst", "confidence"), ["stated_at", "src", "type", "dst"]))
+        return
+    if args.command == "deadlines":
+        print(reports.to_markdown(graph.deadlines(graph.build_nodes(t)).select("resolved_date", "name", "last_meeting"), ["resolved_date", "name"]))
+        return
     if args.command == "stats":
         print(reports.to_markdown(stats.meeting_summary(t), ["source_meeting"]))
         print(reports.to_markdown(stats.health(t), ["triples"]))

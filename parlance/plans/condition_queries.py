@@ -153,3 +153,11 @@ def joint_balanced(spark, sf_dir):
     grid = spark.createDataFrame([(f"joint_balanced-{s}", "naive", s) for s in schema.TRAINING["seeds"]], "run_id string, regime string, seed int")
     pred = trainer.train_runs(_training(spark, sf_dir), grid, [list(range(10))], balanced=True)
     return metrics.accuracy(pred, ["run_id", "stage"])
+
+
+@query("""SELECT am.track, am.regime, am.seed, round(acc, 6) AS acc, round(bwt, 6) AS bwt, forgotten, verdict, abs(bwt + diag) <= 0.001 AS degenerate FROM am
+JOIN (SELECT track, regime, seed, avg(f) AS bwt, coalesce(string_agg(CAST(j AS VARCHAR), ',' ORDER BY j) FILTER (WHERE f < 0), '') AS forgotten, CASE WHEN bool_and(f < 0) THEN 'all' WHEN bool_or(f < 0) THEN 'some' ELSE 'none' END AS verdict FROM fg GROUP BY track, regime, seed) USING (track, regime, seed)
+JOIN (SELECT track, regime, seed, avg(v) AS diag FROM q WHERE t = j AND j < 2 GROUP BY ALL) USING (track, regime, seed)""", _RUNS)
+def naive_report(spark, sf_dir):
+    out = reports.naive_report(_runs(spark, sf_dir), ["track", "regime", "seed"])
+    return out.withColumn("acc", F.round("acc", 6)).withColumn("bwt", F.round("bwt", 6))

@@ -98,6 +98,25 @@ def track_gap(acc: DataFrame) -> DataFrame:
     return acc.groupBy("regime", "seed").agg((one("gold") - one("teacher")).alias("gap"))
 
 
+def naive_report(r: DataFrame, by: list[str], tolerance: float = 1e-3) -> DataFrame:
+    """A row a run: acc, bwt, forgotten (earlier tasks that ended below their own stage, ``0,1``), verdict
+    (all, some or none of them; null for a single task), and whether BWT is degenerate: minus the mean diagonal."""
+    from pyspark.sql import Window
+
+    rows = r.withColumn("k", F.max("t").over(Window.partitionBy(*by)))
+    one = lambda on: F.max(F.when(on, F.col("v")))
+    cells = rows.groupBy(*by, "j").agg(one(F.col("t") == F.col("k")).alias("end"), one(F.col("t") == F.col("j")).alias("own"), F.max("k").alias("k"))
+    early = F.col("j") < F.col("k")
+    lost = early & (F.col("end") < F.col("own"))
+    names = F.transform(F.array_sort(F.collect_list(F.when(lost, F.col("j")))), lambda j: j.cast("string"))
+    out = cells.groupBy(*by).agg(
+        F.when(F.count("end") == F.max("k") + 1, F.avg("end")).alias("acc"), F.avg(F.when(early, F.col("end") - F.col("own"))).alias("bwt"), F.avg(F.when(early, F.col("own"))).alias("_diag"),
+        F.array_join(names, ",").alias("forgotten"), F.count_if(lost).alias("_lost"), F.count_if(early).alias("_early"),
+    )
+    verdict = F.when(F.col("_early") == 0, None).when(F.col("_lost") == F.col("_early"), "all").when(F.col("_lost") > 0, "some").otherwise("none")
+    return out.select(*by, "acc", "bwt", "forgotten", verdict.alias("verdict"), (F.abs(F.col("bwt") + F.col("_diag")) <= tolerance).alias("degenerate"))
+
+
 # --- verdicts: each takes one row a seed and gives one row (holds)
 
 def verdict(name: str, rows: DataFrame, holds: Column) -> DataFrame:

@@ -1,7 +1,11 @@
-"""Run artefacts: metrics, R-matrices and the scoring block of a pre-registration."""
+"""Run artefacts: metrics, R-matrices, predictions, feature and split files, and the scoring block of a pre-registration."""
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +27,10 @@ def read_metrics(spark: SparkSession, glob: str) -> DataFrame:
     return raw.select("run_dir", "meta.*", *[c for c in raw.columns if c not in ("meta", "run_dir")])
 
 
-def select_runs(runs: DataFrame, keys: list[str], expected: DataFrame | None = None) -> DataFrame:
-    """Clean runs only; a key may occur once, all runs share one hash, and no expected key is missing."""
+def select_runs(runs: DataFrame, keys: list[str], expected: DataFrame | None = None, schedule: str | None = None) -> DataFrame:
+    """Clean runs only (of one ``schedule``, if named); a key may occur once, all share one hash, and no expected key is missing."""
     clean = runs.where("dirty = false")
+    clean = clean if schedule is None else clean.where(F.col("schedule") == schedule)
     if clean.select("git_hash").distinct().count() > 1:
         raise ValueError("runs of more than one code version")
     twice = clean.groupBy(*keys).count().where("count > 1").limit(1).collect()
@@ -48,6 +53,71 @@ def scoring_block(spark: SparkSession, path: str, section: str, known: list[str]
     return out.select("key", "value", problem.alias("problem"))
 
 
+def write_runs(payload: DataFrame, path: str) -> None:
+    """A JSON file a run under ``path/_run=<run_id>``, as ``read_r_matrices`` takes it.
+
+    Only the runs of ``payload`` are replaced, so a run that is written again stands once."""
+    _write(payload, path, "json")
+
+
+def write_predictions(pred: DataFrame, path: str) -> None:
+    """Predictions (run_id, stage, row_id, gold, pred and whatever else) as Parquet, a folder a run."""
+    _write(pred, path, "parquet")
+
+
+def _write(rows: DataFrame, path: str, kind: str) -> None:
+    one = rows.withColumn("_run", F.col("run_id")).repartition("_run") if kind == "json" else rows.withColumn("_run", F.col("run_id"))
+    one.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_run").format(kind).save(path)
+
+
+def read_predictions(spark: SparkSession, path: str, runs: DataFrame | None = None) -> DataFrame:
+    """The predictions of all runs, or of the run_ids in ``runs``, whose folders alone are read."""
+    pred = spark.read.parquet(path)
+    if runs is not None:
+        pred = pred.join(runs.select(F.col("run_id").cast(pred.schema["_run"].dataType).alias("_run")).distinct(), "_run", "left_semi")
+    return pred.drop("_run")
+
+
+def read_split(spark: SparkSession, path: str, relations: list[str]) -> DataFrame:
+    """relation, task, head_index of a task split ``{"relation_to_task": {...}}``, numbered in the order of ``relations``."""
+    kind = "struct<relation_to_task: map<string, int>>"
+    found = read_files(spark, path).select(F.explode(F.from_json("content", kind)["relation_to_task"]).alias("relation", "task"))
+    place = spark.createDataFrame(list(enumerate(relations)), "place int, relation string")
+    rows = found.join(place, "relation")  # a row a relation
+    ordered = F.array_sort(F.collect_list(F.struct("place", "relation", "task")))
+    return rows.agg(ordered.alias("r")).select(F.posexplode("r").alias("head_index", "r")).select("r.relation", "r.task", "head_index")
+
+
+def read_labelled(spark: SparkSession, paths: str | list[str], relations: list[str]) -> DataFrame:
+    """corpus, row_id, window_text, subject, object, teacher, gold of JSON arrays of labelled pairs.
+
+    Labels are places in ``relations``; pairs with a label outside it are left out, and ``row_id`` counts the rest of a file."""
+    kind = "array<struct<window_text: string, subject: string, object: string, relation: string, gold_relation: string>>"
+    place = F.create_map(*[F.lit(x) for i, r in enumerate(relations) for x in (r, i)])
+    pair = F.transform(F.from_json("content", kind), lambda p: F.struct(p["window_text"].alias("window_text"), p["subject"].alias("subject"), p["object"].alias("object"), place[p["relation"]].alias("teacher"), place[p["gold_relation"]].alias("gold")))
+    usable = F.filter(pair, lambda p: p["teacher"].isNotNull() & p["gold"].isNotNull())
+    return read_files(spark, paths).select(F.col("stem").alias("corpus"), F.posexplode(usable).alias("row_id", "p")).select("corpus", F.col("row_id").cast("long").alias("row_id"), "p.*")
+
+
+def read_features(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """corpus, row_id, x, teacher, gold of ``.npz`` files with X, y_teacher and y_gold; row_id is the row's place.
+
+    A file is a task's work; its rows leave in blocks, so only its own arrays are held."""
+
+    def rows(batches):
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                name = path.rsplit("/", 1)[-1].removesuffix(".npz")
+                with np.load(io.BytesIO(content), allow_pickle=False) as f:
+                    x, teacher, gold = f["X"], f["y_teacher"], f["y_gold"]
+                for lo in range(0, len(x), 1024):
+                    hi = min(lo + 1024, len(x))
+                    yield pd.DataFrame({"corpus": name, "row_id": np.arange(lo, hi), "x": list(x[lo:hi].astype("float32")), "teacher": teacher[lo:hi].astype("int64"), "gold": gold[lo:hi].astype("int64")})
+
+    raw = spark.read.format("binaryFile").load(paths).select("path", "content")
+    return raw.mapInPandas(rows, "corpus string, row_id long, x array<float>, teacher long, gold long")
+
+
 def condition_difference(drawn: DataFrame, saved: DataFrame, key: str = "row_id") -> DataFrame:
     """Rows (side, key, label) that one of two label conditions has and the other lacks; empty if they agree."""
     cols = [key, "label"]

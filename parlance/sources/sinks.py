@@ -33,6 +33,17 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return read("entities", NODE), read("relations", EDGE)
 
 
+def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The whole graph as text for a reader that takes it at once: part, key, line; nodes by name, then edges by id.
+
+    Order is in (part, key), not in the rows."""
+    node = F.format_string("%s (%s)", "name", F.coalesce("type", F.lit("UNKNOWN")))
+    when = F.coalesce(F.concat(F.lit(", "), F.col("stated_at").cast("string")), F.lit(""))
+    edge = F.concat(F.format_string("%s -[%s]-> %s [%s", "src", "type", "dst", "source_meeting"), when, F.lit("]"))
+    named = nodes.select(F.lit(0).alias("part"), F.col("name").alias("key"), node.alias("line"))
+    return named.union(edges.select(F.lit(1), F.lpad(F.col("edge_id").cast("string"), 20, "0"), edge))
+
+
 def clear_graph(spark: SparkSession, path: str) -> None:
     write_graph(spark.createDataFrame([], NODE), spark.createDataFrame([], EDGE), path)
 

@@ -1,6 +1,7 @@
 import json
 
 from parlance.__main__ import main
+from parlance.sources import runs, sinks
 
 
 def test_commands(spark, tmp_path, capsys, monkeypatch):
@@ -14,3 +15,35 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     main(["ask", str(tmp_path / "triples_*.json"), "ann", "--dates", str(tmp_path / "dates.json")])
     out = capsys.readouterr().out
     assert "2026-01-05 00:01:00" in out and "attempt 1" in out
+
+
+def test_graph_commands(spark, tmp_path, capsys):
+    row = {"subject": "Ann", "subject_type": "PERSON", "relation": "approved", "object": "Report", "object_type": "DEADLINE", "timestamp": 60.0, "deadline_date": "2026-02-01"}
+    (tmp_path / "triples_m1.json").write_text(json.dumps([row, row | {"relation": "heads", "object": "CSE", "object_type": "DEPARTMENT", "deadline_date": ""}]))
+    (tmp_path / "dates.json").write_text(json.dumps({"m1": {"date": "2026-01-05"}}))
+    glob, dates = str(tmp_path / "triples_*.json"), ["--dates", str(tmp_path / "dates.json")]
+    main(["build", glob, str(tmp_path / "graph"), *dates])
+    nodes, edges = sinks.read_graph(spark, str(tmp_path / "graph"))
+    assert {n.name for n in nodes.collect()} == {"Ann", "Report", "CSE"} and edges.count() == 2
+    lines = [r.line for r in sinks.graph_lines(nodes, edges).orderBy("part", "key").collect()]
+    assert lines[0] == "Ann (PERSON)" and lines[3] == "Ann -[approved]-> Report [m1, 2026-01-05 00:01:00]"
+    main(["history", glob, "CSE"])
+    out = capsys.readouterr().out
+    assert "| heads | Ann |" in out and "approved" not in out
+    main(["decisions", glob, "m1"])
+    out = capsys.readouterr().out
+    assert "approved" in out and "heads" not in out
+    main(["deadlines", glob])
+    assert "| 2026-02-01 | Report | m1 |" in capsys.readouterr().out
+
+
+def test_report_command(spark, tmp_path, capsys):
+    kind = "run_id string, track string, regime string, seed int, R_f1 array<array<double>>, R_acc array<array<double>>"
+    make = lambda low: spark.createDataFrame([("a", "gold", "naive", 1, [[0.5, None], [low, 0.75]], [[0.5, None], [0.5, 0.5]]), ("b", "gold", "naive", 2, [[0.5]], [[0.5]])], kind)
+    for low in (0.25, 0.0):  # the second writing replaces the first
+        runs.write_runs(make(low), str(tmp_path / "runs"))
+    runs.write_runs(make(0.0).where("run_id = 'b'"), str(tmp_path / "runs"))
+    main(["report", str(tmp_path / "runs/*/*.json")])
+    out = capsys.readouterr().out
+    assert "| gold | naive | 1 | 0.3750 | -0.5000 | 0 | all | True |" in out
+    assert out.count("| gold |") == 2

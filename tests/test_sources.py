@@ -117,3 +117,37 @@ def test_runs_and_scoring_block(spark, tmp_path):
 def test_env_and_mask():
     assert runs.load_env("A=1\n# B=2\nC = 'x y'\n", {"A": "0"}) == {"A": "0", "C": "x y"}
     assert runs.mask_secret("abcdefgh") == "abcd****"
+
+
+def test_predictions_of_chosen_runs(spark, tmp_path):
+    kind = "run_id string, stage int, row_id long, gold int, pred int"
+    write_, path = runs.write_predictions, str(tmp_path / "p")
+    write_(spark.createDataFrame([("a", 0, 1, 2, 2), ("a", 0, 2, 2, 3), ("b", 0, 1, 2, 2)], kind), path)
+    write_(spark.createDataFrame([("a", 0, 1, 2, 9)], kind), path)
+    assert {tuple(r) for r in runs.read_predictions(spark, path).select("run_id", "row_id", "pred").collect()} == {("a", 1, 9), ("b", 1, 2)}
+    one = spark.createDataFrame([("b",), ("b",)], "run_id string")
+    assert [r.run_id for r in runs.read_predictions(spark, path, one).collect()] == ["b"]
+
+
+def test_split_and_features(spark, tmp_path):
+    import numpy as np
+
+    split = write(tmp_path / "split.json", json.dumps({"relation_to_task": {"b": 1, "a": 0}, "seed": 1}))
+    assert [tuple(r) for r in runs.read_split(spark, split, ["z", "b", "a"]).orderBy("head_index").collect()] == [("b", 1, 0), ("a", 0, 1)]
+    x = np.arange(3000, dtype="float32").reshape(1500, 2)
+    np.savez(tmp_path / "c.npz", X=x, y_teacher=np.arange(1500), y_gold=np.arange(1500) % 3)
+    np.savez(tmp_path / "none.npz", X=x[:0], y_teacher=np.arange(0), y_gold=np.arange(0))
+    rows = runs.read_features(spark, [str(tmp_path / "c.npz"), str(tmp_path / "none.npz")]).orderBy("row_id").collect()
+    assert len(rows) == 1500 and tuple(rows[1499])[:2] == ("c", 1499) and rows[1499].x == [2998.0, 2999.0] and rows[1499].gold == 2
+
+
+def test_runs_of_one_schedule(spark):
+    rows = spark.createDataFrame([("g", 1, "fixed", False, "h"), ("g", 1, "early", False, "h")], "track string, seed int, schedule string, dirty boolean, git_hash string")
+    assert [r.schedule for r in runs.select_runs(rows, ["track", "seed"], schedule="early").collect()] == ["early"]
+
+
+def test_labelled_pairs(spark, tmp_path):
+    pair = {"window_text": "w", "subject": "s", "object": "o", "relation": "a", "gold_relation": "b"}
+    path = write(tmp_path / "c.json", json.dumps([pair, pair | {"relation": "zzz"}, pair | {"gold_relation": None}, pair | {"relation": "b"}]))
+    rows = runs.read_labelled(spark, path, ["a", "b"]).orderBy("row_id").collect()
+    assert [(r.corpus, r.row_id, r.subject, r.teacher, r.gold) for r in rows] == [("c", 0, "s", 0, 1), ("c", 1, "s", 1, 1)]
