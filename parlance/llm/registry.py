@@ -1,5 +1,7 @@
 """The corpus queries that the driver runs, and the SQL of those that SQL can express."""
 
+from .bpe_chunks import op11_bpe
+from .compaction import op12_compaction
 from .dedup import OP2_SQL, op2_exact_dedup
 from .embedding_dedup import op7_embedding_dedup
 from .html_extract import op9_html_extract
@@ -8,6 +10,7 @@ from .license_scan import op4_license_scan
 from .mixing import op6_mixing
 from .ngram_join import op1_ngram_jaccard
 from .packing import op5_packing
+from .prefix_trie import op13_prefix_trie
 from .secret_scan import op3_secret_scan
 from .url_filter import op10_url_filter
 
@@ -22,6 +25,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_html_extract": op9_html_extract,
     "op10_url_filter": op10_url_filter,
+    "op11_bpe": op11_bpe,
+    "op12_compaction": op12_compaction,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {"op2_exact_dedup": OP2_SQL}
