@@ -94,22 +94,24 @@ def adherence_report(triples: DataFrame) -> DataFrame:
     return triples.agg(seen.alias("triples_seen"), off.alias("off_taxonomy_count"), pct.alias("adherence_pct"), labels.alias("off_taxonomy_labels"))
 
 
-def extract_with(windows: DataFrame, extractor, column: str, out: str = "raw") -> DataFrame:
+def extract_with(windows: DataFrame, extractor, column: str, out: str = "raw", error: str | None = None) -> DataFrame:
     """Plug in an extractor: any function from a window's text to a raw response, called once a row on the
-    executors in Arrow batches.  A call that raises gives null, so one bad window never fails a meeting;
-    ``parse_responses`` takes it from there.  It may be called again if an executor is lost, so it should
-    look into its cache first (``sinks.split_by_cache``)."""
+    executors in Arrow batches.  A call that raises gives null, so one bad window never fails a meeting, and
+    what it raised stands in the column ``error``, if one is named; ``parse_responses`` takes it from there.
+    It may be called again if an executor is lost, so it should look into its cache first (``teacher.split_cached``)."""
+
     def one(text):
         try:
-            return None if text is None else extractor(text)
-        except Exception:
-            return None
+            return (None if text is None else extractor(text)), None
+        except Exception as e:
+            return None, f"{type(e).__name__}: {e}"[:200]
 
-    @F.pandas_udf("string")
-    def call(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
+    @F.pandas_udf("struct<raw: string, error: string>")
+    def call(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) for t in texts], columns=["raw", "error"])
 
-    return windows.withColumn(out, call(F.col(column)))
+    called = windows.withColumn("_call", call.asNondeterministic()(F.col(column))).withColumn(out, F.col("_call.raw"))
+    return (called if error is None else called.withColumn(error, F.col("_call.error"))).drop("_call")
 
 
 def mock_extract(windows: DataFrame) -> DataFrame:

@@ -28,6 +28,21 @@ NODE_LABEL = r"^[A-Z][A-Z_]{0,30}$"
 TITLE = r"(?i)^(dr\.?|prof\.?|professor|mr\.?|mrs\.?|ms\.?|sir|madam)\s+"
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
 
+# fixed values: the scoring block of a pre-registration: section, blanks, conditions, and each key with its kind, words and least and greatest number (none)
+SCORING_SECTION = "rq3-scoring"
+BLANKS = ["____", "YYYY-MM-DD"]
+SCORED_CONDITIONS = ["teacher_I", "perm_I", "rand_I", "gold_I"]
+SCORING_KEYS = [
+    ("line10_gold_I_minus_gold", "number", None, None, None), ("line10_gold_I_real", "flag", None, None, None), ("line10_gold_sub_minus_gold", "number", None, None, None), ("line10_ratio", "number", None, None, None),
+    ("line11", "word", ["lower", "higher", "same"], None, None), ("line12", "word", ["lower", "higher", "same"], None, None),
+    ("line13", "partly", ["holds", "fails"], None, None), ("line13_controls", "word", ["not_real", "not_real_positive"], None, None),
+    ("line14_pct", "number", None, None, None), ("line14_expect", "word", ["holds", "fails"], None, None), ("line15_pp", "number", None, None, None), ("line15_expect", "word", ["holds", "fails"], None, None),
+    ("line17_pct", "number", None, None, None), ("line17_expect", "word", ["holds", "fails"], None, None),
+]
+
+# fixed value: the version of the labelling prompt
+PROMPT_VERSION = "v2"
+
 # fixed values: thresholds and training settings
 SECONDS_PER_TURN, WINDOW, OVERLAP, ROW_CAP, MAX_ATTEMPTS = 4.0, 15, 5, 200, 3
 FUZZY, REAL_DIFFERENCE, DIAGONAL_WARNING = 0.85, 0.03, 0.15
