@@ -9,8 +9,8 @@ from .. import schema
 from ..functions import scalar as fx
 
 
-#: Shares that the meetings of an entity are dealt in when pairs of meetings are counted.
-SHARES = 8
+#: Meetings of an entity up to which its pairs of meetings are one task's.
+HOT = 256
 
 
 def build_edges(triples: DataFrame) -> DataFrame:
@@ -111,22 +111,21 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return by(nodes, "node").union(by(edges, "edge"))
 
 
-def meeting_overlap(edges: DataFrame, every: bool = False) -> DataFrame:
-    """a, b, n_a, n_b, both, jaccard of every pair of meetings with a common entity.
+def meeting_overlap(edges: DataFrame, diagonal: bool = False) -> DataFrame:
+    """a, b, n_a, n_b, both, jaccard of every pair of meetings with a common entity; other pairs share nothing.
 
-    Pairs meet in a join on the entity; its rows are dealt by (entity, second meeting's share of
-    SHARES), so an entity of all meetings is spread over many tasks and never becomes one row.
-    ``every`` adds the pairs without a common entity, with Jaccard 0 (as many rows as pairs of meetings)."""
+    Pairs meet in a join on the entity.  An entity of up to HOT meetings is one key; a hotter one is dealt in
+    shares of about HOT meetings, each of which meets all of its meetings, so its pairs are spread over many
+    tasks.  ``diagonal`` adds each meeting with itself."""
     ends = endpoint_meetings(edges)
     size = ends.groupBy("source_meeting").agg(F.count("*").alias("n"))
-    left = ends.select("entity", F.col("source_meeting").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
-    right = ends.select("entity", F.col("source_meeting").alias("b"), F.pmod(F.xxhash64("source_meeting"), F.lit(SHARES)).cast("int").alias("share"))
-    both = left.join(right, ["entity", "share"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
+    shares = ends.groupBy("entity").agg(F.ceil(F.count("*") / HOT).cast("int").alias("shares"))
+    dealt = ends.join(shares, "entity")
+    left = dealt.select("entity", F.col("source_meeting").alias("a"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    right = dealt.select("entity", F.col("source_meeting").alias("b"), F.pmod(F.xxhash64("source_meeting"), "shares").cast("int").alias("share"))
+    both = left.join(right, ["entity", "share"]).where("a <= b" if diagonal else "a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
     one = lambda m: size.select(F.col("source_meeting").alias(m), F.col("n").alias(f"n_{m}"))
-    if every:
-        met = one("a").join(one("b"), F.col("a") < F.col("b")).join(both, ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
-    else:
-        met = both.join(one("a"), "a").join(one("b"), "b")
+    met = both.join(one("a"), "a").join(one("b"), "b")
     return met.select("a", "b", "both", "n_a", "n_b", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("jaccard"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import TRAINING
-from .vectors import kmeans
+from .vectors import local_memory
 
 
 def log_softmax(z: np.ndarray) -> np.ndarray:
@@ -161,9 +161,7 @@ def _after_task(net, regime, x, y, dx, dy, own, t, tasks, mask, seed, m, epochs,
         rows = np.flatnonzero(y == c)
         if not len(rows):
             continue
-        if len(rows) > m:
-            at = kmeans(x[rows], min(m, len(np.unique(x[rows], axis=0))), seed)
-            rows = np.array([r[((x[r] - x[r].mean(0)) ** 2).sum(1).argmin()] for j in np.unique(at) for r in [rows[at == j]]])
+        rows = rows[local_memory(rows, x[rows], m, seed)]
         regime.memory[c] = rows
         beta = TRAINING["beta"]
         regime.protos[c] = (1 - beta) * x[y == c].mean(0) + beta * x[rows].mean(0)

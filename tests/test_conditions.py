@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parlance import schema
 from parlance.operators import conditions, graph, resolve, trainer, triples
@@ -131,11 +132,15 @@ def test_first_of_equal_triples_stays(spark):
     assert sorted((r.source_meeting, r.pos, r.subject, r.deadline_date) for r in triples.dedup_triples(t).collect()) == [(f"m{m}", 0, "ann", "2026-01-02") for m in range(4)]
 
 
-def test_overlap_of_every_pair(spark):
+def test_overlap_with_its_diagonal_and_a_hot_entity(spark, monkeypatch):
     edges = spark.createDataFrame([("m1", "a", "b"), ("m2", "b", "c"), ("m3", "x", "y")], "source_meeting string, src string, dst string")
-    got = {(r.a, r.b): (r.both, round(r.jaccard, 6)) for r in graph.meeting_overlap(edges, every=True).collect()}
-    assert got == {("m1", "m2"): (1, 0.333333), ("m1", "m3"): (0, 0.0), ("m2", "m3"): (0, 0.0)}
+    got = {(r.a, r.b): (r.both, round(r.jaccard, 6)) for r in graph.meeting_overlap(edges, diagonal=True).collect()}
+    assert got == {("m1", "m2"): (1, 0.333333), ("m1", "m1"): (2, 1.0), ("m2", "m2"): (2, 1.0), ("m3", "m3"): (2, 1.0)}
     assert graph.meeting_overlap(edges).count() == 1
+    many = spark.range(40).select(F.concat(F.lit("m"), "id").alias("source_meeting"), F.lit("hot").alias("src"), F.concat(F.lit("own"), F.col("id") % 20).alias("dst"))
+    want = {(r.a, r.b): r.both for r in graph.meeting_overlap(many).collect()}
+    monkeypatch.setattr(graph, "HOT", 3)
+    assert {(r.a, r.b): r.both for r in graph.meeting_overlap(many).collect()} == want and len(want) == 780 and sorted(want.values()) == [1] * 760 + [2] * 20
 
 
 def test_plugged_in_extractor(spark):

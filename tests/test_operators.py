@@ -203,6 +203,25 @@ def test_memory_centres_come_from_every_row(spark):
     assert {i % 6 for i in got - set(lone)} == set(range(6))
 
 
+def plain_kmeans(x, k, seed, rounds=50):
+    """Cluster numbers by Lloyd's rounds from one k-means++ start."""
+    r = np.random.default_rng(seed)
+    c = [x[r.integers(len(x))]]
+    for _ in range(1, k):
+        d = np.min([((x - p) ** 2).sum(1) for p in c], axis=0)
+        c.append(x[r.choice(len(x), p=d / d.sum())])
+    c, at = np.array(c), None
+    for _ in range(rounds):
+        new = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        if at is not None and (new == at).all():
+            break
+        at = new
+        for j in range(k):
+            if (at == j).any():
+                c[j] = x[at == j].mean(0)
+    return at
+
+
 def test_best_of_several_starts(spark):
     r = np.random.default_rng(2)
     x = r.standard_normal((12, 2))[r.integers(12, size=400)] * 10 + r.standard_normal((400, 2))
@@ -210,7 +229,30 @@ def test_best_of_several_starts(spark):
     cost = lambda c: ((x[:, None] - c[None]) ** 2).sum(2).min(1).sum()
     one, ten = (cost(vectors.kmeans_centres(rows, [0], 10, 1, n)[0]) for n in (1, 10))
     assert ten <= one
-    assert ten <= min(cost(np.array([x[at == j].mean(0) for j in np.unique(at)])) for s in range(10) for at in [vectors.kmeans(x, 10, s)]) * 1.1
+    assert ten <= min(cost(np.array([x[at == j].mean(0) for j in np.unique(at)])) for s in range(10) for at in [plain_kmeans(x, 10, s)]) * 1.1
+
+
+def test_one_task_and_many_passes_give_one_memory(spark):
+    """A class that one task fits, and the trainer's own, have the memory that passes over the table give."""
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.standard_normal((15, 3))[r.integers(15, size=300)] * 8 + r.standard_normal((300, 3)), np.repeat(r.standard_normal((4, 3)), 10, axis=0)])
+    rows = spark.createDataFrame([(i, 0 if i < 300 else 1, v.tolist()) for i, v in enumerate(x)], "row_id long, label int, x array<double>").repartition(5)
+    here = {(m.label, m.row_id) for m in vectors.kmeans_memory(rows, 10, 1).collect()}
+    assert here == {(m.label, m.row_id) for m in vectors.kmeans_memory(rows, 10, 1, local_rows=0).collect()}
+    assert len([m for m in here if m[0] == 0]) == 10 and len([m for m in here if m[0] == 1]) == 4  # four distinct vectors
+    assert {i for label, i in here if label == 0} == set(vectors.local_memory(np.arange(300), x[:300], 10, 1).tolist())
+
+
+@pytest.mark.parametrize("local_rows", [0, 1000])
+def test_memory_leaves_out_what_is_no_vector(spark, local_rows):
+    bad = [(100, 0, None), (101, 0, [1.0, None]), (102, 0, [float("nan"), 1.0]), (103, 0, [float("inf"), 1.0]), (104, None, [1.0, 1.0])]
+    rows = spark.createDataFrame([(i, 0, [float(i), 0.0]) for i in range(30)] + bad, "row_id long, label int, x array<double>")
+    got = vectors.kmeans_memory(rows, 10, 1, local_rows=local_rows).collect()
+    assert len(got) == 10 and all(r.row_id < 30 for r in got)
+    with pytest.raises(ValueError, match="several lengths in class 0"):
+        vectors.kmeans_memory(rows.union(spark.createDataFrame([(7, 0, [1.0])], rows.schema)), 10, 1, local_rows=local_rows)
+    assert vectors.kmeans_memory(rows.limit(0), 10, 1, local_rows=local_rows).collect() == []
+
 
 
 def separable(seed=0, classes=6, per=30):
