@@ -1,16 +1,17 @@
-"""Command line: ``python -m parlance windows|stats|ask|build|history|decisions|deadlines|report ...``."""
+"""Command line: ``python -m parlance windows|run|stats|ask|build|history|decisions|deadlines|report ...``."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import schema
 from .functions import scalar as fx
-from .operators import graph, stats, triples, windows
-from .plans import reports
+from .operators import graph, questions, stats, triples, windows
+from .plans import meetings, reports
 from .sources import runs, sinks, transcripts
 
 
@@ -22,6 +23,16 @@ def main(argv: list[str] | None = None) -> None:
     w.add_argument("--size", type=int, default=schema.WINDOW)
     w.add_argument("--overlap", type=int, default=schema.OVERLAP)
     w.add_argument("--prefer-text", action="store_true")
+    g = sub.add_parser("run", help="from transcripts to a graph")
+    g.add_argument("paths", nargs="+")
+    g.add_argument("--out", required=True, help="folder of triples, graph and reports")
+    g.add_argument("--extractor", help="module:function from a prompt to a response; without it, speakers of a window discussed with each other")
+    g.add_argument("--roster", help="JSON file of attendees a meeting")
+    g.add_argument("--answers", help="JSON lines of meeting_id, speaker_id, name")
+    g.add_argument("--dates", help="JSON file of meeting dates")
+    g.add_argument("--size", type=int, default=schema.WINDOW)
+    g.add_argument("--overlap", type=int, default=schema.OVERLAP)
+    g.add_argument("--keep-placeholders", action="store_true")
     s = sub.add_parser("stats", help="health and summaries of triple files")
     s.add_argument("glob")
     s.add_argument("--compare", action="store_true", help="overlap of meetings as well")
@@ -47,6 +58,16 @@ def main(argv: list[str] | None = None) -> None:
         for r in found.orderBy("meeting_id", "window_id").select("meeting_id", "window_id", fx.render_window("utterances").alias("text")).toLocalIterator():
             print(f"--- {r.meeting_id} window {r.window_id}\n{r.text}")
         return
+    if args.command == "run":
+        read = lambda path, how: how(spark, path) if path else None
+        answers = spark.read.schema("meeting_id string, speaker_id string, name string").json(args.answers) if args.answers else None
+        module, _, name = (args.extractor or "").partition(":")
+        extractor = getattr(importlib.import_module(module), name) if module else meetings.mock_response
+        made = meetings.run_meetings(transcripts.read_transcripts(spark, args.paths), extractor, answers, read(args.roster, transcripts.read_rosters), read(args.dates, transcripts.read_meeting_dates), args.size, args.overlap, args.keep_placeholders)
+        made.write(args.out)
+        print(reports.to_markdown(made.coverage, ["windows_total"]))
+        print(reports.to_markdown(made.adherence, ["triples_seen"]))
+        return
     if args.command == "report":
         cells = runs.read_r_matrices(spark, args.glob).where(F.col("metric") == args.metric)
         keys = ["track", "regime", "seed"]
@@ -78,9 +99,12 @@ def main(argv: list[str] | None = None) -> None:
         if args.compare:
             print(reports.to_markdown(graph.meeting_overlap(edges), ["a", "b"]))
         return
-    rows, told = graph.ask(edges, args.keywords, args.relation, args.meeting)
-    print(reports.to_markdown(rows.select("source_meeting", "stated_at", "src", "type", "dst", "confidence"), ["source_meeting", "src", "dst"]))
-    print(f"attempt {told['attempt']}" + (", truncated" if told["truncated"] else ""))
+    question = spark.createDataFrame([(0, args.keywords, args.relation or [], args.meeting or [])], "question_id int, keywords array<string>, relations array<string>, meetings array<string>")
+    _, _, answers = questions.ask_all(edges, question)
+    told = answers.first()
+    print(told.answer)
+    print(f"attempt {told.attempt}" + (", truncated" if told.truncated else "") + (f" ({told.history})" if told.history else ""))
+
 
 
 if __name__ == "__main__":

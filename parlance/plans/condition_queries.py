@@ -12,13 +12,11 @@ from .graph_queries import ENDS, _edges
 from .label_queries import INTER, KEPT, STAGED, _training
 from .report_queries import _RUNS, _runs
 
-_SEEDS = ", ".join(f"({s})" for s in schema.TRAINING["seeds"])
-
-
-@query(f"""SELECT condition, seed, CAST(replicate AS INT) AS replicate, CASE WHEN replicate <> 0 THEN seed + 100 * replicate END AS init_seed, CASE WHEN condition IN ('perm_I', 'rand_I', 'gold_sub') THEN seed + 100 * replicate END AS draw_seed, condition || '/seed' || seed || '/r' || replicate AS path
-FROM (VALUES {_SEEDS}) s(seed), (VALUES ('gold_I'), ('teacher_I'), ('perm_I'), ('rand_I'), ('gold_sub')) c(condition), range(3) r(replicate) WHERE replicate = 0 OR condition NOT IN ('gold_I', 'teacher_I')""")
+@query("""SELECT condition, CAST(seed AS INT) AS seed, CAST(replicate AS INT) AS replicate, CAST(CASE WHEN replicate <> 0 THEN seed + 100 * replicate END AS INT) AS init_seed, CAST(CASE WHEN condition IN ('perm_I', 'rand_I', 'gold_sub') THEN seed + 100 * replicate END AS INT) AS draw_seed, condition || '/seed' || seed || '/r' || replicate AS path
+FROM (SELECT r_regionkey AS seed FROM region) s, (VALUES ('gold_I'), ('teacher_I'), ('perm_I'), ('rand_I'), ('gold_sub')) c(condition), range(3) r(replicate) WHERE replicate = 0 OR condition NOT IN ('gold_I', 'teacher_I')""")
 def condition_grid(spark, sf_dir):
-    return conditions.condition_grid(spark)
+    """The seeds are the keys of a table."""
+    return conditions.condition_grid(spark, [int(r.r_regionkey) for r in table(spark, sf_dir, "region").select("r_regionkey").collect()])  # a sweep's few seeds
 
 
 @query("SELECT 'gold' AS condition, row_id, gold, gold AS label FROM l WHERE gold IN (0, 1, 2, 3, 4, 5, 6) UNION ALL SELECT 'teacher', row_id, gold, teacher FROM l WHERE teacher IN (0, 1, 2, 3, 4, 5, 6) UNION ALL SELECT 'gold_I', row_id, gold, gold FROM i UNION ALL SELECT 'teacher_I', row_id, gold, teacher FROM i", INTER)
@@ -106,10 +104,10 @@ def memory_equality(spark, sf_dir):
     return conditions.difference(a, b)
 
 
-@query("SELECT a.source_meeting AS a, b.source_meeting AS b, na.n AS n_a, nb.n AS n_b, (SELECT count(*) FROM ends x JOIN ends y USING (entity) WHERE x.source_meeting = a.source_meeting AND y.source_meeting = b.source_meeting) AS both FROM m a JOIN m b ON a.source_meeting < b.source_meeting JOIN m na ON na.source_meeting = a.source_meeting JOIN m nb ON nb.source_meeting = b.source_meeting", ENDS + ", m AS (SELECT source_meeting, count(*) AS n FROM ends GROUP BY 1)")
+@query("SELECT a.source_meeting AS a, b.source_meeting AS b, any_value(na.n) AS n_a, any_value(nb.n) AS n_b, count(*) AS both FROM ends a JOIN ends b ON a.entity = b.entity AND a.source_meeting <= b.source_meeting JOIN m na ON na.source_meeting = a.source_meeting JOIN m nb ON nb.source_meeting = b.source_meeting GROUP BY ALL", ENDS + ", m AS (SELECT source_meeting, count(*) AS n FROM ends GROUP BY 1)")
 def meeting_overlap_matrix(spark, sf_dir):
-    """Every pair of meetings, those without a common entity too."""
-    return graph.meeting_overlap(_edges(spark, sf_dir), every=True).select("a", "b", "n_a", "n_b", "both")
+    """The matrix of meetings by common entities: its diagonal, and the pairs that are not zero."""
+    return graph.meeting_overlap(_edges(spark, sf_dir), diagonal=True).select("a", "b", "n_a", "n_b", "both")
 
 
 @query("SELECT source_meeting, kind, value, n, round(100.0 * n / sum(n) OVER (PARTITION BY source_meeting, kind), 6) AS pct FROM (SELECT source_meeting, 'relation' AS kind, relation AS value, count(*) AS n FROM t GROUP BY ALL UNION ALL SELECT source_meeting, 'type', ty, count(*) FROM (SELECT source_meeting, subject_type AS ty FROM t UNION ALL SELECT source_meeting, object_type FROM t) GROUP BY ALL)", TRIPLES)

@@ -107,11 +107,16 @@ def task_renumber(spark, sf_dir):
     return labels.renumber(split).select("head_index", "task", "new_task")
 
 
-@query("SELECT 'in two tasks' AS problem, '3' AS relation UNION ALL SELECT 'in no task', '5' UNION ALL SELECT 'unknown', '99'")
+_SPLIT = LABELS + ", s AS (SELECT CAST(gold AS VARCHAR) AS relation, task FROM l WHERE gold <> 5 UNION SELECT CAST(teacher AS VARCHAR), task FROM l WHERE row_id % 97 = 0 AND teacher <> 5), c AS (SELECT DISTINCT CAST(gold AS VARCHAR) AS relation FROM l WHERE gold <> 8)"
+
+
+@query("SELECT 'in two tasks' AS problem, relation FROM s GROUP BY relation HAVING count(DISTINCT task) > 1 UNION ALL SELECT 'in no task', relation FROM c ANTI JOIN s USING (relation) UNION ALL SELECT DISTINCT 'unknown', relation FROM s ANTI JOIN c USING (relation)", _SPLIT)
 def split_check(spark, sf_dir):
-    split = spark.createDataFrame([("1", 0), ("2", 0), ("3", 0), ("3", 1), ("4", 1), ("99", 1)], "relation string, task int")
-    classes = spark.createDataFrame([(str(k),) for k in (1, 2, 3, 4, 5)], "relation string")
-    return labels.check_split(split, classes)
+    """A split made of gold classes but one, and of teacher classes that stray into other tasks, against the classes but one."""
+    rows = base.labels(spark, sf_dir)
+    pick = lambda c, df: df.where(F.col(c) != 5).select(F.col(c).cast("string").alias("relation"), "task")
+    split = pick("gold", rows).union(pick("teacher", rows.where("row_id % 97 = 0"))).distinct()
+    return labels.check_split(split, rows.where("gold <> 8").select(F.col("gold").cast("string").alias("relation")).distinct())
 
 
 @query("""SELECT stratum, size, low + CASE WHEN row_number() OVER (ORDER BY round(quota - low, 9) DESC, stratum) <= 50 - sum(low) OVER () THEN 1 ELSE 0 END AS seats FROM (
@@ -239,10 +244,15 @@ def diagonal_warnings(spark, sf_dir):
     return metrics.diagonal_warnings(_r(spark, sf_dir), spark.createDataFrame([("a", 0.99)], "run string, joint double"), ["run"]).select("t", "j", "v")
 
 
-@query("SELECT 0 AS t, 1 AS j, 'above the diagonal' AS problem UNION ALL SELECT 2, 0, 'out of range' UNION ALL SELECT 1, 0, 'missing'")
+_CELLS = "c AS (SELECT event_type AS run, CAST(day(ts) % 3 AS INT) AS t, CAST(hour(ts) % 3 AS INT) AS j, avg(value) / 50 AS v FROM events WHERE NOT (event_type IN ('click', 'view') AND day(ts) % 3 = 2 AND hour(ts) % 3 = 0) GROUP BY ALL)"
+
+
+@query("""SELECT run, t, j, 'above the diagonal' AS problem FROM c WHERE j > t UNION ALL SELECT run, t, j, 'out of range' FROM c WHERE v < 0 OR v > 1
+UNION ALL SELECT run, t, j, 'missing' FROM (SELECT run, t, j FROM (SELECT DISTINCT run FROM c), (SELECT CAST(unnest([0, 1, 1, 2, 2, 2]) AS INT) AS t, CAST(unnest([0, 0, 1, 0, 1, 2]) AS INT) AS j)) ANTI JOIN c USING (run, t, j)""", _CELLS)
 def r_matrix_validation(spark, sf_dir):
-    r = spark.createDataFrame([("a", 0, 0, 0.5), ("a", 0, 1, 0.5), ("a", 1, 1, 0.2), ("a", 2, 0, 1.5), ("a", 2, 1, 0.1), ("a", 2, 2, 0.1)], "run string, t int, j int, v double")
-    return metrics.r_problems(r, ["run"], 3).select("t", "j", "problem")
+    e, t, j = table(spark, sf_dir, "events"), F.dayofmonth("ts") % 3, F.hour("ts") % 3
+    cells = e.where(~(F.col("event_type").isin("click", "view") & (t == 2) & (j == 0))).groupBy(F.col("event_type").alias("run"), t.cast("int").alias("t"), j.cast("int").alias("j")).agg((F.avg("value") / 50).alias("v"))
+    return metrics.r_problems(cells, ["run"], 3)
 
 
 @query("SELECT label, gold_n, teacher_n, round(teacher_n / gold_n, 6) AS ratio FROM (SELECT label, CAST(sum(g) AS BIGINT) AS gold_n, CAST(sum(t) AS BIGINT) AS teacher_n FROM (SELECT gold AS label, 1 AS g, 0 AS t FROM l UNION ALL SELECT teacher, 0, 1 FROM l) GROUP BY 1) WHERE gold_n > 0 ORDER BY teacher_n / gold_n DESC, label LIMIT 1", LABELS)

@@ -82,11 +82,14 @@ def softmax_entropy(spark, sf_dir):
     return e.select("vec_id", F.round(F.col("p")[0], 6).alias("p0"), fx.argmax(F.col("x")).alias("top"), F.round(fx.entropy_fraction(F.col("p")), 6).alias("entropy"))
 
 
-@query("SELECT vec_id, CASE WHEN label <= 4 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS p_masked, CAST(CASE WHEN label <= 4 THEN 1 ELSE 0 END AS INT) AS best FROM embeddings WHERE label IS NOT NULL")
+@query("""SELECT vec_id, round(exp(x[1]) / list_sum(list_transform(x[1:label + 1], lambda v: exp(v))), 6) AS p_masked, CAST(list_position(x, list_max(x[1:label + 1])) - 1 AS INT) AS best
+FROM (SELECT vec_id, CAST(label AS INT) AS label, CAST(embedding[1:10] AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL)""")
 def masked_argmax(spark, sf_dir):
-    mask = F.array(F.col("label") > 4, F.col("label") <= 4)
-    z = fx.masked(F.array(F.lit(3.0), F.lit(1.0)), mask)
-    return table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select("vec_id", fx.softmax(z)[0].alias("p_masked"), fx.argmax(z).alias("best"))
+    """Ten logits a vector, of which the classes up to the label's are seen."""
+    x = F.slice(F.col("embedding").cast("array<double>"), 1, 10)
+    e = table(spark, sf_dir, "embeddings").where("label IS NOT NULL").withColumn("x", x)
+    z = fx.masked(F.col("x"), F.transform("x", lambda _, i: i <= F.col("label")))
+    return e.withColumn("z", z).select("vec_id", F.round(fx.softmax(F.col("z"))[0], 6).alias("p_masked"), fx.argmax(F.col("z")).alias("best"))
 
 
 @query("SELECT vec_id, 3 * len(embedding) AS dims, round(list_sum(CAST(embedding AS DOUBLE[])) * 2, 5) AS entity_sum FROM embeddings")

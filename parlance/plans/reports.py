@@ -67,6 +67,60 @@ def key_comparison(values: DataFrame, a: str, b: str, v: str = "acc") -> DataFra
     return signs.join(metrics.direction(signs, ["condition"]), "condition")
 
 
+#: The differences of the key comparison: name, regime, measure.  Each is the regime minus joint.
+KEY_DELTAS = [("replay", "replay", "f1"), ("bal", "joint_balanced", "f1"), ("share_replay", "replay", "share"), ("share_bal", "joint_balanced", "share")]
+
+
+def key_table(values: DataFrame, needed: int = 2, least: float = schema.REAL_DIFFERENCE) -> DataFrame:
+    """The key comparison, all four differences at once: a row a condition and seed, and a summary row (seed null) a condition.
+
+    ``values``: condition, regime, seed, replicate, f1, share.  Differences pair the runs of a replicate.  Of
+    each: ``delta_*`` of replicate 0, ``low_*`` and ``high_*`` over the replicates, ``sign_*`` (+1 or -1 if replicate 0
+    exceeds ``least`` and all replicates share one strict sign), and in the summary row ``rule_*``: the direction
+    in which ``needed`` seeds are real, ``none``, or null where the regime did not run.  Wide conditional sums
+    make all pairs in one shuffle, grouping sets both levels in another."""
+    one = lambda g, m: F.max(F.when(F.col("regime") == g, F.col(m)))
+    pairs = values.groupBy("condition", "seed", "replicate").agg(*[(one(g, m) - one("joint", m)).alias(n) for n, g, m in KEY_DELTAS])
+    first = lambda n: F.max(F.when(F.col("replicate") == 0, F.col(n)))
+    sign = lambda n: F.when(F.abs(first(n)) <= least, 0).when(F.min(n) > 0, 1).when(F.max(n) < 0, -1).otherwise(0)
+    cells = pairs.groupBy("condition", "seed").agg(*[c for n, _, _ in KEY_DELTAS for c in (first(n).alias(f"delta_{n}"), F.min(n).alias(f"low_{n}"), F.max(n).alias(f"high_{n}"), F.when(F.count(n) > 0, F.coalesce(sign(n), F.lit(0))).alias(f"sign_{n}"))])
+    whole = F.grouping("seed") == 1
+    rule = lambda n: F.when(F.count(f"sign_{n}") == 0, None).when(F.count_if(F.col(f"sign_{n}") == 1) >= needed, "real-positive").when(F.count_if(F.col(f"sign_{n}") == -1) >= needed, "real-negative").otherwise("none")
+    out = [F.when(~whole, F.max(f"{k}_{n}")).alias(f"{k}_{n}") for n, _, _ in KEY_DELTAS for k in ("delta", "low", "high", "sign")]
+    return cells.groupingSets([["condition", "seed"], ["condition"]], "condition", "seed").agg(*out, *[F.when(whole, rule(n)).alias(f"rule_{n}") for n, _, _ in KEY_DELTAS])
+
+
+def task_rows(rows: DataFrame, tasks: DataFrame, by: list[str], least: int = schema.MIN_EXAMPLES) -> DataFrame:
+    """Rows of a condition by task: *by, rows, per_task, task_share, min_share, thin.
+
+    ``rows``: *by, label; ``tasks``: label, task, a row a class, which is sent to the counts.  A row's task is that of
+    its training label; labels outside the split are left out.  per_task and task_share go by task; thin: the
+    classes of under ``least`` rows, those without any too, as ``label count``, by label."""
+    counts = rows.groupBy(*by, "label").agg(F.count("*").alias("n"))
+    grid = counts.select(*by).distinct().crossJoin(F.broadcast(tasks.select("label", "task")))  # a row a condition and class
+    cells = grid.join(counts, [*by, "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    per = cells.groupBy(*by, "task").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") < least, F.struct("label", F.concat_ws(" ", "label", "n").alias("t")))).alias("thin"))
+    out = per.groupBy(*by).agg(F.sum("n").alias("rows"), F.transform(F.array_sort(F.collect_list(F.struct("task", "n"))), lambda x: x["n"]).alias("per_task"), F.min("n").alias("_least"), F.array_sort(F.flatten(F.collect_list("thin"))).alias("_thin"))
+    share = F.transform("per_task", lambda n: F.try_divide(n, F.col("rows")))
+    return out.select(*by, "rows", "per_task", share.alias("task_share"), F.try_divide("_least", "rows").alias("min_share"), F.array_join(F.transform("_thin", lambda x: x["t"]), ", ").alias("thin"))
+
+
+def broad_check(train: DataFrame, pred: DataFrame, scores: DataFrame) -> DataFrame:
+    """Is one class over-predicted, and does replay change that: seed, broad, ratio, same_on_all_seeds, track, regime, share, gold_share, f1, minus_joint.
+
+    ``train``: seed, gold, teacher.  The broad class of a seed has the greatest ratio of teacher to gold rows (ties: the
+    smallest class).  ``pred``: seed, track, regime, gold, pred of test rows: share is its part of the predictions.
+    ``scores``: seed, track, regime, f1; minus_joint is taken from the joint run of the track."""
+    named = train.select("seed", F.explode(F.array(F.struct(F.col("gold").alias("label"), F.lit(1).alias("g"), F.lit(0).alias("t")), F.struct(F.col("teacher").alias("label"), F.lit(0).alias("g"), F.lit(1).alias("t")))).alias("c"))
+    ratio = named.groupBy("seed", "c.label").agg(F.sum("c.g").alias("g"), F.sum("c.t").alias("t")).where("g > 0").withColumn("ratio", F.col("t") / F.col("g"))
+    top = ratio.groupBy("seed").agg(F.max_by("label", F.struct("ratio", -F.col("label"))).alias("broad"), F.max("ratio").alias("ratio"))
+    alike = top.agg((F.count_distinct("broad") <= 1).alias("same_on_all_seeds"))
+    shares = pred.join(F.broadcast(top.select("seed", "broad")), "seed").groupBy("seed", "track", "regime").agg(F.avg((F.col("pred") == F.col("broad")).cast("double")).alias("share"), F.avg((F.col("gold") == F.col("broad")).cast("double")).alias("gold_share"))  # a row a seed
+    joint = scores.where("regime = 'joint'").select("seed", "track", F.col("f1").alias("joint_f1"))
+    met = shares.join(scores, ["seed", "track", "regime"], "left").join(joint, ["seed", "track"], "left")
+    return met.join(top, "seed").crossJoin(alike).select("seed", "broad", "ratio", "same_on_all_seeds", "track", "regime", "share", "gold_share", "f1", (F.col("f1") - F.col("joint_f1")).alias("minus_joint"))
+
+
 def analogous_drops(drops: DataFrame, pairs: DataFrame) -> DataFrame:
     """The drop of a pair is that of its earlier-learnt member; null within one task."""
     one = lambda s: drops.select(*[c for c in drops.columns if c not in ("label", "task", "drop", "first_f1", "final_f1")], F.col("label").alias(s), F.col("task").alias(f"task_{s}"), F.col("drop").alias(f"drop_{s}"))

@@ -99,15 +99,17 @@ def parse_srt(files: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def read_json_transcripts(spark: SparkSession, paths) -> DataFrame:
+    """Utterances of JSON files of one transcript each, on one line or several."""
     kind = "meeting_id STRING, audio_file STRING, duration DOUBLE, utterances ARRAY<STRUCT<speaker_id STRING, text STRING, start_time DOUBLE, end_time DOUBLE>>"
     rows = spark.read.schema(kind).json(paths, multiLine=True)
     return rows.select("meeting_id", F.posexplode("utterances").alias("seq", "u")).select("meeting_id", "seq", "u.speaker_id", "u.text", "u.start_time", "u.end_time")
 
 
 def write_json_transcripts(utterances: DataFrame, path: str) -> None:
+    """A file a meeting, in folders under ``path``."""
     row = F.struct("seq", "speaker_id", "text", "start_time", "end_time")
     out = utterances.groupBy("meeting_id").agg(F.coalesce(F.max("end_time"), F.lit(0.0)).alias("duration"), F.array_sort(F.collect_list(row)).alias("utterances"))
-    out.write.mode("overwrite").json(path)
+    out.withColumn("_meeting", F.col("meeting_id")).write.mode("overwrite").partitionBy("_meeting").json(path)
 
 
 def read_transcripts(spark: SparkSession, paths, prefer_srt: bool = True, strict: bool = True) -> DataFrame:
@@ -130,17 +132,33 @@ def parse_ami(lines: DataFrame, seconds: float = schema.SECONDS_PER_TURN) -> Dat
     return out.withColumn("text", fx.strip("text")).where("text <> ''")
 
 
-def read_ami_jsonl(spark: SparkSession, path: str, prefix: str = "ami_", limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, no (from 1), line of text files of any size: files are read in splits, line by line.
+
+    A split's lines come in order; a line's number is its place in its split, and the lines of the splits
+    before it.  Only a row a split is counted, so no task and no string holds a file."""
+    raw = spark.read.text(paths)
+    meta = raw.metadataColumn("_metadata")
+    rows = raw.select(meta.getField("file_path").alias("path"), meta.getField("file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    splits = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(F.col("path").alias("of"), F.col("block").alias("from"), (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    met = rows.join(splits, (F.col("path") == F.col("of")) & (F.col("block") == F.col("from")))
+    no = F.col("at") + F.col("shift")
+    return met.select("path", no.alias("no"), F.when(no == 1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line")).alias("line"))
+
+
+def read_ami_jsonl(spark: SparkSession, path: str, prefix: str = "ami_", limit: int | None = None, dialogue: str = "dialogue", id_: str = "id") -> tuple[DataFrame, DataFrame]:
     """(utterances, rejects) of one JSON object a line; malformed lines are set aside, not fatal.
 
-    A line is known by its file and number, counted from 1; an object without id is named by its number.
-    ``limit`` takes the first good lines by file and number.  Lines that do not fit one object are rejects."""
-    numbered = read_files(spark, path).select("path", F.posexplode(F.split("content", r"\r?\n")).alias("no", "line"))
-    raw = numbered.select("path", (F.col("no") + 1).alias("no"), "line").where(fx.strip("line") != "")
-    rows = raw.withColumn("j", F.from_json("line", "struct<id: string, dialogue: string>"))
-    rows = rows.withColumn("meeting_id", F.concat(F.lit(prefix), F.coalesce("j.id", F.col("no").cast("string"))))
+    Files are read line by line.  A line is known by its file and number, counted from 1; an object without id is
+    named by its number.  ``limit`` takes the first good lines by file and number.  Lines that do not fit one
+    object, and those without a turn, are rejects."""
+    raw = numbered_lines(spark, path).where(fx.strip("line") != "")
+    rows = raw.withColumn("j", F.from_json("line", f"struct<`{id_}`: string, `{dialogue}`: string>"))
+    rows = rows.withColumn("meeting_id", F.concat(F.lit(prefix), F.coalesce(F.col("j").getField(id_), F.col("no").cast("string"))))
     key = F.struct("path", "no")
-    lines = rows.select(key.alias("meeting_id"), F.posexplode(F.split(F.coalesce("j.dialogue", F.lit("")), r"\r?\n")).alias("pos", "raw")).select("meeting_id", "pos", fx.strip("raw").alias("line")).where("line <> ''")
+    lines = rows.select(key.alias("meeting_id"), F.posexplode(F.split(F.coalesce(F.col("j").getField(dialogue), F.lit("")), r"\r?\n")).alias("pos", "raw")).select("meeting_id", "pos", fx.strip("raw").alias("line")).where("line <> ''")
     out = parse_ami(lines).withColumnRenamed("meeting_id", "of")
     good = out.select("of.path", "of.no").distinct()
     taken = good if limit is None else good.orderBy("path", "no").limit(limit)

@@ -15,6 +15,24 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     main(["ask", str(tmp_path / "triples_*.json"), "ann", "--dates", str(tmp_path / "dates.json")])
     out = capsys.readouterr().out
     assert "2026-01-05 00:01:00" in out and "attempt 1" in out
+    main(["ask", str(tmp_path / "triples_*.json"), "ann", "--relation", "haeds"])
+    out = capsys.readouterr().out
+    assert "Ann -[heads]-> CSE" in out and "attempt 2 (attempt 1 failed: unknown relation haeds)" in out
+
+
+def test_run_command(spark, tmp_path, capsys):
+    (tmp_path / "m1.txt").write_text("Speaker 0: Hi\nSpeaker 1: Yo\nSpeaker 0: Bye")
+    (tmp_path / "m2.txt").write_text("Speaker 3: Alone")
+    (tmp_path / "roster.json").write_text(json.dumps({"m1": ["Ann Roy", "Bob Sen"]}))
+    (tmp_path / "answers.jsonl").write_text(json.dumps({"meeting_id": "m1", "speaker_id": "SPEAKER_00", "name": "ann roy"}))
+    (tmp_path / "dates.json").write_text(json.dumps({"m1": {"date": "2026-01-05"}}))
+    main(["run", str(tmp_path / "m1.txt"), str(tmp_path / "m2.txt"), "--out", str(tmp_path / "out"), "--roster", str(tmp_path / "roster.json"), "--answers", str(tmp_path / "answers.jsonl"), "--dates", str(tmp_path / "dates.json")])
+    out = capsys.readouterr().out
+    assert "| 2 | 2 | 0 | 1 |" in out  # windows, extracted, failed, empty
+    nodes, edges = sinks.read_graph(spark, str(tmp_path / "out/graph"))
+    assert {n.name for n in nodes.collect()} == {"Ann Roy", "Bob Sen"}
+    e = edges.collect()[0]
+    assert (e.src, e.type, e.dst, e.source_meeting, str(e.stated_at)) == ("Ann Roy", "discussed_with", "Bob Sen", "m1", "2026-01-05 00:00:00")
 
 
 def test_graph_commands(spark, tmp_path, capsys):
