@@ -365,6 +365,9 @@ class Generator:
         for _ in range(r.choice([1, 1, 2, 3, 4, 5, 6, 8])):
             k = r.random()
             text = self.prose()
+            if r.random() < 0.1:  # what articles hold besides paragraphs
+                out.append(self.piece(kept))
+                continue
             if r.random() < 0.2:
                 text = f"{text} <a href='/x'>{self.words(1, 3)}</a> {self.sentence()}"
             if k < 0.75:
@@ -381,6 +384,24 @@ class Generator:
                 out.append(self.junk(r.choice(["ad", "ad", "notice", "share", "related", "form", "comment", "nav"])))
         return "".join(out)
 
+    def piece(self, kept: str) -> str:
+        """A part of an article that is no plain paragraph: links by themselves, terms, tables, figures, code."""
+        r = self.r
+        rows, kind = r.randint(1, 4), r.choice(["link", "link", "links", "links", "links", "terms", "terms", "table", "figure", "code"])
+        if kind == "link":
+            return "".join(f"<p{kept}><a href='/x'>{r.choice([self.sentence(), self.words(2, 8)])}</a></p>" for _ in range(rows))
+        if kind == "links":
+            return f"<ul{kept}>" + "".join(f"<li{kept}><a href='/x'>{r.choice([self.sentence(), self.words(1, 3), self.words(2, 8)])}</a>{r.choice(['', '', ' ' + self.sentence()])}</li>" for _ in range(rows + 1)) + "</ul>"
+        if kind == "terms":
+            return f"<dl{kept}>" + "".join(f"<dt{kept}>{self.words(1, 4)}</dt><dd{kept}>{self.prose()}</dd>" for _ in range(rows)) + "</dl>"
+        if kind == "table":
+            cell = lambda tag: f"<{tag}{kept}>{r.choice([self.words(1, 4), str(r.randint(1, 9999)), self.sentence()])}</{tag}>"
+            line = lambda tag: f"<tr{kept}>" + "".join(cell(tag) for _ in range(3)) + "</tr>"
+            return f"<table{kept}>" + r.choice(["", line("th")]) + "".join(line("td") for _ in range(rows)) + "</table>"
+        if kind == "figure":
+            return f"<figure{kept}><img src=x><figcaption{kept}>{self.sentence()}</figcaption></figure>"
+        return f"<pre{kept}>{self.words(3, 20)}</pre>"
+
     def junk(self, kind: str) -> str:
         r = self.r
         link = lambda: f"<a href='/{self.words(1, 1)}'>{self.words(1, 3)}</a>"

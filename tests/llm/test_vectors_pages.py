@@ -134,6 +134,27 @@ PAGES = [
 ]
 
 
+LONG = "The first sentence of the article, which is quite long."
+MENU = "<nav class='menu'><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li><li><a href='/c'>About us</a></li></ul></nav>"
+FOOT = "<footer class='footer'>&copy; Site &middot; <a href='/i'>Imprint</a></footer>"
+
+
+@pytest.mark.parametrize(
+    ("body", "blocks"),
+    [  # pages by hand, of a form that the generator does not write
+        ("<h1>Links</h1><p><a href='/1'>See the first report</a></p><p><a href='/2'>See the second report</a></p><p>Both are worth reading.</p>", ["Links", "See the first report", "See the second report", "Both are worth reading."]),
+        (f"<h1>Terms</h1><p>{LONG}</p><dl><dt>Term</dt><dd>What the term means here.</dd><dt>Other</dt><dd>Something else.</dd></dl>", ["Terms", LONG, "Term", "What the term means here.", "Other", "Something else."]),
+        (f"<h1>Table</h1><p>{LONG}</p><table><tr><th>Year</th><th>Sum</th></tr><tr><td>2021</td><td>17</td></tr></table><p>The table ends.</p>", ["Table", LONG, "Year", "Sum", "2021", "17", "The table ends."]),
+        (f"<h1>Picture</h1><p>{LONG}</p><figure><img src='x.png'><figcaption>A house in spring.</figcaption></figure><p>More words follow it.</p>", ["Picture", LONG, "A house in spring.", "More words follow it."]),
+        (f"<h1>Code</h1><p>{LONG}</p><pre>x = 1\ny = 2</pre><p>It ends here.</p>", ["Code", LONG, "x = 1 y = 2", "It ends here."]),
+        (f"<h1>List</h1><p>{LONG}</p><ul><li><a href='/1'>The whole report</a></li><li><a href='/2'>Its annex</a></li></ul><p>Read both of them.</p>", ["List", LONG, "The whole report", "Its annex", "Read both of them."]),
+    ],
+)
+def test_articles_keep_their_parts(body, blocks):
+    for page in (f"<html><body>{MENU}<article>{body}</article>{FOOT}</body></html>", f"<html><body>{MENU}<main><div class='content'>{body}</div></main>{FOOT}</body></html>"):
+        assert html_extract.main_texts([page], html_extract.train()) == ["\n".join(blocks)]
+
+
 def test_html_extraction(spark):
     df = spark.createDataFrame([(*p[:3], "x", 1) for p in PAGES] + [(None, "u", PAGES[0][2], "x", 1)], "page_id long, url string, html string, text string, n_chars int")
     got = {r.page_id: r for r in html_extract.extract_pages(df).collect()}
