@@ -34,6 +34,8 @@ KINDS = ("assign", "access", "hex", "named")
 #: How sensitive a word of a name is; a name's score is its best word's, or its best pair's.
 WORD_SCORE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "credential": 0.9, "credentials": 0.9, "token": 0.9, "apikey": 1.0, "bearer": 0.8, "auth": 0.6, "passcode": 0.9}
 PAIR_SCORE = {("api", "key"): 1.0, ("access", "key"): 0.9, ("private", "key"): 0.9, ("signing", "key"): 0.8, ("encryption", "key"): 0.8, ("account", "key"): 0.8, ("shared", "key"): 0.8}
+#: Words that are sensitive only at a name's end (DB_PASS, not pass_count).
+LAST_SCORE = {"pass": 0.9}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|changeme|example|placeholder|your.*|none|null|nil|true|false|todo|test|undefined|\$\{.*\}|\$\w+|<.*>|%\w+%)$")
 LEAST_SCORE, LEAST_LENGTH = 0.5, 6
 
@@ -44,7 +46,10 @@ _LEXER = re.compile(rf"""(?P<string>{_QUOTE}(?:"(?!"")(?:[^"\\\n]|\\.)*+"|""(?!"
 _ENDS = {'"""': '"""', "'''": "'''", "/*": "*/", "<!--": "-->"}
 _BARE = re.compile(r"""[A-Za-z0-9+/_.\-]++(?:={1,2}(?![A-Za-z0-9+/_."'=\-]))?""")
 _GAP = re.compile(r"[ \t]*(?:\\\r?\n[ \t]*)?")
-_JOIN = re.compile(r"[ \t]*(?:\+|\.(?=[ \t])|&)?[ \t]*(?:\\\r?\n[ \t]*)?")
+_JOIN = re.compile(r"[ \t]*(?:\+|\.(?=[ \t])|&|\|\||\?\?|(?<=[ \t)\]'\"])or(?=[ \t]))?[ \t]*(?:\\\r?\n[ \t]*)?")
+_BORDER = re.compile(r"[<>{}\n;]")
+#: What follows a passphrase's first word on its line: more words, up to the line's end.
+_MORE_WORDS = re.compile(r"(?: [A-Za-z0-9]+){1,11}(?=[ \t]*\r?(?:\n|$))")
 _CALL = re.compile(r"([A-Za-z_][\w.]*+)\(")
 _LOOKUP = re.compile(r"(?i)(?:get|getenv|env|environ|lookup|fetch)$")
 _SCALAR = re.compile(r"[ \t]*[|>][+-]?[ \t]*\r?\n")
@@ -59,7 +64,8 @@ def name_score(name: str) -> float:
     """How sensitive a target name is, from the words in it (snake, kebab, dotted or camel case)."""
     words = [w.lower() for w in _WORDS.findall(name)]
     pairs = (PAIR_SCORE.get(p, 0.0) for p in zip(words, words[1:]))
-    return max([0.0, *(WORD_SCORE.get(w, 0.0) for w in words), *pairs])
+    last = LAST_SCORE.get(words[-1], 0.0) if words else 0.0
+    return max([last, *(WORD_SCORE.get(w, 0.0) for w in words), *pairs])
 
 
 def literal_score(value: str) -> float:
@@ -136,7 +142,7 @@ def _value(text: str, at: int, strings, stop: int) -> tuple[list[tuple[int, int]
         return ([(lo, hi)] if lo is not None else []), [], False
     spans: list[tuple[int, int]] = []
     names: list[str] = []
-    last, terms, p = (0, 0), 0, _GAP.match(text, at).end()
+    last, terms, looked, p = (0, 0), 0, False, _GAP.match(text, at).end()
     while p < len(text):
         call = _CALL.match(text, p)
         if p in strings or (text[p] in "rbufRBUF" and (q := next((k for k in (p + 1, p + 2) if k in strings), None)) is not None):
@@ -154,8 +160,12 @@ def _value(text: str, at: int, strings, stop: int) -> tuple[list[tuple[int, int]
                     p += 1
             p += 1
         elif word := _BARE.match(text, p):
-            names.append(word[0])
-            last, p = word.span(), word.end()
+            p = word.end()
+            if text[p : p + 1] == "[" and 0 < (close := text.find("]", p, stop if stop > p else len(text))) and "\n" not in text[p:close]:
+                p, looked = close + 1, True  # the value at a key, which is no literal
+            else:
+                names.append(word[0])
+                last = word.span()
         else:
             break
         terms += 1
@@ -163,10 +173,17 @@ def _value(text: str, at: int, strings, stop: int) -> tuple[list[tuple[int, int]
         if join.end() == p or not join[0].strip(" \t\\\r\n") and join.end() not in strings:
             break
         p = join.end()
-    bare = terms == 1 and bool(names)  # a value of configuration syntax, unless it is a constant
+    bare = terms == 1 and bool(names) and not looked  # a value of configuration syntax, unless it is a constant
     return spans + [last] * bare, names, bare
 
 
+def _borders(text: str, strings) -> list[int]:
+    """Where elements, objects, lines and statements begin or end, strings aside."""
+    opening = sorted(strings)
+    inside = lambda at: (k := bisect_left(opening, at + 1)) > 0 and at < strings[opening[k - 1]][2]
+    return [m.start() for m in _BORDER.finditer(text) if not inside(m.start())]
+
+
 def named_literals(text: str) -> list[tuple[str, int, int, float]]:
     """(target name, start, end, score) of each literal that reaches a sensitive name."""
     if not _SENSITIVE.search(text):
@@ -176,6 +193,7 @@ def named_literals(text: str) -> list[tuple[str, int, int, float]]:
     made: list[list] = []
     of: dict[str, list[int]] = {}
     beside: dict[str, tuple[int, int, int]] = {}
+    borders: list[int] | None = None
     stops = [lo for lo, *_ in operators[1:]] + [len(text)]
     for (lo, hi, rest), stop in zip(operators, stops):
         name = _target(text, rest, lo, strings, ends)
@@ -186,13 +204,16 @@ def named_literals(text: str) -> list[tuple[str, int, int, float]]:
             continue
         of.setdefault(name, []).append(len(made))
         made.append([name, spans, names, 0.0, bare])
+        if bare and text[lo] == ":" and "passphrase" in name.lower() and (more := _MORE_WORDS.match(text, spans[0][1])):
+            made[-1][1], made[-1][2], made[-1][4] = [(spans[0][0], more.end())], [], False  # several words are one value
         kind = "key" if name.lower() in _KEYS else "value" if name.lower() in _VALUES else ""
         if kind and len(spans) == 1:
             beside[kind] = (*spans[0], lo)
             if len(beside) == 2:
                 (a, b, p), value = beside["key"], beside["value"]
-                first, last = min(b, value[1]), max(p, value[2])
-                if last - first < 200 and not any(c in text[first:last] for c in "<>{}\n;"):
+                if borders is None:
+                    borders = _borders(text, strings)
+                if bisect_left(borders, min(b, value[1])) == bisect_left(borders, max(p, value[2])):
                     made.append([text[a:b], [value[:2]], [], 0.0, False])
                     beside.clear()
     for m in _ELEMENT.finditer(text):
@@ -201,6 +222,7 @@ def named_literals(text: str) -> list[tuple[str, int, int, float]]:
             lo = m.start(2) + m[2].index(body)
             made.append([m[1], [(lo, lo + len(body))], [], 0.0, False])
     found: dict[tuple[int, int], tuple[str, float]] = {}
+    passed: dict[tuple[str, float], int] = {}  # definitions of a name that a weight has reached
     for k, (name, *_) in enumerate(made):
         weight = name_score(name)
         reached = [k] if weight else []
@@ -213,9 +235,11 @@ def named_literals(text: str) -> list[tuple[str, int, int, float]]:
             parts = []
             for x in names:
                 defined = of.get(x)
-                if defined:  # the last definition before this one, or else the first one after it
-                    before = bisect_left(defined, i) - 1
-                    parts.append(defined[max(before, 0)])
+                if defined:  # the definitions before this one (branches have several), or else the first one after it
+                    before = max(bisect_left(defined, i), 1)
+                    parts.append(defined[before - 1])
+                    parts += defined[passed.get((x, weight), 0) : before - 1]
+                    passed[x, weight] = max(passed.get((x, weight), 0), before - 1)
             reached += [x for x in parts if x != i]
             if bare and parts and parts[0] != i:
                 spans = []  # the bare word is a constant
