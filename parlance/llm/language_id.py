@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import map_arrow, prepare, read_table
+from .common import map_arrow, prepare, read_table, stored
 
 #: Hash buckets of trigrams; expected training documents of a language; pseudo-count of a bucket.
 BUCKETS, PER_LANGUAGE, SMOOTH = 1 << 15, 2000, 0.5
-#: Most languages of a model: rarer values of ``lang`` (misspelt ones, say) are not learnt.  Ties go by code point.
-LANGUAGES = 256
+#: Expected training documents of all languages together: with very many languages, each gets fewer of them.
+ROWS = 1_000_000
+#: Languages up to which a model is held as a full table; beyond, only the buckets that a language has are held.
+DENSE = 256
 #: EM rounds, and the penalty of each further language in units of log(n)/2 (trigrams overlap and
 #: repeat, so n counts far more evidence than there is).
 ROUNDS, PENALTY = 25, 12.0
@@ -43,12 +45,33 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Mixture:
-    """Languages and their trigram distributions (a row a language)."""
+    """Languages and their trigram distributions: ``counts`` holds (buckets, counts) of each language."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    def __init__(self, languages: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
         self.languages = languages
-        p = counts + SMOOTH
-        self.p = (p / p.sum(1, keepdims=True)).astype(np.float64)
+        self.total = np.array([n.sum() for _, n in counts], dtype=np.float64) + SMOOTH * BUCKETS
+        self.p: np.ndarray | None = None
+        if len(languages) <= DENSE:
+            self.p = np.full((len(languages), BUCKETS), SMOOTH)
+            for row, (at, n) in zip(self.p, counts):
+                row[at] += n
+            self.p /= self.total[:, None]
+            return
+        bucket = np.concatenate([at for at, _ in counts])
+        order = np.argsort(bucket, kind="stable")
+        self.language = np.repeat(np.arange(len(counts), dtype=np.int32), [len(at) for at, _ in counts])[order]
+        self.count = np.concatenate([n for _, n in counts])[order].astype(np.float32)
+        self.first = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """The probabilities of buckets ``at``, a row a language."""
+        if self.p is not None:
+            return self.p[:, at]
+        p = np.full((len(self.languages), len(at)), SMOOTH)
+        for k, bucket in enumerate(at):
+            lo, hi = self.first[bucket], self.first[bucket + 1]
+            p[self.language[lo:hi], k] += self.count[lo:hi]
+        return p / self.total[:, None]
 
     @staticmethod
     def _em(p: np.ndarray, n: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
@@ -68,7 +91,7 @@ class Mixture:
         at, n = trigrams(text)
         if not len(at):
             return {}
-        p = self.p[:, at]
+        p = self.rows(at)
         pi, _ = self._em(p, n, ROUNDS)
         order = np.argsort(-pi, kind="stable")
         cost = PENALTY * 0.5 * np.log(max(n.sum(), 2))
@@ -89,20 +112,18 @@ class Mixture:
         return lang, min(1.0, share[lang])
 
 
-def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int = PER_LANGUAGE) -> Mixture:
-    """Fit on a sample with about ``per_language`` documents of each language, chosen by their ids' hash.
+def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int = PER_LANGUAGE, most: int = ROWS) -> Mixture:
+    """Fit on a sample with about ``per_language`` documents of each language, and ``most`` of all, chosen by their ids' hash.
 
-    The LANGUAGES most frequent values of ``lang`` are learnt.  Of languages with equal proportions the
-    first by code point is predicted."""
+    Every value of ``lang`` is learnt, however rare: the sample takes all documents of a rare one.  Counts are
+    summed on the executors; the driver gets a row a language.  Of languages with equal proportions the first
+    by code point is predicted."""
+    prepare(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL AND id IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    languages = sorted(sizes)
-    if not languages:
-        return Mixture([], np.zeros((0, BUCKETS)))
-    share = F.lit(0)
-    for lang in languages:
-        share = F.when(F.col("lang") == lang, int(min(1.0, per_language / sizes[lang]) * (1 << 30))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share)
+    sizes = stored(rows.groupBy("lang").agg(F.count("*").alias("size")).select(F.col("lang").alias("of"), "size"))  # its size on disk tells Spark whether to send it
+    each = min(per_language, max(1, most // max(1, sizes.count())))
+    share = (F.least(F.lit(1.0), F.lit(float(each)) / F.col("size")) * (1 << 30)).cast("long")
+    sample = rows.join(sizes, F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share)
 
     def count(batches):
         for b in batches:
@@ -114,11 +135,10 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, per_la
                 at = np.flatnonzero(v)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(v[at])], names=["lang", "bucket", "n"])
 
-    rows = map_arrow(sample.select("text", "lang"), count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = np.zeros((len(languages), BUCKETS))
-    for r in rows.collect():  # at most BUCKETS rows a language
-        counts[languages.index(r["lang"]), r["bucket"]] = r["n"]
-    return Mixture(languages, counts)
+    counts = map_arrow(sample.select("text", "lang"), count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    packed = counts.groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n")).join(sizes, F.col("lang") == F.col("of"), "right")
+    found = sorted(((r["of"], np.array(r["at"] or [], dtype=np.int64), np.array(r["n"] or [], dtype=np.float64)) for r in packed.collect()), key=lambda x: x[0])  # a row a language, of BUCKETS numbers at most
+    return Mixture([f[0] for f in found], [f[1:] for f in found])
 
 
 def held_out(id_col: str = "doc_id"):
