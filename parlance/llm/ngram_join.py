@@ -24,6 +24,8 @@ Plan
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -254,33 +256,66 @@ def _emit(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
 
-def _join_runs(groups, percent: int):
-    """Self-join of each chunk's members, and of its probes with its members, inside one task."""
-    for table, bound in groups:
-        ids, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
-        probe = table.column("probe").to_numpy(zero_copy_only=False)
-        sets = table.column("grams").combine_chunks()
-        pairs: list[tuple[int, int]] = []
-        for lo, hi in zip(bound[:-1], bound[1:]):
-            if hi - lo < 2:
-                continue
-            s = [np.frombuffer(sets[int(i)].as_buffer(), dtype=np.uint64) for i in range(lo, hi)]
-            members = [i for i in range(hi - lo) if not probe[lo + i]]
-            if not members:
-                continue
-            tree, forest = CountTree([s[i] for i in members], percent), Forest(hi - lo)
-            known: dict[int, int] = {}
-            for i in range(hi - lo):  # what an earlier round joined is joined here too
-                c = int(comp[lo + i])
-                forest.join(i, known.setdefault(c, i))
-            for i in range(hi - lo):
-                for j in tree.search(tree.point(s[i]), len(s[i])):
-                    j = members[j]
-                    if (probe[lo + i] or j < i) and forest.find(i) != forest.find(j) and linked(s[i], s[j], percent):
-                        forest.join(i, j)
-                        pairs.append((int(ids[lo + i]), int(ids[lo + j])))
-        if pairs:
+class Chunk:
+    """The members of a chunk in a tree, past which its probes stream; sets that are known to be one component are joined already."""
+
+    def __init__(self, percent: int):
+        self.percent, self.members, self.forest, self.known, self.tree = percent, [], Forest(0), {}, None
+
+    def _seat(self, comp: int) -> int:
+        """A place in the forest, joined to what an earlier round has joined it with."""
+        at = len(self.forest.up)
+        self.forest.up.append(at)
+        self.forest.join(at, self.known.setdefault(comp, at))
+        return at
+
+    def _search(self, at: int, node: int, grams: np.ndarray, before: int) -> Iterator[tuple[int, int]]:
+        for j in self.tree.search(self.tree.point(grams), len(grams)):
+            other, seat, theirs = self.members[j]
+            if j < before and self.forest.find(at) != self.forest.find(seat) and linked(grams, theirs, self.percent):
+                self.forest.join(at, seat)
+                yield node, other
+
+    def add(self, node: int, comp: int, grams: np.ndarray) -> None:
+        self.members.append((node, self._seat(comp), grams))
+
+    def close(self) -> Iterator[tuple[int, int]]:
+        """Build the tree when all members are there, and join them with one another."""
+        if self.tree is None and len(self.members):
+            self.tree = CountTree([g for *_, g in self.members], self.percent)
+            for i, (node, seat, grams) in enumerate(self.members):
+                yield from self._search(seat, node, grams, i)
+
+    def probe(self, node: int, comp: int, grams: np.ndarray) -> Iterator[tuple[int, int]]:
+        yield from self.close()
+        if self.tree is not None:
+            yield from self._search(self._seat(comp), node, grams, len(self.members))
+
+
+def _join_stream(batches, percent: int):
+    """Self-join of each chunk's members, and of its probes with its members, inside one task.
+
+    Rows come by chunk, members before probes: a chunk's members are held, which are bounded, and its probes,
+    which are not, are dropped one by one."""
+    now, chunk, pairs = None, Chunk(percent), []
+    for b in batches:
+        component, number, probe, node, comp = (b.column(c).to_pylist() for c in ("component", "chunk", "probe", "node", "comp"))
+        grams = b.column("grams")
+        for i, key in enumerate(zip(component, number)):
+            if key != now:
+                pairs.extend(chunk.close())
+                now, chunk = key, Chunk(percent)
+            s = np.frombuffer(grams[i].as_buffer(), dtype=np.uint64)
+            if probe[i]:
+                pairs.extend(chunk.probe(node[i], comp[i], s))
+            else:
+                chunk.add(node[i], comp[i], s.copy())
+        if len(pairs) >= 10_000:
             yield _emit(pairs)
+            pairs = []
+    pairs.extend(chunk.close())
+    if pairs:
+        yield _emit(pairs)
 
 
 def _deal_again(batches, salt: int, percent: int):
@@ -397,7 +432,8 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         """Deal rows with their sets to seats (chunk, probe) and join each chunk with itself and its probes."""
         rows = rows.select("component", F.explode(seat).alias("seat"), F.col("rep").alias("node"), "comp", "grams")
         rows = rows.select("component", "seat.chunk", "seat.probe", "node", "comp", "grams")
-        return by_runs(rows, ["component", "chunk"], ["probe", "node"], lambda g: _join_runs(g, percent), "a long, b long")
+        rows = rows.repartition("component", "chunk").sortWithinPartitions("component", "chunk", "probe", "node")
+        return map_arrow(rows, lambda batches: _join_stream(batches, percent), "a long, b long")
 
     at = lambda chunk, probe: F.struct(chunk.cast("int").alias("chunk"), F.lit(probe).alias("probe"))
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
@@ -431,10 +467,18 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
                 break
             dealt = map_arrow(find(open_).select("component", "fp", "rep", "comp", "grams"), lambda batches: _deal_again(batches, deal + 1, percent), "component long, fp long, rep long, comp long").checkpoint()
             open_ = dealt.join(_summed(dealt).where("kinds > 1").select("component"), "component", "left_semi").checkpoint()
+    # the sets of an id that has several texts are one document's
+    several = feats.where("id IS NOT NULL").groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select(F.col("id").alias("of_id")).checkpoint()
+    own = feats.join(several, F.col("id") == F.col("of_id"), "left_semi").where("n > 0").join(reps, ["fp", "n"]).select(F.col("id").alias("of_id"), "rep").distinct().checkpoint()
+    hubs = own.groupBy("of_id").agg(F.min("rep").alias("hub"))
+    links = links.union(own.join(hubs, "of_id").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")))
     final = connected_components(links).withColumnRenamed("component", "comp_")
     answer = reps.join(final, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("of"), F.col("n").alias("of_n"), F.coalesce("comp_", "rep").alias("component_id")).checkpoint()
     out = feats.join(answer, (F.col("fp") == F.col("of")) & (F.col("n") == F.col("of_n")), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    # a row without shingles whose id has other rows goes with them
+    named = own.join(final, F.col("rep") == F.col("node"), "left").groupBy("of_id").agg(F.min(F.coalesce("comp_", "rep")).alias("id_component"))
+    out = out.join(named, F.col("id") == F.col("of_id"), "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id_component", "id")).alias("component_id"))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

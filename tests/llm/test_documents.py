@@ -78,6 +78,39 @@ def near_copies(n, seed=1):
     return rows
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    x, y = " ".join(WORDS), " ".join(reversed(WORDS))
+    rows = [(1, x, "en", "a"), (7, x, "en", "a"), (3, y, "en", "a"), (7, y, "en", "a"), (7, None, "en", "a"), (9, None, "en", "a"), (8, "lone words of its own make no link", "en", "a"), (8, "", "en", "a"), (None, x, "en", "a")]
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.ngram_jaccard_components(frame(spark, rows)).collect())
+    assert got == [(0, 0), (1, 1), (3, 1), (7, 1), (7, 1), (7, 1), (8, 8), (8, 8), (9, 9)]
+
+
+def test_probes_stream_past_the_members():
+    """Members alone are held; probes join them in whatever batches they come."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    base = [np.unique(r.integers(0, 1 << 60, 60).astype(np.uint64)) for _ in range(6)]
+    near = lambda s: np.unique(np.concatenate([s[2:], r.integers(0, 1 << 60, 2).astype(np.uint64)]))
+    rows = [(0, 0, False, k, k, s) for k, s in enumerate(base)] + [(0, 0, True, 10 + k, 10 + k, near(base[k % 6]) if k % 3 else near(near(near(near(base[k % 6]))))) for k in range(40)] + [(0, 1, True, 99, 99, base[0]), (1, 0, False, 60, 60, base[1]), (1, 0, False, 61, 61, near(base[1]))]
+    want = {(61, 60)} | {(n, m) for c, k, probe, n, _, s in rows if probe and (c, k) == (0, 0) for m, t in enumerate(base) if ngram_join.linked(s, t)}
+    assert len(want) > 20
+    for size in (1, 7, 100):
+        batches = []
+        for lo in range(0, len(rows), size):
+            part = rows[lo : lo + size]
+            cols = list(zip(*part))
+            batches.append(pa.RecordBatch.from_arrays([pa.array(c) for c in cols[:5]] + [pa.array([s.tobytes() for s in cols[5]], pa.binary())], names=["component", "chunk", "probe", "node", "comp", "grams"]))
+        got = {tuple(x.values()) for b in ngram_join._join_stream(iter(batches), 85) for x in b.to_pylist()}
+        assert got == want
+    chunk = ngram_join.Chunk(85)
+    for k, s in enumerate(base):
+        chunk.add(k, k, s)
+    for k in range(500):
+        list(chunk.probe(100 + k, 100 + k, near(base[0])))
+    assert len(chunk.members) == 6
+
+
 def test_ngram_join_splits_large_clusters(spark, monkeypatch):
     rows = near_copies(150)
     monkeypatch.setattr(ngram_join, "CHUNK_MEMBERS", 16)
@@ -265,6 +298,28 @@ def test_lexer_reads_syntax(text, literals):
     assert [text[lo:hi] for _, lo, hi, _ in secret_scan.named_literals(text)] == literals
 
 
+@pytest.mark.parametrize(
+    ("text", "literals"),
+    [
+        ('<add key="DbPassword" note="' + "n" * 100_000 + '" value="zebra91xq"/>', ["zebra91xq"]), ('<add key="DbPassword" note="a;b{c}<d>" value="zebra91xq"/>', ["zebra91xq"]), ('<add key="DbPassword"/><add value="zebra91xq"/>', []),
+        ("DB_PASS=zebra91xq", ["zebra91xq"]), ("pass_count = zebra91xq", []), ("passphrase: correct horse battery\nnext: 1", ["correct horse battery"]), ("passphrase: correct", ["correct"]),
+        ("client_secret = os.environ['X'] or 'fallback9911'", ["fallback9911"]), ("secret = cfg['a'] || \"fallback9911\"", ["fallback9911"]), ("secret = table['key99long']", []),
+        ("if a:\n  k1 = 'first99one'\nelse:\n  k1 = 'second99two'\npassword = k1", ["first99one", "second99two"]),
+    ],
+)
+def test_lexer_pairs_whole_elements_and_reads_fallbacks(text, literals):
+    assert [text[lo:hi] for _, lo, hi, _ in secret_scan.named_literals(text)] == literals
+
+
+def test_pairs_and_constants_stay_linear():
+    import time
+
+    for text in ('key="token" ' + 'x = 1; value="zebra91xq" ' * 20_000, "k = 'abc99xyz'\npassword = k\n" * 20_000, "".join(f"k = 'abc99xyz{i}'\n" for i in range(20_000)) + "password = k\ntoken = k\n" * 5000):
+        began = time.time()
+        secret_scan.named_literals(text)
+        assert time.time() - began < 15
+
+
 @pytest.mark.parametrize("form", ['"', "'", "\\'", '"""', "/*", "<!--", "=", "a=", "a:b ", "a='x' ", "f(", "a=f(", "a: |\n", "<a>x", "a=b+", "key='a' value=", "`", " #"])
 def test_lexer_is_linear(form):
     import time
@@ -554,10 +609,42 @@ def test_language_id_against_plain_loops(spark):
         assert set(got) == set(expected) and all(abs(got[x] - expected[x]) < 1e-6 for x in got)
 
 
-def test_rare_languages_are_not_learnt(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "LANGUAGES", 2)
-    rows = [(i, "some words here", lang, "a") for i, lang in enumerate(["en"] * 9 + ["fr"] * 9 + ["xx"] * 3)]
-    assert language_id.fit(frame(spark, rows)).languages == ["en", "fr"]
+def test_many_languages_are_learnt(spark, monkeypatch):
+    """400 values of lang, most with one document: none is left out, and a sparse model infers what a full one does."""
+    r = np.random.default_rng(8)
+    words = {f"x{k:03d}": ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(4)] for k in range(400)}
+    rows = [(3 * k, " ".join(w * 5), lang, "a") for k, (lang, w) in enumerate(words.items())] + [(3 * k + 3000, " ".join(w * 9), "x000", "a") for k, w in enumerate([words["x000"]] * 50)]
+    rows = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 3 != 1]
+    known = sorted({x[2] for x in rows})
+    sparse = language_id.learn(frame(spark, rows), "text", "lang", "doc_id")
+    assert sparse.languages == known and len(known) > 250
+    assert sparse.p is None if len(known) > language_id.DENSE else True
+    monkeypatch.setattr(language_id, "DENSE", 1000)
+    full = language_id.learn(frame(spark, rows), "text", "lang", "doc_id")
+    for lang in known[::20]:
+        text = " ".join(words[lang] * 4)
+        assert full.best(text)[0] == lang
+        monkeypatch.setattr(language_id, "DENSE", 0)
+        at, _ = language_id.trigrams(text)
+        counts = [(np.flatnonzero(c > 1e-9), c[c > 1e-9]) for c in full.p * full.total[:, None] - language_id.SMOOTH]
+        assert np.allclose(language_id.Mixture(full.languages, counts).rows(at), full.rows(at))
+        monkeypatch.setattr(language_id, "DENSE", 1000)
+        break
+    monkeypatch.setattr(language_id, "DENSE", 0)
+    again = language_id.learn(frame(spark, rows), "text", "lang", "doc_id")
+    assert again.p is None
+    for lang in known[::20]:
+        text = " ".join(words[lang] * 4)
+        got, want = again.infer(text), full.infer(text)
+        assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-6 for x in got)
+
+
+def test_sample_of_all_languages_is_bounded(spark):
+    rows = [(k, "some words here", lang, "a") for k, lang in enumerate((["en"] * 900 + ["fr"] * 9) * 2)]
+    model = language_id.learn(frame(spark, rows), "text", "lang", "doc_id", most=100)
+    total = dict(zip(model.languages, model.total - language_id.SMOOTH * language_id.BUCKETS))
+    each = language_id.trigrams("some words here")[1].sum()
+    assert total["fr"] == each * 18 and each * 20 < total["en"] < each * 100
 
 
 def test_language_id_on_table(spark, sf_dir):
