@@ -7,11 +7,12 @@ it is owed.  Ordering by due times is the round-robin, and it needs no walk: due
 source and task, places from sums a slice of due time, so deficits carry over windows, partitions and
 machines alike.
 
-Two turns are offered.  *Whole documents* (``whole=True``, what the query takes): a turn gives one whole
-document, windows cut the stream where they end, and each source is ahead of or behind its share by
-about a document at most, in every prefix of the stream.  *Single tokens* (``whole=False``): every
-window holds the target proportions to the token, which cuts documents of small sources into a piece a
-window.  Rates default to the sources' own totals, so that all queues run dry together; with other rates
+Two turns are offered.  *Quanta* (``whole=False``, what the query takes): a source's quantum of a window is
+its share of the window's tokens; what rounding leaves it short of is its deficit, which the next windows
+make up for, so every window holds the target proportions to a token or so, and a document is cut into a piece
+a window.  *Whole documents* (``whole=True``): a turn gives one whole document, windows cut the stream where
+they end, and each source is ahead of or behind its share by about a document at most, in every prefix of
+the stream; fewer pieces, but only many windows together hold the proportions.  Rates default to the sources' own totals, so that all queues run dry together; with other rates
 a queue that has run dry leaves its share to the rest.
 """
 
@@ -262,4 +263,5 @@ def _deal_whole(rows: DataFrame, base: DataFrame, schedule: Schedule, names: lis
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"), whole=True)
+    """Every window to the corpus' own proportions."""
+    return pack(read_table(spark, sf_dir, "documents"))

@@ -457,14 +457,31 @@ def test_turns_carry_deficits(spark, monkeypatch, rates, slice_):
     assert all(x <= y * (1 + 1e-12) for x, y in zip(dues, dues[1:]))
 
 
-def test_packing_query_keeps_documents_together(spark, sf_dir):
+def test_packing_whole_documents_keeps_them_together(spark, sf_dir):
     docs = common.read_table(spark, sf_dir, "documents")
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
-    got = packing.op5_packing(spark, sf_dir).collect()
+    got = packing.pack(docs, whole=True).collect()
     check_packing(rows, got)
     assert len(got) < 3 * len(rows)
 
 
+def test_packing_query_fills_each_window_to_target(spark, sf_dir):
+    """No window's sources differ from the corpus mixture by more than a token each, and no deficit grows over windows."""
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in common.read_table(spark, sf_dir, "documents").collect()]
+    got = packing.op5_packing(spark, sf_dir).collect()
+    check_packing(rows, got)
+    source, total, by = {r[0]: r[3] for r in rows}, Counter(), defaultdict(Counter)
+    for r in got:
+        total[source[r.doc_id]] += r.length
+        by[r.sequence_id][source[r.doc_id]] += r.length
+    n, dealt, windows = sum(total.values()), Counter(), len(by)
+    for k in range(windows - 1):
+        dealt.update(by[k])
+        variation = sum(abs(by[k][s] / 2048 - total[s] / n) for s in total) / 2
+        assert variation < 0.01
+        assert all(abs(dealt[s] - 2048 * (k + 1) * total[s] / n) <= 2 for s in total)  # the deficit that is carried on
+
+
 def test_packing_keeps_the_mixture(spark, sf_dir):
     docs = common.read_table(spark, sf_dir, "documents")
     source = {r.doc_id: r.source for r in docs.collect()}
