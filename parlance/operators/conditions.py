@@ -74,6 +74,25 @@ def frozen(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> Dat
     return spark.read.parquet(path)
 
 
+def eval_sets(pairs: DataFrame, split: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts) of the evaluation sets of a task split, by gold labels alone.
+
+    ``pairs``: part (dev, test), dialogue, index, gold_relations and what else a row keeps; ``split``: relation, task,
+    head_index, a row a class, which is sent to the pairs.  Pairs of several labels are dropped, and so are those
+    whose label (none: unanswerable) the split lacks.  rows: the others with y (head index) and task.  counts: part, n_examples, per_task (by task, of all tasks of
+    the split), dropped_multilabel, dropped_class.  ``frozen`` keeps the rows for later runs."""
+    gold = F.coalesce(F.try_element_at("gold_relations", F.lit(1)), F.lit("unanswerable"))
+    kinds = F.broadcast(split.select(F.col("relation").alias("_r"), "task", F.col("head_index").alias("y")))
+    met = pairs.withColumn("_several", F.coalesce(F.size("gold_relations"), F.lit(0)) > 1).withColumn("_gold", gold).join(kinds, F.col("_gold") == F.col("_r"), "left")
+    used = ~F.col("_several") & F.col("y").isNotNull()
+    tasks = split.select("task").distinct()
+    counts = met.groupBy("part").agg(F.count_if(used).alias("n_examples"), F.count_if(F.col("_several")).alias("dropped_multilabel"), F.count_if(~F.col("_several") & F.col("y").isNull()).alias("dropped_class"))
+    n = met.where(used).groupBy("part", "task").agg(F.count("*").alias("n"))
+    per = met.select("part").distinct().crossJoin(F.broadcast(tasks)).join(n, ["part", "task"], "left")  # a row a part and task
+    per = per.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("task", F.coalesce("n", F.lit(0)).alias("n")))), lambda x: x["n"]).alias("per_task"))
+    return met.where(used).select(*pairs.columns, "y", "task"), counts.join(per, "part").select("part", "n_examples", "per_task", "dropped_multilabel", "dropped_class")
+
+
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows, with the side that has them, which one of two memories or conditions has and the other lacks."""
     return a.exceptAll(b).withColumn("side", F.lit("first")).union(b.exceptAll(a).withColumn("side", F.lit("second")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,15 @@ def merge_turns(lines: DataFrame, key: str, order: str, text: str, starts: Colum
     return out.select(key, "turn_no", F.size("rows").alias("n_lines"), F.array_join(F.transform("rows", lambda r: r[text]), " ").alias("text"))
 
 
+def turns_of(lines: Column, starts: Callable[[Column], Column]) -> Column:
+    """An array of (turn_no, n_lines, text) of an array of lines, as ``merge_turns`` makes of rows: no shuffle, as a text's lines are in its row.
+
+    ``starts`` tells whether a line begins a turn; lines before the first turn go."""
+    first = F.array_compact(F.transform(lines, lambda x, i: F.when(starts(x), i + 1)))
+    following = lambda k: F.coalesce(F.try_element_at(first, k + 2), F.size(lines) + 1)
+    return F.transform(first, lambda at, k: F.struct((k + 1).cast("long").alias("turn_no"), (following(k) - at).alias("n_lines"), F.array_join(F.slice(lines, at, following(k) - at), " ").alias("text")))
+
+
 def gap_sessions(rows: DataFrame, key: list[str], start: str, end: str, gap: float, tie: str) -> DataFrame:
     """Add session_no: a new session wherever start - previous end exceeds ``gap``."""
     w = Window.partitionBy(*key).orderBy(start, tie)

@@ -46,9 +46,9 @@ def transcript_duration(spark, sf_dir):
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE line <> '')
 WHERE turn_no > 0 GROUP BY ALL""")
 def turn_merge(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("line <> ''")
-    out = windows.merge_turns(lines, "doc_id", "pos", "line", F.lower(F.left("line", F.lit(1))).isin("t", "a", "d", "e", "l"))
-    return out.withColumn("n_lines", F.col("n_lines").cast("long"))
+    d = table(spark, sf_dir, "documents").withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x != ""))
+    turns = windows.turns_of(F.col("lines"), lambda x: F.lower(F.left(x, F.lit(1))).isin("t", "a", "d", "e", "l"))
+    return d.select("doc_id", F.inline(turns)).withColumn("n_lines", F.col("n_lines").cast("long"))
 
 
 @query("""SELECT user_id, session_no, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM (

@@ -67,6 +67,19 @@ def key_comparison(values: DataFrame, a: str, b: str, v: str = "acc") -> DataFra
     return signs.join(metrics.direction(signs, ["condition"]), "condition")
 
 
+def joint_report(train: DataFrame, pred: DataFrame, by: list[str]) -> DataFrame:
+    """The joint bound of each track: *by, train_rows, test_rows, accuracy, majority_accuracy, macro_f1, per_class.
+
+    ``train``: *by, label; ``pred``: *by, gold, pred of the test rows.  majority_accuracy: the share of the most frequent
+    gold class of the test rows; per_class: ``label f1`` to four places, by label."""
+    n = train.groupBy(*by).agg(F.count("*").alias("train_rows"))
+    most = pred.groupBy(*by, "gold").agg(F.count("*").alias("n")).groupBy(*by).agg((F.max("n") / F.sum("n")).alias("majority_accuracy"))
+    cell = F.struct("label", F.format_string("%s %.4f", F.col("label").cast("string"), F.col("f1")).alias("s"))
+    f1 = metrics.class_f1(pred, by).groupBy(*by).agg(F.avg("f1").alias("macro_f1"), F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["s"]), ", ").alias("per_class"))
+    out = metrics.accuracy(pred, by).withColumnRenamed("n", "test_rows").join(most, by).join(f1, by).join(n, by, "left")
+    return out.select(*by, F.coalesce("train_rows", F.lit(0)).alias("train_rows"), "test_rows", "accuracy", "majority_accuracy", "macro_f1", "per_class")
+
+
 #: The differences of the key comparison: name, regime, measure.  Each is the regime minus joint.
 KEY_DELTAS = [("replay", "replay", "f1"), ("bal", "joint_balanced", "f1"), ("share_replay", "replay", "share"), ("share_bal", "joint_balanced", "share")]
 

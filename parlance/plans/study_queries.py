@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..operators import conditions, graph, provenance, questions, teacher, tracks
+from ..operators import conditions, graph, provenance, questions, teacher, tracks, trainer
 from ..sources import blocks, runs, sinks, transcripts
 from ..sources.scratch import new_folder, stored
 from . import base, meetings, reports
 from .base import LABELS, query, table, utterances
 from .graph_queries import EDGES, _edges
-from .label_queries import INTER, KEPT
+from .label_queries import INTER, KEPT, _training
 from .report_queries import _RUNS, _runs
 
 # --- questions: a nation asks for items and users, with misspelt limits
@@ -317,3 +317,65 @@ def final_f1_report(spark, sf_dir):
     joint = r.groupBy("track", "seed").agg(F.max("v").alias("macro_f1"))
     out = reports.final_f1_table(final, joint)
     return out.select("track", "regime", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+
+
+@query("""SELECT count(*) FILTER (WHERE s = 0) AS hits, CAST(count(*) FILTER (WHERE s = 1) AS BIGINT) AS new, CAST(count(*) FILTER (WHERE s = 2) AS BIGINT) AS failed, any_value(labelled) AS labelled, any_value(dropped) AS multilabel_dropped, any_value(correct) AS correct, any_value(round(correct / labelled, 6)) AS agreement, any_value(used) AS types_used, any_value(absent) AS absent, any_value(thin) AS thin
+FROM (SELECT doc_id % 3 AS s FROM documents), (SELECT count(*) FILTER (WHERE NOT several) AS labelled, count(*) FILTER (WHERE several) AS dropped, count(*) FILTER (WHERE NOT several AND gold = teacher) AS correct, count(DISTINCT teacher) FILTER (WHERE NOT several) AS used FROM r),
+(SELECT string_agg('c' || k, ',' ORDER BY 'c' || k) AS absent FROM range(12) x(k) WHERE k NOT IN (SELECT teacher FROM r WHERE NOT several)), (SELECT coalesce(string_agg('c' || teacher, ',' ORDER BY 'c' || teacher), '') AS thin FROM (SELECT teacher FROM r WHERE NOT several GROUP BY 1 HAVING count(*) < 20))""", LABELS + ", r AS (SELECT *, row_id % 10 = 0 OR teacher = 4 AND row_id % 20 <> 1 AS several FROM l)")
+def labelling_report(spark, sf_dir):
+    """What a labelling run tells at its end: requests by their state, agreement with gold, absent and thin relations."""
+    name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
+    several = (F.col("row_id") % 10 == 0) | ((F.col("teacher") == 4) & (F.col("row_id") % 20 != 1))
+    rows = base.labels(spark, sf_dir).select(name("teacher").alias("relation"), several.alias("multilabel"), (F.col("gold") == F.col("teacher")).alias("teacher_correct"))
+    states = table(spark, sf_dir, "documents").select(F.element_at(F.array(F.lit("hit"), F.lit("new"), F.lit("failed")), (F.col("doc_id") % 3 + 1).cast("int")).alias("state"))
+    return teacher.labelling_report(rows, states, [f"c{k}" for k in range(12)]).withColumn("agreement", F.round("agreement", 6))
+
+
+_EVAL = LABELS + """, p AS (SELECT CASE WHEN row_id % 2 = 0 THEN 'dev' ELSE 'test' END AS part, row_id, gold, row_id % 7 = 0 AS several, row_id % 11 = 0 AS none FROM l),
+s AS (SELECT DISTINCT 'c' || gold AS relation, task, gold FROM l WHERE gold NOT IN (3, 8)),
+m AS (SELECT p.*, s.task, s.gold AS y FROM p LEFT JOIN s ON s.relation = CASE WHEN p.none THEN 'unanswerable' ELSE 'c' || p.gold END)"""
+
+
+@query("""SELECT part, count(*) FILTER (WHERE NOT several AND y IS NOT NULL) AS n_examples, (SELECT string_agg(CAST(n AS VARCHAR), ',' ORDER BY task) FROM (SELECT t.task, count(x.y) AS n FROM (SELECT DISTINCT task FROM s) t LEFT JOIN m x ON x.part = m.part AND x.task = t.task AND NOT x.several GROUP BY 1)) AS per_task,
+count(*) FILTER (WHERE several) AS dropped_multilabel, count(*) FILTER (WHERE NOT several AND y IS NULL) AS dropped_class FROM m GROUP BY part""", _EVAL)
+def eval_set_counts(spark, sf_dir):
+    """The frozen evaluation sets of a split: what is kept by task, and what is dropped and why."""
+    rows = base.labels(spark, sf_dir)
+    name = F.concat(F.lit("c"), F.col("gold").cast("string"))
+    gold = F.when(F.col("row_id") % 7 == 0, F.array(name, F.lit("c0"))).when(F.col("row_id") % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(name))
+    pairs = rows.select(F.when(F.col("row_id") % 2 == 0, "dev").otherwise("test").alias("part"), F.col("row_id").cast("string").alias("dialogue"), F.lit(0).alias("index"), gold.alias("gold_relations"))
+    split = rows.where("gold NOT IN (3, 8)").select(name.alias("relation"), "task", F.col("gold").alias("head_index")).distinct()
+    _, counts = conditions.eval_sets(pairs, split)
+    return counts.withColumn("per_task", F.array_join(F.col("per_task").cast("array<string>"), ","))
+
+
+_JOINT = LABELS + """, p AS (SELECT track, gold, CAST(CASE WHEN track = 'teacher' THEN teacher WHEN row_id % 5 = 0 THEN (gold + 2) % 10 ELSE gold END AS INT) AS pred FROM l, (SELECT unnest(['gold', 'teacher']) AS track) WHERE row_id % 4 = 0),
+f AS (SELECT g.track, g.label, CASE WHEN coalesce(tp, 0) = 0 THEN 0.0 ELSE 2.0 * tp / (support + coalesce(said, 0)) END::DOUBLE AS f1 FROM (SELECT track, gold AS label, count(*) AS support, count(*) FILTER (WHERE gold = pred) AS tp FROM p GROUP BY ALL) g LEFT JOIN (SELECT track, pred AS label, count(*) AS said FROM p GROUP BY ALL) USING (track, label))"""
+
+
+@query("""SELECT track, (SELECT count(*) FROM l WHERE row_id % 4 <> 0) AS train_rows, count(*) AS test_rows, round(avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy, (SELECT round(max(n) / sum(n), 6) FROM (SELECT count(*) AS n FROM p x WHERE x.track = p.track GROUP BY gold)) AS majority_accuracy,
+(SELECT round(avg(f1), 6) FROM f WHERE f.track = p.track) AS macro_f1, (SELECT string_agg(label || printf(' %.4f', f1), ', ' ORDER BY label) FROM f WHERE f.track = p.track) AS per_class FROM p GROUP BY track""", _JOINT)
+def joint_report(spark, sf_dir):
+    """The joint bound of both tracks on gold test rows, with the majority class and F1 by class."""
+    rows = base.labels(spark, sf_dir)
+    grid = rows.withColumn("track", F.explode(F.array(F.lit("gold"), F.lit("teacher"))))
+    guess = F.when(F.col("track") == "teacher", F.col("teacher")).when(F.col("row_id") % 5 == 0, (F.col("gold") + 2) % 10).otherwise(F.col("gold")).cast("int")
+    train = grid.where("row_id % 4 <> 0").select("track", F.when(F.col("track") == "gold", F.col("gold")).otherwise(F.col("teacher")).alias("label"))
+    out = reports.joint_report(train, grid.where("row_id % 4 = 0").select("track", "gold", guess.alias("pred")), ["track"])
+    return out.select("track", "train_rows", "test_rows", *[F.round(c, 6).alias(c) for c in ("accuracy", "majority_accuracy", "macro_f1")], "per_class")
+
+
+@query()
+def joint_baseline_tracks(spark, sf_dir):
+    """Joint training on the gold and on the teacher track, both judged by gold on one test part."""
+    rows = _training(spark, sf_dir)
+    teacher_of = base.labels(spark, sf_dir).select("row_id", F.col("teacher").cast("int").alias("teacher"))
+    taught = rows.join(teacher_of, "row_id").withColumn("y", F.when(F.col("part") == "train", F.col("teacher")).otherwise(F.col("y"))).drop("teacher")
+    grid = spark.createDataFrame([(f"joint-{s}", "naive", s) for s in schema.TRAINING["seeds"]], "run_id string, regime string, seed int")
+    pred, train = None, None
+    for track, part in (("gold", rows), ("teacher", taught)):
+        one = trainer.train_runs(part.select("row_id", "part", "x", "y"), grid, [list(range(10))]).withColumn("track", F.lit(track))
+        own = part.where("part = 'train'").select("y").crossJoin(F.broadcast(grid.select("run_id"))).select(F.lit(track).alias("track"), "run_id", F.col("y").alias("label"))  # a row a seed
+        pred, train = (one, own) if pred is None else (pred.union(one), train.union(own))
+    out = reports.joint_report(train, pred, ["track", "run_id"])
+    return out.select("track", "run_id", "train_rows", "test_rows", *[F.round(c, 4).alias(c) for c in ("accuracy", "majority_accuracy", "macro_f1")])

@@ -65,6 +65,22 @@ def write_predictions(pred: DataFrame, path: str) -> None:
     _write(pred, path, "parquet")
 
 
+def write_settings(provenance: DataFrame, path: str) -> None:
+    """A JSON file of provenance and settings a run, in its folder."""
+    _write(provenance, path, "json")
+
+
+def write_epochs(log: DataFrame, path: str) -> None:
+    """Epoch rows (run_id, t, stage, epoch, loss, dev_f1 and whatever else) as JSON lines, a folder a run, in order of t, stage and epoch."""
+    rows = log.withColumn("_run", F.col("run_id")).repartition("_run").sortWithinPartitions("_run", "t", "stage", "epoch")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_run").json(path)
+
+
+def read_epochs(spark: SparkSession, path: str) -> DataFrame:
+    """The epoch rows of all runs under ``path``."""
+    return spark.read.schema("run_id string, t int, stage string, epoch int, loss double, dev_f1 double").json(f"{path}/_run=*")
+
+
 def _write(rows: DataFrame, path: str, kind: str) -> None:
     one = rows.withColumn("_run", F.col("run_id")).repartition("_run") if kind == "json" else rows.withColumn("_run", F.col("run_id"))
     one.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_run").format(kind).save(path)

@@ -132,6 +132,12 @@ def parse_ami(lines: DataFrame, seconds: float = schema.SECONDS_PER_TURN) -> Dat
     return out.withColumn("text", fx.strip("text")).where("text <> ''")
 
 
+def parse_ami_files(files: DataFrame, strict: bool = True, seconds: float = schema.SECONDS_PER_TURN) -> DataFrame:
+    """The dialogues of ``files`` (stem, content); with ``strict`` a file without a single turn is an error, which names it."""
+    out = parse_ami(lines_of(files), seconds)
+    return _all_files(files, out) if strict else out
+
+
 def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, no (from 1), line of text files of any size: files are read in splits, line by line.
 

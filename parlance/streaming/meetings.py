@@ -29,7 +29,8 @@ class GraphStore:
 
     A batch is written under its own number, so a batch that is run again overwrites only itself: edges are
     partitioned by batch, and nodes by batch and bucket of names.  The newest version of each bucket counts;
-    versions that no repeated batch can need any more are removed."""
+    versions that no repeated batch can need any more are removed, so there are BUCKETS version folders or so at any
+    time.  Nodes are written last: a batch is there, edges and all, when its version of the nodes is finished."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -56,8 +57,14 @@ class GraphStore:
         paths = [p[-1] for k, p in self._buckets(before).items() if buckets is None or k in buckets]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def newest(self) -> int:
+        """Number of the last finished batch, -1 before the first."""
+        done = (v for v, folder in sorted(self._list(f"{self.path}/nodes", "v").items(), reverse=True) if self._fs.exists(self._fs_path(f"{folder}/_SUCCESS")))
+        return next(done, -1)
+
     def edges(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/edges")
+        """The edges of all finished batches; those of one under way are not seen."""
+        return self.spark.read.parquet(f"{self.path}/edges").where(F.col("batch") <= self.newest())
 
     def update(self, batch: DataFrame, number: int) -> None:
         """Fold one batch in; the same batch may come again after a failure."""
@@ -72,6 +79,9 @@ class GraphStore:
         for k in touched:
             for path in before.get(k, [])[:-1]:
                 self._fs.delete(self._fs_path(path), True)
+        for v, folder in self._list(f"{self.path}/nodes", "v").items():
+            if v < number and not self._list(folder, "bucket"):
+                self._fs.delete(self._fs_path(folder), True)
 
 
 def run(stream: DataFrame, store: GraphStore, checkpoint: str) -> StreamingQuery:

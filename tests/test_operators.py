@@ -329,3 +329,10 @@ def test_graph_stream(spark, tmp_path):
     assert (str(ann.first_seen), str(ann.last_seen)) == ("2026-01-01", "2026-01-02") and store.edges().count() == 2
     store.update(spark.read.schema(kind).json(str(tmp_path / "in" / "m2.json")), 1)  # the last batch again
     assert store.edges().count() == 2
+    batch = spark.read.schema(kind).json(str(tmp_path / "in" / "m1.json"))
+    for k in range(2, 7):
+        store.update(batch.limit(0) if k == 4 else batch, k)
+    assert store.newest() == 6 and store.edges().count() == 6 and store.nodes().count() == 3
+    assert len(list((tmp_path / "store/nodes").iterdir())) <= 4  # versions that hold a bucket's newest or the one before, and the last
+    (tmp_path / "store/nodes/v=6/_SUCCESS").unlink()  # a batch whose nodes were not finished
+    assert store.newest() == 5 and store.edges().count() == 5

@@ -408,3 +408,62 @@ def test_round_trips_keep_everything(spark, sf_dir):
 
 def spark_time(t):
     return str(t).rstrip("0").rstrip(".") if "." in str(t) else str(t)
+
+
+# --- evaluation sets, logs, strict files
+
+
+def test_eval_sets_keep_single_gold_labels_of_the_split(spark):
+    from parlance.operators import conditions
+
+    pairs = spark.createDataFrame([("dev", "d", 0, ["a"]), ("dev", "d", 1, ["a", "b"]), ("dev", "d", 2, ["z"]), ("dev", "e", 0, []), ("dev", "e", 1, None), ("test", "f", 0, ["b"]), ("test", "f", 1, ["b"])], "part string, dialogue string, index int, gold_relations array<string>")
+    split = spark.createDataFrame([("a", 0, 0), ("b", 1, 1), ("unanswerable", 1, 2)], "relation string, task int, head_index int")
+    rows, counts = conditions.eval_sets(pairs, split)
+    assert sorted((r.part, r.dialogue, r["index"], r.y, r.task) for r in rows.collect()) == [("dev", "d", 0, 0, 0), ("dev", "e", 0, 2, 1), ("dev", "e", 1, 2, 1), ("test", "f", 0, 1, 1), ("test", "f", 1, 1, 1)]
+    got = {r.part: r for r in counts.collect()}
+    assert (got["dev"].n_examples, got["dev"].per_task, got["dev"].dropped_multilabel, got["dev"].dropped_class) == (3, [1, 2], 1, 1)
+    assert (got["test"].n_examples, got["test"].per_task) == (2, [0, 2])
+    at = new_folder(spark, "eval")
+    assert conditions.frozen(spark, at, lambda: rows).count() == 5
+    assert conditions.frozen(spark, at, lambda: rows.limit(0)).count() == 5  # read, not made again
+
+
+def test_epoch_logs_and_settings_stand_in_their_runs_folders(spark, tmp_path):
+    from parlance.sources import runs
+
+    log = spark.createDataFrame([("a", 0, "task", e, 1.0 / (e + 1), 0.5) for e in (2, 0, 1)] + [("b", 1, "replay", 0, 0.1, None)], "run_id string, t int, stage string, epoch int, loss double, dev_f1 double")
+    runs.write_epochs(log, str(tmp_path / "log"))
+    runs.write_epochs(log.where("run_id = 'b'"), str(tmp_path / "log"))  # only its own run is replaced
+    assert sorted(map(tuple, runs.read_epochs(spark, str(tmp_path / "log")).collect()), key=repr) == sorted(map(tuple, log.collect()), key=repr)
+    (file,) = (tmp_path / "log/_run=a").glob("*.json")
+    assert [json.loads(x)["epoch"] for x in file.read_text().splitlines()] == [0, 1, 2]
+    prov = provenance.provenance(provenance.plan_runs(spark, [1], [0], {"gold": ["naive"]}), spark.createDataFrame([], "track string, draw_seed int, rows long, digest string"), "abc")
+    runs.write_settings(prov, str(tmp_path / "config"))
+    (file,) = (tmp_path / "config").glob("_run=*/*.json")
+    told = json.loads(file.read_text())
+    assert (told["run_id"], told["git_hash"], json.loads(told["settings"])["batch"]) == ("gold_naive_1_i1", "abc", 32)
+
+
+def test_ami_files_without_a_turn_are_an_error(spark):
+    files = spark.createDataFrame([("a", "Speaker A: hello"), ("b", "Right: so it goes")], "stem string, content string")
+    assert transcripts.parse_ami_files(files, strict=False).count() == 1
+    with pytest.raises(Exception, match="b"):
+        transcripts.parse_ami_files(files).collect()
+
+
+def test_turns_of_arrays_are_those_of_rows(spark):
+    from parlance.operators import windows
+
+    rows = spark.createDataFrame([(1, ["x", "T one", "two", "T three"]), (2, ["none"]), (3, []), (4, None), (5, ["T", "T"])], "k int, lines array<string>")
+    got = [tuple(r) for r in rows.select("k", F.inline(windows.turns_of(F.col("lines"), lambda x: x.startswith("T")))).orderBy("k", "turn_no").collect()]
+    assert got == [(1, 1, 2, "T one two"), (1, 2, 1, "T three"), (5, 1, 1, "T"), (5, 2, 1, "T")]
+    flat = rows.select("k", F.posexplode("lines").alias("pos", "line"))
+    assert got == [tuple(r) for r in windows.merge_turns(flat, "k", "pos", "line", F.col("line").startswith("T")).orderBy("k", "turn_no").collect()]
+
+
+def test_joint_baselines_of_both_tracks(spark, sf_dir):
+    got = study_queries.joint_baseline_tracks(spark, sf_dir).collect()
+    assert {(r.track, r.run_id) for r in got} == {(t, f"joint-{s}") for t in ("gold", "teacher") for s in schema.TRAINING["seeds"]}
+    assert len({(r.train_rows, r.test_rows, r.majority_accuracy) for r in got}) == 1  # one test part, judged by gold
+    mean = lambda t: sum(r.accuracy for r in got if r.track == t) / 3
+    assert mean("gold") > max(mean("teacher"), got[0].majority_accuracy)
