@@ -2,12 +2,14 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from parlance import schema
 from parlance.operators import conditions, graph, resolve, trainer, triples
+from parlance.plans import catalog
 from parlance.sources import transcripts
 
 
@@ -143,6 +145,20 @@ def test_overlap_with_its_diagonal_and_a_hot_entity(spark, monkeypatch):
     assert {(r.a, r.b): r.both for r in graph.meeting_overlap(many).collect()} == want and len(want) == 780 and sorted(want.values()) == [1] * 760 + [2] * 20
 
 
+def test_overlap_matrix_has_pairs_without_a_common_entity(spark, tmp_path, monkeypatch):
+    """Users and items of each day are its own, so no two meetings share an entity."""
+    e = spark.range(30).selectExpr("id * 106 + 1 AS event_id", "timestamp_ntz '2024-01-01 08:00:00' + make_dt_interval(CAST(id % 6 AS INT)) AS ts", "id % 6 AS user_id", "'click' AS event_type", "5.0D AS value", "concat('{\"k\": ', id % 6, '}') AS props")
+    e.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = [[tuple(r) for r in catalog.QUERIES["meeting_overlap_matrix"](spark, str(tmp_path)).orderBy("a", "b").collect()]]
+    monkeypatch.setattr(graph, "HOT", 2)
+    got.append([tuple(r) for r in catalog.QUERIES["meeting_overlap_matrix"](spark, str(tmp_path)).orderBy("a", "b").collect()])
+    days = [f"m2024010{k}" for k in range(1, 7)]
+    assert got[0] == got[1] == [(a, b, 2, 2, 2 if a == b else 0) for a in days for b in days if a <= b]
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        assert sorted(db.execute(catalog.ORACLE_SQL["meeting_overlap_matrix"]).fetchall()) == got[0]
+
+
 def test_plugged_in_extractor(spark):
     def answer(text):
         if "bad" in text:
