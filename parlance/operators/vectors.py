@@ -80,17 +80,22 @@ def _uniform(ids: np.ndarray, *salt: int) -> np.ndarray:
     return ((z >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
 
 
-def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Squared distances; those near zero are exact."""
-    d = np.maximum(0.0, (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None])
-    i, j = np.nonzero(d <= 1e-9 * (1 + (x * x).sum(1))[:, None])
+def _squares(x: np.ndarray, c: np.ndarray, xx: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances; those near zero are exact.  ``xx``: the squared lengths of x, if they are known."""
+    xx = (x * x).sum(1) if xx is None else xx
+    d = x @ c.T
+    d *= -2
+    d += xx[:, None]
+    d += (c * c).sum(1)[None]
+    np.maximum(0.0, d, out=d)
+    i, j = np.nonzero(d <= 1e-9 * (1 + xx)[:, None])
     d[i, j] = ((x[i] - c[j]) ** 2).sum(1)
     return d
 
 
-def _draw(ids: np.ndarray, x: np.ndarray, c: np.ndarray, want: int, *salt: int) -> np.ndarray:
+def _draw(ids: np.ndarray, x: np.ndarray, c: np.ndarray, want: int, *salt: int, xx: np.ndarray | None = None) -> np.ndarray:
     """Race values and vectors of ``want`` rows drawn by squared distance to the centres so far, without replacement."""
-    d = _squares(x, c).min(1) if len(c) else np.ones(len(x))
+    d = _squares(x, c, xx).min(1) if len(c) else np.ones(len(x))
     with np.errstate(divide="ignore"):
         race = np.where(d > 0, -np.log(_uniform(ids, *salt)) / d, np.inf)
     at = np.argsort(race, kind="stable")[:want]
@@ -98,17 +103,18 @@ def _draw(ids: np.ndarray, x: np.ndarray, c: np.ndarray, want: int, *salt: int)
     return np.column_stack([race[at], x[at]])
 
 
-def _moved(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+def _moved(x: np.ndarray, c: np.ndarray, xx: np.ndarray | None = None, squares: float | None = None) -> np.ndarray:
     """A row: sums and counts of each cluster, inertia, sum of squares, and the farthest row after its distance."""
-    d = _squares(x, c)
-    at, near = d.argmin(1), d.min(1)
+    d = _squares(x, c, xx)
+    at = d.argmin(1)
+    near = d[np.arange(len(x)), at]
     member = (at[:, None] == np.arange(len(c))).astype(float)
     far = near.argmax()
-    return np.concatenate([(member.T @ x).ravel(), member.sum(0), [near.sum(), (x * x).sum(), near[far]], x[far]])[None]
+    return np.concatenate([(member.T @ x).ravel(), np.bincount(at, minlength=len(c)), [near.sum(), (x * x).sum() if squares is None else squares, near[far]], x[far]])[None]
 
 
-def _step(ids: np.ndarray, x: np.ndarray, c: np.ndarray, start: int, seed: int, turn: int, want: int) -> np.ndarray:
-    return _draw(ids, x, c, want, seed, start, turn) if want else _moved(x, c)
+def _step(ids: np.ndarray, x: np.ndarray, c: np.ndarray, start: int, seed: int, turn: int, want: int, xx: np.ndarray | None = None, squares: float | None = None) -> np.ndarray:
+    return _draw(ids, x, c, want, seed, start, turn, xx=xx) if want else _moved(x, c, xx, squares)
 
 
 def _merge(parts: list[np.ndarray], dims: int, want: int) -> np.ndarray:
@@ -215,7 +221,8 @@ def _best(c: dict, cost: dict, label: int) -> np.ndarray:
 
 def local_centres(ids: np.ndarray, x: np.ndarray, m: int, seed: int, label: int = 0, starts: int = STARTS, rounds: int = ROUNDS) -> np.ndarray:
     """The centres that ``kmeans_centres`` finds, of one class whose rows are here."""
-    step = lambda held, turn, want: {at: _step(ids, x, c, at[1], seed, turn, want) for at, c in held.items()}
+    xx, squares = (x * x).sum(1), (x * x).sum()  # once for all starts and rounds
+    step = lambda held, turn, want: {at: _step(ids, x, c, at[1], seed, turn, want, xx, squares) for at, c in held.items()}
     return _best(*_fit(step, [(label, s) for s in range(starts)], m, seed, rounds), label)
 
 

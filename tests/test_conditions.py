@@ -86,6 +86,23 @@ def test_training_set_beyond_a_run_is_refused(spark, monkeypatch):
         trainer.train_runs(rows, spark.createDataFrame([("r", "naive", 1)], "run_id string, regime string, seed int"), [[0]])
 
 
+def test_each_run_is_a_task_and_holds_single_precision(spark, monkeypatch):
+    """Twelve runs are twelve tasks, whatever their names hash to; vectors of floats count four bytes a number."""
+    r = np.random.default_rng(1)
+    data = [(i, ("train", "dev", "test")[i % 3], r.random(8).tolist(), i % 2) for i in range(60)]
+    rows = spark.createDataFrame(data, "row_id long, part string, x array<float>, y int")
+    grid = spark.createDataFrame([(f"{g}-{s}", g, s) for g in ("naive", "replay", "fkd", "kd") for s in schema.TRAINING["seeds"]], "run_id string, regime string, seed int")
+    monkeypatch.setattr(trainer, "MOST_BYTES", 60 * (8 * 4 + 32))
+    pred = trainer.train_runs(rows, grid, [[0], [1]], 3, 2).withColumn("at", F.spark_partition_id()).collect()
+    places = {(p.run_id, p["at"]) for p in pred}
+    assert len(places) == len({at for _, at in places}) == 12
+    got = {k: [p.pred for p in sorted(pred, key=lambda p: (p.stage, p.row_id)) if p.run_id == k] for k in ("naive-1", "fkd-2")}
+    x, y, part = (np.array([d[k] for d in data]) for k in (2, 3, 1))
+    sets = [(x.astype(np.float32).astype(float)[part == p], y[part == p]) for p in ("train", "dev", "test")]
+    for name, regime, seed in (("naive-1", "naive", 1), ("fkd-2", "fkd", 2)):
+        assert np.concatenate(trainer.run_sequential(*sets, [[0], [1]], trainer.Regime(regime), seed, 3, 2)["pred"]).tolist() == got[name]
+
+
 def test_edits_within_a_band():
     def full(a, b):
         row = list(range(len(b) + 1))
