@@ -18,6 +18,8 @@ CLOCK = r"(\d{1,2}(?::\d{2}){2}[.,]\d{1,3})"
 SRT_TIME = CLOCK + r"\s*-->\s*" + CLOCK
 #: A speaker's token has 12 characters at most, and text follows it on its line.
 AMI_TURN = r"(?i)^(speaker\s+)?(\w{1,12})\s*:\s*(\S.*)$"
+#: Folders of written transcripts.
+FOLDERS = 64
 
 
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -98,18 +100,25 @@ def parse_srt(files: DataFrame, strict: bool = True) -> DataFrame:
     return _all_files(files, out) if strict else out
 
 
-def read_json_transcripts(spark: SparkSession, paths) -> DataFrame:
-    """Utterances of JSON files of one transcript each, on one line or several."""
+def read_json_transcripts(spark: SparkSession, paths, lines: bool = False) -> DataFrame:
+    """Utterances of JSON files of one transcript each, on one line or several; ``lines``: of files with a transcript a line."""
     kind = "meeting_id STRING, audio_file STRING, duration DOUBLE, utterances ARRAY<STRUCT<speaker_id STRING, text STRING, start_time DOUBLE, end_time DOUBLE>>"
-    rows = spark.read.schema(kind).json(paths, multiLine=True)
+    rows = spark.read.schema(kind).json(paths, multiLine=not lines)
     return rows.select("meeting_id", F.posexplode("utterances").alias("seq", "u")).select("meeting_id", "seq", "u.speaker_id", "u.text", "u.start_time", "u.end_time")
 
 
-def write_json_transcripts(utterances: DataFrame, path: str) -> None:
-    """A file a meeting, in folders under ``path``."""
+def write_json_transcripts(utterances: DataFrame, path: str, lines: bool = False, folders: int = FOLDERS) -> None:
+    """A file a meeting, in ``folders`` folders under ``path`` by a hash of the meeting; ``lines``: a line a meeting, in as many files as tasks.
+
+    One task writes a folder, so that few folders are moved at the end and listed by readers.  Files themselves cost
+    time, so that many meetings are better written as lines."""
     row = F.struct("seq", "speaker_id", "text", "start_time", "end_time")
     out = utterances.groupBy("meeting_id").agg(F.coalesce(F.max("end_time"), F.lit(0.0)).alias("duration"), F.array_sort(F.collect_list(row)).alias("utterances"))
-    out.withColumn("_meeting", F.col("meeting_id")).write.mode("overwrite").partitionBy("_meeting").json(path)
+    if lines:
+        out.write.mode("overwrite").json(path)
+        return
+    dealt = out.withColumn("_folder", F.pmod(F.xxhash64("meeting_id"), F.lit(folders)).cast("int")).repartitionById(folders, "_folder")
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("_folder").json(path)
 
 
 def read_transcripts(spark: SparkSession, paths, prefer_srt: bool = True, strict: bool = True) -> DataFrame:

@@ -406,6 +406,24 @@ def test_round_trips_keep_everything(spark, sf_dir):
     assert {r.metric for r in got} == {"f1"} and {(r.run_id, r.t, r.j): r.v for r in got} == pytest.approx(cells)
 
 
+def test_transcript_files_and_folders_do_not_grow_with_the_meetings(spark, tmp_path):
+    """A line a meeting in few files for the query; a file a meeting in few folders by the writer's default."""
+    texts = ["plain", "two\nlines\r\nand a return\r", 'quo"te \\ \u2028 \u00e9', "", None]
+    rows = [(c, t, ("user", None)[t % 2], texts[(c + t) % 5]) for c in range(300) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    key = lambda r: tuple(map(str, r))
+    want = sorted((tuple(r) for r in base.utterances(spark, str(tmp_path)).selectExpr("CAST(meeting_id AS STRING)", "seq", "speaker_id", "text", "start_time", "end_time").collect()), key=key)
+    made = study_queries.transcript_round_trip(spark, str(tmp_path))
+    assert sorted(map(tuple, made.collect()), key=key) == want and len(want) == 900
+    assert len(made.inputFiles()) <= 8
+    u = base.utterances(spark, str(tmp_path)).withColumn("meeting_id", F.col("meeting_id").cast("string"))
+    transcripts.write_json_transcripts(u, str(tmp_path / "out"), folders=5)
+    single = transcripts.read_json_transcripts(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, single.select(*made.columns).collect()), key=key) == want
+    files = list((tmp_path / "out").rglob("*.json"))
+    assert len(files) == 300 and len({f.parent for f in files}) == 5
+
+
 def spark_time(t):
     return str(t).rstrip("0").rstrip(".") if "." in str(t) else str(t)
 
